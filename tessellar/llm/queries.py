@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from .pfor import op1_pfor_token_ids
-    from .sharding import op4_hash_tree_sharding
+from . import chat, pfor, sharding, toxicity, warc
+
 
-    return {"op1_pfor_token_ids": op1_pfor_token_ids, "op4_hash_tree_sharding": op4_hash_tree_sharding}
+def queries() -> dict:
+    found = (
+        pfor.op1_pfor_token_ids, toxicity.op3_ftrl_toxicity, sharding.op4_hash_tree_sharding, warc.op6_merkle_fixity, chat.op9_chat_template,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
