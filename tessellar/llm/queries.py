@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 
-from . import chat, pfor, sharding, toxicity, warc
+from . import chat, extract, pfor, sharding, toxicity, warc
 
 
 def queries() -> dict:
     found = (
-        pfor.op1_pfor_token_ids, toxicity.op3_ftrl_toxicity, sharding.op4_hash_tree_sharding, warc.op6_merkle_fixity, chat.op9_chat_template,
+        pfor.op1_pfor_token_ids, toxicity.op3_ftrl_toxicity, sharding.op4_hash_tree_sharding, warc.op6_merkle_fixity, chat.op9_chat_template, extract.op10_min_cut_extraction,
     )
     return {f.__name__: f for f in found}
 
