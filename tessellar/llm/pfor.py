@@ -23,13 +23,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import Memo
 from .shared import n_parts, table, text_or_empty, tune, written
 
 MAGIC, VERSION, BLOCK, LANE = b"PFR1", 1, 256, 64
@@ -173,41 +174,27 @@ class WordEncoder:
 
         self.t, self.by_word = Tokenizer.from_file(path), by_word
         self.tokenize = self.t.model.tokenize
-        self.clear()
-
-    def clear(self):
-        self.index, self.at, self.n, self.flat, self.used = {}, np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.memo = Memo(MEMO_WORDS)
 
     def _part(self, s: str) -> list[int]:
         key = s.encode()
-        i = self.index.get(key)
-        if i is not None:
-            return self.flat[self.at[i] : self.at[i] + self.n[i]].tolist()
-        if s.isalpha() and s < "\u0250" and max(s) < "\u0250":
+        if (known := self.memo.get(key)) is not None:
+            return known.tolist()
+        if s.isalpha() and max(s) < "\u0250":
             ids = [t.id for t in self.tokenize("".join([_STAND_IN[b] for b in s.lower().encode()]))]
         else:
             ids = self.t.encode(s, add_special_tokens=False).ids
-        self._keep(key, ids)
+        self.memo.keep(key, ids)
         return ids
 
-    def _keep(self, key: bytes, ids: list[int]):
-        i = len(self.index)
-        if i == len(self.at):
-            self.at, self.n = np.concatenate([self.at, np.zeros(i, np.int64)]), np.concatenate([self.n, np.zeros(i, np.int64)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.index[key], self.at[i], self.n[i] = i, self.used, len(ids)
-        self.used += len(ids)
-
     def _learn(self, words):
         for w in words:
             s = w.decode()
             m = _PARTS.fullmatch(s)
             if m and (m[1] or m[3]):
                 ids = [i for part in m.groups() if part for i in self._part(part)]
-                if w not in self.index:
-                    self._keep(w, ids)
+                if self.memo.get(w) is None:
+                    self.memo.keep(w, ids)
             else:
                 self._part(s)
 
@@ -217,19 +204,7 @@ class WordEncoder:
             got = [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
             return np.fromiter((i for g in got for i in g), np.uint32, sum(map(len, got))), np.array([len(g) for g in got], np.int64)
         split = [(t.lower() if t.isascii() else t).encode().split() for t in texts]
-        if len(self.index) > MEMO_WORDS:
-            self.clear()
-        words, flat = np.array([len(s) for s in split], np.int64), list(chain.from_iterable(split))
-        index = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        if (new := np.flatnonzero(index < 0)).size:
-            self._learn({flat[i] for i in new.tolist()})
-            index[new] = [self.index[flat[i]] for i in new.tolist()]
-        at, n = self.at[index], self.n[index]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(at - (ends - n), n) + np.arange(total)]
-        cut = np.concatenate([[0], ends])[np.cumsum(words)] if len(ends) else np.zeros(len(words), np.int64)
-        return ids, np.diff(np.concatenate([[0], cut]))
+        return self.memo.ids(list(chain.from_iterable(split)), np.array([len(x) for x in split], np.int64), self._learn)
 
 
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int, name: str = "segments", by_word: bool = True) -> DataFrame:
