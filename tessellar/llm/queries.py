@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 
-from . import chat, decontaminate, extract, jaccard, pfor, pieces, sharding, toxicity, warc
+from . import chat, decontaminate, extract, jaccard, neighbours, pfor, pieces, sharding, toxicity, warc
 
 
 def queries() -> dict:
     found = (
-        pfor.op1_pfor_token_ids, decontaminate.op2_smith_waterman_decontamination, toxicity.op3_ftrl_toxicity, sharding.op4_hash_tree_sharding, pieces.op5_piece_lattice, warc.op6_merkle_fixity, jaccard.op7_heavy_light_jaccard, chat.op9_chat_template, extract.op10_min_cut_extraction,
+        pfor.op1_pfor_token_ids, decontaminate.op2_smith_waterman_decontamination, toxicity.op3_ftrl_toxicity, sharding.op4_hash_tree_sharding, pieces.op5_piece_lattice, warc.op6_merkle_fixity, jaccard.op7_heavy_light_jaccard, neighbours.op8_nn_descent, chat.op9_chat_template, extract.op10_min_cut_extraction,
     )
     return {f.__name__: f for f in found}
 
