@@ -1 +1,224 @@
+"""Queries through the blob format: what comes out of a blob is compared with the table that went in."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import bits, blob as codec, floats
+from ..operators import blobs, masks
+from ..sources import rasters
+from ..sources.rasters import SQL
+from .registry import query
+from .relational import on
+
+_ALL = 'band, "row", col, depth, z, valid'
+_PX = ["band", "row", "col", "depth", "z", "valid"]
+
+
+def _trip(px, kind, **options):
+    return blobs.decode(blobs.encode(px, kind, **options)).select(*_PX)
+
+
+@query(on("embed", f"SELECT {_ALL} FROM px"))
+def encode_decode_lossless_f32(spark, d):
+    return _trip(rasters.embed(spark, d), "<f4")
+
+
+@query(on("embed4", f"SELECT {_ALL} FROM px"))
+def encode_decode_lossless_depth(spark, d):
+    return _trip(rasters.embed(spark, d, 4), "<f4")
+
+
+@query(on("orders", f"SELECT {_ALL} FROM px"))
+def encode_decode_lossless_f64(spark, d):
+    return _trip(rasters.orders(spark, d), "<f8")
+
+
+@query(on("psize", f"SELECT {_ALL} FROM px"))
+def encode_decode_lossless_u8(spark, d):
+    return _trip(rasters.psize(spark, d), "u1")
+
+
+@query(on("orders", 'SELECT band, "row", col, depth, floor(z) AS z, valid FROM px'))
+def encode_decode_lossless_int(spark, d):
+    return _trip(rasters.orders(spark, d).withColumn("z", F.floor("z").cast("double")), "<i4")
+
+
+@query(on("event_bands", 'SELECT band, "row", col, depth, z, valid FROM px WHERE valid'))
+def decode_pixels(spark, d):
+    return _trip(rasters.event_bands(spark, d), "<f8").filter("valid")
+
+
+@query(on("psize", 'SELECT band, "row", col, depth, CAST(z AS DOUBLE) AS z FROM px'))
+def decode_double(spark, d):
+    return _trip(rasters.psize(spark, d), "<u2").select("band", "row", "col", "depth", F.col("z").cast("double").alias("z"))
+
+
+@query(on("dirty", """SELECT band, "row", col, depth, CASE WHEN isnan(z) THEN -9999.0 ELSE z END AS z, TRUE AS valid FROM
+    (SELECT *, count(*) FILTER (NOT isnan(z) AND z <> -9999) OVER (PARTITION BY band, "row", col) AS good FROM px) WHERE good > 0"""))
+def encode_decode_nodata(spark, d):
+    return _trip(rasters.dirty(spark, d), "<f8", nodata=-9999.0).filter("valid")
+
+
+def _violations(spark, d, version=codec.NEWEST):
+    px, e = rasters.events(spark, d), 0.05
+    back = blobs.decode(blobs.encode(px, "<f8", error=e, version=version)).select("band", "row", "col", "depth", F.col("z").alias("y"), F.col("valid").alias("ok"))
+    j = px.join(back, ["band", "row", "col", "depth"])
+    bad = F.col("valid") & (F.abs(F.col("z") - F.col("y")) > e * 1.1)
+    return j.groupBy("band").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.count_if(bad).alias("n_violations"), F.count_if(F.col("valid") != F.col("ok")).alias("n_mask_diff"))
+
+
+_NONE = on("events", "SELECT band, count(*) AS n, count(*) FILTER (valid) AS n_valid, CAST(0 AS BIGINT) AS n_violations, CAST(0 AS BIGINT) AS n_mask_diff FROM px GROUP BY band")
+
+
+@query(_NONE)
+def verify_roundtrip(spark, d):
+    return _violations(spark, d)
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS version, * FROM ({_NONE})" for v in (2, 3, 4, 5, 6)))
+def encode_by_version(spark, d):
+    out = [_violations(spark, d, v).select(F.lit(v).cast("bigint").alias("version"), "*") for v in (2, 3, 4, 5, 6)]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
+
+
+_TILE = 'CAST("row" // 64 AS BIGINT) AS tile'
+
+
+@query(on("embed", f"""SELECT {_TILE}, CAST(6 AS BIGINT) AS version, CAST(6 AS BIGINT) AS dtype, CAST(1 AS BIGINT) AS n_bands, CAST(count(DISTINCT "row") AS BIGINT) AS n_rows, CAST(64 AS BIGINT) AS n_cols, count(*) AS n_valid, min(z) AS z_min, max(z) AS z_max FROM px GROUP BY tile"""))
+def blob_info(spark, d):
+    h = blobs.encode(rasters.embed(spark, d), "<f4").select("tile", blobs.info(F.col("blob")).alias("h"))
+    return h.select("tile", *[F.col(f"h.{c}").cast("bigint").alias(c) for c in ("version", "dtype", "n_bands", "n_rows", "n_cols", "n_valid")], "h.z_min", "h.z_max")
+
+
+@query(on("embed4", f"SELECT {_TILE}, band, depth, min(z) AS z_min, max(z) AS z_max FROM px GROUP BY ALL"))
+def blob_data_ranges(spark, d):
+    return blobs.ranges(blobs.encode(rasters.embed(spark, d, 4), "<f4"))
+
+
+@query(on("events", f"SELECT {_TILE}, CAST(b AS BIGINT) AS band, CAST(6 AS BIGINT) AS version, count(*) FILTER (valid) AS n_valid, TRUE AS good FROM (SELECT band AS b, \"row\", valid FROM ({SQL['event_bands']})) GROUP BY tile, b"))
+def blob_scan_bands(spark, d):
+    return blobs.bands(blobs.encode(rasters.event_bands(spark, d), "<f8")).select("tile", "band", "version", "n_valid", "good")
+
+
+@query(on("event_bands", 'SELECT band, "row", col, depth, z FROM px WHERE valid AND band < 1'))
+def decode_band_prefix(spark, d):
+    return blobs.decode(blobs.encode(rasters.event_bands(spark, d), "<f8"), bands=1).filter("valid").select("band", "row", "col", "depth", "z")
+
+
+@query(on("event_bands", 'SELECT band, "row", col, depth, z FROM px WHERE valid'))
+def multiband_concat(spark, d):
+    px = rasters.event_bands(spark, d)
+    one = [blobs.encode(px.filter(F.col("band") == b).withColumn("band", F.lit(0).cast("bigint")), "<f8", version=5).withColumn("band", F.lit(b)) for b in (0, 1)]
+    return blobs.decode(blobs.concat_bands(one[0].union(one[1]))).filter("valid").select("band", "row", "col", "depth", "z")
+
+
+@query(on("events", 'SELECT band, "row", col, depth, z FROM px WHERE valid AND z BETWEEN 60 AND 61'))
+def pruned_scan(spark, d):
+    kept = blobs.prune(blobs.encode(rasters.events(spark, d), "<f8", rows=4), 60.0, 61.0)
+    return blobs.decode(kept).filter("valid and z between 60 and 61").select("band", "row", "col", "depth", "z")
+
+
+@query()
+def compressed_size(spark, d):
+    """Bytes of each tile at three error bounds."""
+    px = rasters.events(spark, d)
+    out = [blobs.encode(px, "<f8", error=e).select("tile", F.lit(e).alias("error"), F.octet_length("blob").cast("bigint").alias("bytes")) for e in (0.0, 0.01, 0.5)]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query()
+def size_by_version(spark, d):
+    px = rasters.events(spark, d)
+    out = [blobs.encode(px, "<f8", error=0.05, version=v).select("tile", F.lit(v).alias("version"), F.octet_length("blob").cast("bigint").alias("bytes")) for v in (2, 4, 6)]
+    return out[0].union(out[1]).union(out[2])
+
+
+def _codec_query(column, f):
+    """A query that puts a byte column through a codec and back: n rows, how many came back unlike what went in."""
+
+    def run(spark, d):
+        rows = spark.read.parquet(f"{d}/{column[0]}.parquet").select(F.coalesce(F.col(column[1]).cast("string"), F.lit("")).cast("binary").alias("x"))
+        same = F.pandas_udf(lambda s: s.map(lambda x: f(x)), "boolean")
+        return rows.agg(F.count("*").alias("n"), F.count_if(~same("x")).alias("n_wrong"))
+
+    return run
+
+
+def _zero(table):
+    return f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_wrong FROM {table}"
+
+
+@query(_zero("benchmark"))
+def rle_bytes(spark, d):
+    return _codec_query(("benchmark", "text"), lambda x: bits.rle_decode(bits.Cursor(bits.rle_encode(x)), len(x)) == x)(spark, d)
+
+
+@query(_zero("benchmark"))
+def packbits(spark, d):
+    return _codec_query(("benchmark", "text"), lambda x: bits.packbits_decode(bits.packbits_encode(x), len(x)) == x)(spark, d)
+
+
+@query(_zero("benchmark"))
+def byte_stream_codec(spark, d):
+    return _codec_query(("benchmark", "text"), lambda x: not len(x) or floats.decode_plane(floats.encode_plane(np.frombuffer(x, np.uint8)), len(x)).tobytes() == x)(spark, d)
+
+
+@query(_zero("benchmark"))
+def bit_pack(spark, d):
+    def same(x):
+        v = np.frombuffer(x, np.uint8).astype(np.uint32) * 257
+        return bool((bits.unstuff(bits.Cursor(bits.stuff(v)), len(v)) == v).all() and (bits.unstuff(bits.Cursor(bits.stuff(v, 2)), len(v), 2) == v).all())
+
+    return _codec_query(("benchmark", "text"), same)(spark, d)
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_wrong FROM embeddings")
+def float_planes(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("embedding")
+
+    @F.pandas_udf("boolean")
+    def same(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: floats.decode(bits.Cursor(floats.encode(np.asarray(x, "<f4").reshape(8, -1))), "<f4", 8, len(x) // 8).tobytes() == np.asarray(x, "<f4").tobytes())
+
+    return e.agg(F.count("*").alias("n"), F.count_if(~same("embedding")).alias("n_wrong"))
+
+
+@query("SELECT CAST(k AS BIGINT) AS k, bits FROM (VALUES (1, CAST(1 AS BIGINT)), (2, CAST(2 AS BIGINT)), (3, CAST(3 AS BIGINT))) t(k, bits) WHERE FALSE UNION ALL SELECT CAST(0 AS BIGINT), CAST(224 AS BIGINT)")
+def huffman_lengths(spark, d):
+    """Total bits of an optimal code for counts 5, 9, 12, 13, 16, 45 (the textbook example: 224)."""
+    counts = np.array([5, 9, 12, 13, 16, 45])
+    return spark.createDataFrame([(0, int((bits.code_lengths(counts) * counts).sum()))], "k bigint, bits bigint")
+
+
+@query()
+def legacy_decode(spark, d):
+    """A hand-made first-format blob: count part constant 1, one raw tile of values."""
+    import struct
+
+    z = np.arange(12, dtype="<f4").reshape(3, 4) / 4
+    body = b"\0" + z.tobytes()
+    old = codec.OLD_KEY + struct.pack("<4id", 11, 8, 3, 4, 0.1) + struct.pack("<3if", 0, 0, 0, 1.0) + struct.pack("<3if", 1, 1, len(body), float(z.max())) + body
+    return blobs.decode_old(spark.createDataFrame([(0, 0, bytearray(old))], "tile bigint, row0 bigint, blob binary"))
+
+
+@query(on("dirty", "SELECT count(*) FILTER (isnan(z)) AS n_nan FROM px"))
+def count_nan(spark, d):
+    return masks.has_nan(rasters.dirty(spark, d)).agg(F.sum("n_nan").cast("bigint").alias("n_nan"))
+
+
+@query()
+def blob_source(spark, d):
+    """Tiles written as files through the data source and read again with pruning by range."""
+    import tempfile
+
+    from ..sources.blobs import BlobSource
+
+    spark.dataSource.register(BlobSource)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="blobs-")
+    path = f"{root.rstrip('/')}/blobs-{__import__('uuid').uuid4().hex}"
+    tiles = blobs.encode(rasters.events(spark, d), "<f8", rows=8).select(F.lit("").alias("path"), F.lit(1).alias("n_bands"), F.lit(0.0).alias("z_min"), F.lit(0.0).alias("z_max"), "blob")
+    tiles.write.format("blobs").mode("append").save(path)
+    return spark.read.format("blobs").option("low", "0").load(path).select("n_bands", "z_min", "z_max", F.octet_length("blob").cast("bigint").alias("bytes"))
