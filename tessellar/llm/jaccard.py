@@ -14,10 +14,13 @@ The order needs the frequent shingles only: any order gives the exact result, a
 that occur at least twice in a window of the scan are counted; those at or above the least count that at most
 ``MAX_HEAVY`` of them reach are the *heavy* ones, a broadcast of bounded size.
 
-Lists are never expanded into pairs. What meets in a list is chained (neighbours by size), the chains' connected
-components are *families*, families are cut into blocks of about ``BLOCK`` classes, and each pair of blocks of a family goes to one task, which
-gets their whole sets, counts all intersections by a matrix product and returns a spanning forest of the links it
-found: every link inside a family is tested, and no links lie between families.
+A link needs more than one common key: how many follows from the two sizes (:func:`shared_least`). Lists of up to ``SHORT``
+classes are written out as pairs (of sizes that allow a link) and the pairs' lists counted; longer lists, those of large groups of
+copies, are never expanded: they are chained (neighbours by size), and count for a pair as if both were in them.
+The connected components of pairs that share enough and of chains are *families*. Families are cut into blocks of about
+``BLOCK`` classes, and each pair of blocks of a family goes to one task, which gets their whole sets, counts all
+intersections by a matrix product and returns a spanning forest of the links it found: every link inside a family is
+tested, and no links lie between families.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ WORDS, PERCENT = 5, 80
 #: Shingles whose frequency is broadcast, at most.
 MAX_HEAVY = 400_000
 #: Shingles of one counting window.
-WINDOW = 4_000_000
+WINDOW = 1_500_000
 BLOCK = 256
+#: Classes in a list that is still written out as pairs.
+SHORT = 16
 _U = np.uint64
 
 
@@ -158,8 +163,12 @@ def _scan(docs: DataFrame, window: int):
         held, size = [], 0
 
         def counted():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c > 1], c[c > 1]
+            t = np.concatenate(held)
+            held.clear()
+            t.sort()
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            c = np.diff(np.append(first, len(t)))
+            t, c = t[first[c > 1]], c[c > 1]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.int64())], ["kind", "id", "n", "cid"])
 
         seen: set = set()
@@ -174,7 +183,7 @@ def _scan(docs: DataFrame, window: int):
                     size += len(s)
                     if size >= window:
                         yield counted()
-                        held, size, seen = [], 0, set()
+                        size, seen = 0, set()
         if held:
             yield counted()
 
@@ -203,24 +212,86 @@ def _meet(docs: DataFrame, order, small: int, percent: int):
     return docs.mapInArrow(run, "key bigint, cid bigint, n int")
 
 
-def _chains(met: DataFrame, percent: int):
-    """(a, b): neighbours by size in every list, where their sizes allow a link. ``met`` comes sorted by key, n, cid."""
+def shared_least(na, nb, percent: int = PERCENT):
+    """How many of their list keys (k = 1 prefixes) two linked sets of sizes na and nb share at least.
+
+    They share t = ceil(percent (na + nb) / (100 + percent)) shingles or more; the l-th of these stands within the
+    first na - t + l of one set and nb - t + l of the other, hence within both prefixes for every l up to the result."""
+    t = -(-percent * (na + nb) // (100 + percent))
+    return np.minimum(t + 1 - need(na, percent), t + 1 - need(nb, percent))
+
+
+def _lists(met: DataFrame, percent: int, short: int = SHORT):
+    """What meets in the lists; ``met`` comes sorted by key, n, cid. kind 0: pairs (a, b, sizes) in lists of up to ``short`` classes, with m lists;
+    kind 1: neighbours by size (a, b) in longer ones; kind 2: that class a is in m longer lists."""
+    names = ["kind", "a", "b", "na", "nb", "m"]
+
+    def out(kind, a, b, na, nb, m):
+        k = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(m.astype(np.int64))], names)
+
+    def whole(k, c, n, long_run):
+        """Complete lists; ``long_run``: the first one goes on one whose first part is already done."""
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        run = np.cumsum(new) - 1
+        is_long = np.bincount(run) > short
+        is_long[0] |= long_run
+        is_long = is_long[run]
+        a, b, na, nb = [], [], [], []
+        for d in range(1, min(short, len(k))):
+            ok = np.flatnonzero((k[d:] == k[:-d]) & ~is_long[d:] & (n[:-d].astype(np.int64) * 100 >= n[d:].astype(np.int64) * percent))
+            if not len(ok):
+                continue
+            x, y = c[ok], c[ok + d]
+            swap = x > y
+            a.append(np.where(swap, y, x)), b.append(np.where(swap, x, y)), na.append(np.where(swap, n[ok + d], n[ok])), nb.append(np.where(swap, n[ok], n[ok + d]))
+        if a:
+            a, b, na, nb = (np.concatenate(v) for v in (a, b, na, nb))
+            by = np.lexsort((b, a))
+            a, b, na, nb = a[by], b[by], na[by], nb[by]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            yield out(0, a[first], b[first], na[first], nb[first], np.diff(np.append(first, len(a))))
+        ok = (k[1:] == k[:-1]) & is_long[1:] & (n[:-1].astype(np.int64) * 100 >= n[1:].astype(np.int64) * percent)
+        if ok.any():
+            pair = np.unique(np.stack([np.minimum(c[:-1][ok], c[1:][ok]), np.maximum(c[:-1][ok], c[1:][ok])]), axis=1)
+            none = np.zeros(pair.shape[1], np.int32)
+            yield out(1, pair[0], pair[1], none, none, none)
+        if is_long.any():
+            of, m = np.unique(c[is_long], return_counts=True)
+            yield out(2, of, of, np.zeros(len(of)), np.zeros(len(of)), m)
 
     def run(batches):
-        last = None
+        k, c, n, long_run = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            if last is not None:
-                k, c, n = (np.concatenate([[x], y]) for x, y in zip(last, (k, c, n), strict=True))
-            last = (k[-1], c[-1], n[-1])
-            ok = (k[1:] == k[:-1]) & (c[1:] != c[:-1]) & (n[:-1].astype(np.int64) * 100 >= n[1:].astype(np.int64) * percent)
-            if ok.any():
-                pair = np.unique(np.stack([np.minimum(c[:-1][ok], c[1:][ok]), np.maximum(c[:-1][ok], c[1:][ok])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-
-    return met.mapInArrow(run, "a bigint, b bigint")
+            k, c, n = (np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip((k, c, n), batch.columns, strict=True))
+            same = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])  # a class that several tasks found
+            k, c, n = k[~same], c[~same], n[~same]
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                yield from whole(k[:cut], c[:cut], n[:cut], long_run)
+                k, c, n, long_run = k[cut:], c[cut:], n[cut:], False
+            if len(k) > 100_000:  # one list that doesn't end: it is a long one, and its last class is enough to go on
+                yield from whole(k, c, n, True)
+                k, c, n, long_run = k[-1:], c[-1:], n[-1:], True
+        if len(k):
+            yield from whole(k, c, n, long_run)
+
+    return met.mapInArrow(run, "kind tinyint, a bigint, b bigint, na int, nb int, m bigint")
+
+
+def _candidates(lists: DataFrame, percent: int, small: int) -> DataFrame:
+    """Edges (a, b) of the candidate graph: chains of long lists, and pairs that share enough of their keys.
+
+    A pair's long lists aren't counted, so as many as both are in are allowed for. Pairs that a small set is in meet on subsets, and one subset is enough."""
+    pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("m").alias("m"))
+    held = lists.filter("kind = 2").groupBy("a").agg(F.sum("m").alias("h"))
+    t = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
+    least = lambda n: t + 1 - F.ceil(F.col(n) * percent / 100.0 - 1e-9)
+    pairs = pairs.join(held.withColumnRenamed("h", "ha"), "a", "left").join(held.select(F.col("a").alias("b"), F.col("h").alias("hb")), "b", "left")
+    enough = F.col("m") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.least(least("na"), least("nb"))
+    return pairs.filter(enough | (F.least("na", "nb") <= small)).select("a", "b").union(lists.filter("kind = 1").select("a", "b"))
 
 
 def _sets(docs: DataFrame, bits):
@@ -308,11 +379,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     met = _meet(docs.select("text"), order, small, percent)
     met = met.repartition(4 * n_parts(spark), "key").sortWithinPartitions("key", "n", "cid")
     # many small rows instead of few large texts
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200_000)
-    edges = written(_chains(met, percent), "chains")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
+    lists = written(_lists(met, percent), "lists")
     tune(spark)
+    edges = written(_candidates(lists, percent, small), "candidates")
     family = components(edges, "families")
-    drop(counts, edges)
+    drop(counts, lists, edges)
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     large = family.groupBy("label").count().select("label", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     member = written(
