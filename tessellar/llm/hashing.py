@@ -69,14 +69,13 @@ class Words:
 
     def _hash(self) -> np.ndarray:
         out = np.empty(len(self.begin), np.uint64)
-        values = _T[self.data]
         done, at, size = 0, 0, len(self.data)
         while done < len(self.begin):  # pieces of whole words, of about _STEP bytes: the tables of powers stay small
             at = int(self.begin[done])
             last = max(int(np.searchsorted(self.end, at + _STEP, "right")), done + 1)
             stop = min(size, int(self.end[last - 1]))
             up, down = (_UP, _DOWN) if stop - at <= _STEP else (_powers(_R, stop - at), _powers(_R_INV, stop - at))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[at:stop] * up[: stop - at])])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_T[self.data[at:stop]] * up[: stop - at])])
             b, e = self.begin[done:last] - at, self.end[done:last] - at
             out[done:last] = (total[e] - total[b]) * down[b]
             done = last

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds at most; the mean document is a few KB, so that a batch is a few MB.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 #: Bytes an Arrow batch holds about at most, for tables with very long texts.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
