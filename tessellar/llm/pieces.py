@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ from .memo import Memo
 from .shared import drop, table, text_or_empty, tune, written
 
 MARK = "▁"
-DICTIONARY = 200_000
+DICTIONARY = 100_000
 LONGEST = 32
 MEMO_WORDS = 700_000
 _FINE = re.compile(r" *[^\W\d_]+| *(?:[\d_]|[^\w ])+| +")
@@ -102,6 +103,7 @@ class Model:
         if any(self.merge(MARK * n) != self.blanks(n) for n in range(1, 3 * self.run)) or min(self.score.values()) < max(self.score[MARK * n] for n in runs if n > 1):
             raise ValueError("only models are supported in which runs of blanks are cut from the left and merge last")
         self._agree: dict = {}
+        self._own: dict = {}
 
     def merge(self, s: str) -> list[str]:
         """The encoding by its definition: merge the best-scored neighbours, leftmost first, until none is a piece."""
@@ -127,21 +129,30 @@ class Model:
         return [MARK * self.run] * (n // self.run) + self.merge(MARK * (n % self.run))
 
     def path(self, w: str) -> list[str]:
-        """The pieces of a word without blanks or with one in front: for each end the one edge that agrees."""
-        last = [None] * (len(w) + 1)
-        last[0] = ""
-        ids, agree = self.id, self.agree
-        for end in range(1, len(w) + 1):
-            for start in range(max(0, end - self.longest), end):
-                p = w[start:end]
-                if last[start] is not None and (p in ids or end - start == 1) and agree("", p) and (not start or agree(last[start], p)):
-                    last[end] = p
-                    break
-        out, end = [], len(w)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+        """The pieces of a word without blanks or with one in front: the one path of the lattice on which neighbours agree.
+
+        It is found depth first, longest edge first. No end is reached by two agreeing paths, so an end from which it doesn't go on is never tried again."""
+        out, dead, at, most, n = [], set(), 0, self.longest, len(w)
+        ids, own, known = self.id, self._own, self._agree
+        while at < n:
+            before = out[-1] if out else ""
+            for size in range(min(most, n - at), 0, -1):
+                p = w[at : at + size]
+                if (p in ids or size == 1) and at + size not in dead:
+                    alone = own.get(p)
+                    if alone is None:
+                        alone = own[p] = self.merge(p) == [p]
+                    if alone:
+                        ok = known.get((before, p)) if before else True
+                        if ok or (ok is None and self.agree(before, p)):
+                            out.append(p)
+                            at, most = at + size, self.longest
+                            break
+            else:
+                dead.add(at)
+                most = len(out[-1]) - 1
+                at -= len(out.pop())
+        return out
 
     def encode(self, w: str) -> list[int]:
         """The ids of a word, with its blanks as spaces in front.
@@ -169,6 +180,12 @@ class Model:
         return self.words.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+@lru_cache(2)
+def load(data: bytes) -> Model:
+    """The model of a file's bytes, once a worker."""
+    return Model(data)
+
+
 class Decoder:
     """Ids to text: pieces in a row, bytes as bytes, marks as spaces, without the one put in front. Control pieces are
     empty, an unknown piece is the library's sign for it; bytes that are no UTF-8 become U+FFFD."""
@@ -197,7 +214,7 @@ def word_counts(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         from collections import Counter
 
-        m, seen = Model(model), Counter()
+        m, seen = load(model), Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
@@ -207,7 +224,7 @@ def word_counts(docs: DataFrame, model: bytes) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(m.split(t))
-            if len(seen) > 300_000:
+            if len(seen) > 600_000:
                 yield flush()
         yield flush()
 
@@ -245,7 +262,7 @@ def agreeing(edges: Column, model: bytes) -> Column:
 
     @F.pandas_udf("array<array<string>>")
     def run(words: pd.Series) -> pd.Series:
-        m, out = Model(model), []
+        m, out = load(model), []
         for es in words:
             ends: dict = {}
             for e in es:
@@ -273,7 +290,7 @@ def viterbi(edges: Column, agrees: Column) -> Column:
 
 def encode_words(words: DataFrame, model: bytes) -> DataFrame:
     """w, ids for the words of a table, each different, by the lattice."""
-    spark, m = words.sparkSession, Model(model)
+    spark, m = words.sparkSession, load(model)
     pieces = spark.createDataFrame(pd.DataFrame({"piece": list(m.id), "id": list(m.id.values())}), "piece string, id int")
     out = lattice(words.select("w"), pieces, m.longest)
     ids = viterbi(F.col("edges"), agreeing(F.col("edges"), model))
@@ -294,7 +311,7 @@ def encode(docs: DataFrame, model: bytes, dictionary: int = DICTIONARY) -> DataF
     shared = spark.sparkContext.broadcast((got["w"].tolist(), np.concatenate([*got["ids"], np.zeros(0, np.int32)]).astype(np.uint32), np.array([len(x) for x in got["ids"]], np.int64)))
 
     def run(batches):
-        m, memo = Model(model), Memo(MEMO_WORDS)
+        m, memo = load(model), Memo(MEMO_WORDS)
         words, flat, n = shared.value
         start = dict(zip(words, (np.cumsum(n) - n).tolist(), strict=True))
         sizes = dict(zip(words, n.tolist(), strict=True))
@@ -331,7 +348,7 @@ def decode(rows: DataFrame, model: bytes, to: str = "decoded") -> DataFrame:
 
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
-        d = Decoder(Model(model))
+        d = Decoder(load(model))
         return ids.map(lambda x: d(np.asarray(x if x is not None else [], np.int64)))
 
     return rows.withColumn(to, run("ids"))
@@ -342,7 +359,7 @@ def digests(encoded: DataFrame, model: bytes) -> DataFrame:
     tune(encoded.sparkSession)
 
     def run(batches):
-        d = Decoder(Model(model))
+        d = Decoder(load(model))
         for b in batches:
             ids, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
             got = [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
