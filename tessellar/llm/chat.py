@@ -148,6 +148,10 @@ def parse(source: str):
         if m[2] is not None:
             stack[-1][2].append(("out", _Expr(_tokens(body)).whole()))
             continue
+        assign = re.match(r"\s*set\s+([A-Za-z_]\w*)\s*=(?!=)(.*)$", body, re.S)
+        if assign:
+            stack[-1][2].append(("set", assign[1], _Expr(_tokens(assign[2])).whole()))
+            continue
         tokens = _tokens(body)
         word, rest = (tokens[0][1] if tokens else ""), tokens[1:]
         if word == "if":
@@ -160,11 +164,6 @@ def parse(source: str):
             stack.append(("for", (rest[0][1], _Expr(rest[2:]).whole()), []))
         elif word == "generation" and not rest:
             stack.append(("generation", None, []))
-        elif word == "set" and len(tokens) >= 3:
-            m2 = re.match(r"\s*set\s+([A-Za-z_]\w*)\s*=(?!=)(.*)$", body, re.S)
-            if not m2:
-                raise TemplateError(f"unreadable: {body!r}")
-            stack[-1][2].append(("set", m2[1], _Expr(_tokens(m2[2])).whole()))
         elif word.startswith("end") and not rest and stack[-1][0] == word[3:]:
             kind, head, inner = stack.pop()
             node = {"if": lambda: ("if", head), "for": lambda: ("for", *head, inner), "generation": lambda: ("gen", inner)}[kind]()
