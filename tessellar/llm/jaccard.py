@@ -382,14 +382,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
     lists = written(_lists(met, percent), "lists")
     tune(spark)
-    edges = written(_candidates(lists, percent, small), "candidates")
+    edges = written(_candidates(lists, percent, small), "candidates", few=True)
     family = components(edges, "families")
     drop(counts, lists, edges)
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     large = family.groupBy("label").count().select("label", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     member = written(
         family.join(large, "label").join(classes.withColumnRenamed("cid", "node"), "node")
-        .select(F.col("node").alias("cid"), F.col("label").alias("fam"), "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "rep"), "members",
+        .select(F.col("node").alias("cid"), F.col("label").alias("fam"), "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "rep"), "members", few=True,
     )
     bits, size = bloom(spark, member.select("rep"), member.count())
     sets = _sets(docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit"), "text"), bits)
@@ -403,7 +403,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     top = F.lit((1 << 63) - 1)
     linked = classes.select("cid", F.coalesce("rep", top).alias("rep")).join(group.withColumnRenamed("node", "cid"), "cid")
     smallest = linked.groupBy("label").agg(F.min("rep").alias("component"))
-    of_class = written(classes.join(group.withColumnRenamed("node", "cid"), "cid", "left").join(smallest, "label", "left").select("cid", F.coalesce("component", F.coalesce("rep", top)).alias("component")), "classes")
+    of_class = written(classes.join(group.withColumnRenamed("node", "cid"), "cid", "left").join(smallest, "label", "left").select("cid", F.coalesce("component", F.coalesce("rep", top)).alias("component")), "classes", few=True)
     drop(links, member, family, group)
     out = rows.join(of_class, "cid", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") != top, F.col("component")))
