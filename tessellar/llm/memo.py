@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from itertools import repeat
 
 import numpy as np
@@ -15,19 +16,18 @@ class Memo:
         self.clear()
 
     def clear(self):
-        self.index, self.at, self.n, self.flat, self.used = {}, np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.index, self.at, self.n, self.flat = {}, array("q"), array("q"), array("I")
 
     def keep(self, word, ids):
-        i = len(self.index)
-        if i == len(self.at):
-            self.at, self.n = np.concatenate([self.at, np.zeros(i, np.int64)]), np.concatenate([self.n, np.zeros(i, np.int64)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.index[word], self.at[i], self.n[i] = i, self.used, len(ids)
-        self.used += len(ids)
-
-    def get(self, word) -> np.ndarray | None:
+        self.index[word] = len(self.index)
+        self.at.append(len(self.flat))
+        self.n.append(len(ids))
+        if isinstance(ids, np.ndarray):
+            self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        else:
+            self.flat.extend(ids)
+
+    def get(self, word):
         i = self.index.get(word)
         return None if i is None else self.flat[self.at[i] : self.at[i] + self.n[i]]
 
@@ -40,8 +40,8 @@ class Memo:
         if (new := np.flatnonzero(index < 0)).size:
             learn({words[i] for i in new.tolist()})
             index[new] = [self.index[words[i]] for i in new.tolist()]
-        at, n = self.at[index], self.n[index]
+        at, n = np.frombuffer(self.at, np.int64)[index] if len(index) else index, np.frombuffer(self.n, np.int64)[index] if len(index) else index
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = (np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32))[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(cut)

@@ -176,10 +176,9 @@ class WordEncoder:
         self.tokenize = self.t.model.tokenize
         self.memo = Memo(MEMO_WORDS)
 
-    def _part(self, s: str) -> list[int]:
-        key = s.encode()
+    def _part(self, s: str, key: bytes):
         if (known := self.memo.get(key)) is not None:
-            return known.tolist()
+            return known
         if s.isalpha() and max(s) < "\u0250":
             ids = [t.id for t in self.tokenize("".join([_STAND_IN[b] for b in s.lower().encode()]))]
         else:
@@ -190,13 +189,13 @@ class WordEncoder:
     def _learn(self, words):
         for w in words:
             s = w.decode()
-            m = _PARTS.fullmatch(s)
+            m = None if s.isalpha() else _PARTS.fullmatch(s)
             if m and (m[1] or m[3]):
-                ids = [i for part in m.groups() if part for i in self._part(part)]
-                if self.memo.get(w) is None:
+                ids = [i for part in m.groups() if part for i in self._part(part, part.encode())]
+                if w not in self.memo.index:
                     self.memo.keep(w, ids)
             else:
-                self._part(s)
+                self._part(s, w)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
