@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     order = spark.sparkContext.broadcast((ids[by], heavy["c"].to_numpy(np.int64)[by]))
     small = boundary([(c, k) for c, k in histogram if c >= least], total, percent) if small is None else small
     met = _meet(docs.select("text"), order, small, percent)
-    met = met.repartition(4 * n_parts(spark), "key").sortWithinPartitions("key", "n", "cid")
+    met = met.repartition(n_parts(spark), "key").sortWithinPartitions("key", "n", "cid")
     # many small rows instead of few large texts
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
     lists = written(_lists(met, percent), "lists")
@@ -397,7 +397,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     # a class of block b takes part in the pairs (x, y), x <= y, with x = b or y = b
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     tasks = sets.select("fam", "block", "cid", "s", F.explode(every).alias("other")).select("fam", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cid", "s")
-    tasks = tasks.repartition(4 * n_parts(spark), "fam", "x", "y").sortWithinPartitions("fam", "x", "y")
+    tasks = tasks.repartition(n_parts(spark), "fam", "x", "y").sortWithinPartitions("fam", "x", "y")
     links = written(_verify(tasks, percent), "links")
     group = components(links, "groups")
     top = F.lit((1 << 63) - 1)

@@ -35,11 +35,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later jobs neither recompute it nor
-    depend on the executors that made it. ``few``: an eighth of the session's partitions write it, for tables of ids and
+    depend on the executors that made it. ``few``: a sixteenth of the session's partitions write it, for tables of ids and
     numbers between the rounds of an iteration, whose files would otherwise be tiny."""
     spark = df.sparkSession
     if few:
-        df = df.coalesce(max(4, n_parts(spark) // 8))
+        df = df.coalesce(max(4, n_parts(spark) // 16))
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
