@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. All word 3-grams of the test items go into a Bloom filter of bounded size. One pass over the whole texts keeps, around every
    run of 3-grams that pass it, a *passage* (the run and a margin as long as the longest item) with its 3-grams.
-2. The passages' 3-grams are joined to the items' on the gram's hash, which also gives each gram's document frequency.
-   An item's *seeds* are the rarer half of its grams (ties with the median included): relative to the item, so that
-   one that leaked into a third of all documents keeps its seeds.
-3. Passages and items that share a seed are aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1). The score is the
+2. The passages' 3-grams are joined to the items' on the gram's hash. Every 3-gram of an item is a *seed*, however many passages
+   hold it: those that an edited copy keeps are in all exact copies too, and so never the rarer ones.
+3. Passages and items that share a seed, and have so many words in common that the threshold can be reached, are aligned word by
+   word (Smith-Waterman: match 2, mismatch -1, gap -1). The score is the
    best local alignment's over that of the whole item against itself; from ``THRESHOLD`` on the pair is reported,
    with the words of the document that the alignment covers.
 
@@ -14,10 +14,11 @@ Words are runs of letters, digits and non-ASCII characters, in lower case. An it
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hashing import MARKS, Words
@@ -116,6 +117,14 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def may_reach(item: np.ndarray, text: np.ndarray, threshold: float) -> bool:
+    """False only where no alignment reaches the threshold: one that does has that share of the item's length in matches, and its
+    gaps, which the matches must outweigh, bound the words of ``text`` that it spans."""
+    span = min(len(text), math.ceil(len(item) * (1 + MATCH * (1 - threshold) / -GAP)))
+    known = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.isin(text, item))])
+    return int((known[span:] - known[: len(known) - span]).max()) >= threshold * len(item)
+
+
 def score_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, item_id, score, begin, end of those ``pairs`` (doc_id, begin, words, item_id, item) that reach the threshold."""
 
@@ -124,7 +133,7 @@ def score_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
             out = []
             for doc, begin, words, item_id, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text, x = np.frombuffer(words, np.int64), np.array(item, np.int64)
-                best, end = align(x, text)
+                best, end = align(x, text) if may_reach(x, text, threshold) else (0, 0)
                 if best >= threshold * MATCH * len(x):
                     back, length = align(x[::-1], text[:end][::-1])
                     out.append((doc, item_id, best / (MATCH * len(x)), begin + end - length, begin + end))
@@ -152,13 +161,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     bits = spark.sparkContext.broadcast(np.packbits(ok, bitorder="little").tobytes())
     lengths = tuple(k for k in (1, 2) if k >= shortest) + (GRAM,)
     found = written(passages(docs, bits, size, min(longest, MARGIN_MAX), lengths), "passages")
-    # how many passages hold each gram: the rarer half of an item's grams are its seeds
-    frequency = found.select(F.explode("grams").alias("g")).groupBy("g").count()
-    ranked = grams.join(frequency, "g").withColumn("rank", F.percent_rank().over(W.partitionBy("item_id").orderBy("count")))
-    seeds = written(ranked.filter("rank <= 0.5").select("g", "item_id"), "seeds")
-    # (passage, item) pairs that share a seed; a passage without one goes no further
+    # (passage, item) pairs that share a gram; a passage without one goes no further
     at = found.withColumn("p", F.xxhash64("doc_id", "begin", "words"))
-    met = at.select("p", F.explode("grams").alias("g")).join(seeds, "g").select("p", "item_id").distinct()
+    met = at.select("p", F.explode("grams").alias("g")).join(grams, "g").select("p", "item_id").distinct()
     spread = max(1, 4 * n_parts(spark))
     pairs = met.join(at.select("p", "doc_id", "begin", "words").dropDuplicates(["p"]), "p").select("doc_id", "begin", "words", "item_id")
     pairs = pairs.join(known.select("item_id", F.col("words").alias("item")).distinct(), "item_id").repartition(spread)

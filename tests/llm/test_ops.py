@@ -99,6 +99,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [0, 1, 5, 50])
+def test_edited_copy_beside_exact_ones(spark, exact):
+    """Fewer than half of the item's 3-grams survive the edits, and exact copies hold all of them."""
+    r = random.Random(9)
+    item = [f"w{r.randint(0, 999)}" for _ in range(40)]
+    edited = [f"changed{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    noise = lambda: [f"w{r.randint(0, 999)}" for _ in range(30)]
+    rows = [(1, " ".join(noise() + edited + noise())), (2, " ".join(noise()))] + [(100 + k, " ".join(noise() + item)) for k in range(exact)]
+    items = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    got = {x.doc_id: x.score for x in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert set(got) == {1, *range(100, 100 + exact)} and 0.65 < got[1] < 0.75
+
+
+def test_unreachable_pairs_only():
+    r = np.random.default_rng(8)
+    seen = set()
+    for _ in range(600):
+        a, b = r.integers(0, 12, r.integers(1, 12)), r.integers(0, 12, r.integers(1, 60))
+        for t in (0.3, 0.5, 0.8):
+            able, does = decontaminate.may_reach(a, b, t), decontaminate.align(a, b)[0] >= t * 2 * len(a)
+            assert able or not does
+            seen.add((able, does))
+    assert len(seen) == 3
+
+
 # ---------------------------------------------------------------- 3
 
 
