@@ -6,7 +6,8 @@ words (letter and digit runs), hashed into ``2**BITS`` coordinates; a text witho
 left is a short list of (coordinate, weight) that is broadcast to score the table.
 
 The fit reads at most ``FIT_ROWS`` labelled texts, those with the smallest hash of doc_id (a documented bound; it is a
-sample of the labelled rows, never of the rows that are scored), of which each counts at most ``FIT_CHARS`` characters.
+sample of the labelled rows, never of the rows that are scored), each of them whole: workers hash it to at most ``2**BITS``
+coordinates.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .shared import table, text_or_empty, tune
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 1.0, 4
 FIT_ROWS = 10_000
-FIT_CHARS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 _MEMO_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, hold_out: int | None = 5, fit_rows
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hasher(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "toxic", "at"])
 
     # at most fit_rows ids: a broadcast of proven size
-    sample = docs.select("doc_id", F.substring(text_or_empty(), 1, FIT_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
     got = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).mapInArrow(run, "doc_id bigint, toxic int, at binary").toPandas()
     got = got.sort_values("doc_id")
     return fit([np.frombuffer(x, np.uint32) for x in got["at"]], got["toxic"].to_numpy(np.float64))

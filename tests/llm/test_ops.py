@@ -140,6 +140,15 @@ def test_ftrl(spark):
     assert toxicity.score(docs(spark, rows[:1]), untrained).first().score == 0.5
 
 
+def test_ftrl_learns_from_whole_texts(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(6000)) + (" vile brute" if i % 4 == 0 else "")) for i in range(80)]
+    assert min(len(t) for _, t in rows) > 20_100
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
+    got = {x.text: x.score for x in toxicity.score(docs(spark, [(0, "the vile brute"), (1, "the cat sat")]), model).collect()}
+    assert got["the vile brute"] > got["the cat sat"]
+
+
 # ---------------------------------------------------------------- 4
 
 
