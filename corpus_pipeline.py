@@ -1,7 +1,8 @@
 """A corpus pipeline of four stages over ``documents``; each works on all rows its predecessor kept.
 
 All stages but the last return the columns of ``documents``. Rows with null ids or texts pass through each stage by its
-operator's rules: they are neither toxic, nor near copies of other texts, nor contaminated, unless their text says so.
+operator's rules: they are neither toxic, nor near copies of other texts, nor contaminated, unless their text says so. Decisions
+about rows are joined back by a key of id and text, as ids can be null or repeated.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from tessellar.llm import decontaminate, jaccard, pieces, toxicity
 from tessellar.llm.shared import table, written
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, equal for rows that share id and text (both nulls of their own)."""
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go. The classifier learns from the labelled documents among its input."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -22,17 +28,21 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard of 0.8 or more) the document with the smallest doc_id stays.
 
-    Documents without words aren't copies of each other and stay; of rows that repeat an id and its text one stays."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    Null ids count as larger than all others; of different texts under the smallest id one stays. Documents without words aren't
+    copies of each other and stay; of rows that repeat an id and its text one stays."""
+    rows = keyed(docs)
+    groups = jaccard.jaccard_components(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
+    known = groups.distinct().join(rows.select("__key", "doc_id").distinct(), "__key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
+    stay = known.groupBy("component_id").agg(first).select("first.__key")
+    return rows.join(stay, "__key", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, also an edited one, go."""
-    hits = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti")
+    rows = keyed(docs)
+    hits = decontaminate.contaminated(rows.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(hits.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,22 @@ def test_pipeline(spark):
     last = {x.doc_id: x for x in p.STAGES[3][1](spark, clean, SF).collect()}
     assert {k: x.decoded for k, x in last.items()} == {x.doc_id: x.text for x in clean.collect()}
     assert sorted(x.doc_id for x in p.run(spark, SF).collect()) == sorted(last)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item, other = (" ".join(f"{w}{i}" for i in range(30)) for w in "uv")
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = lambda rows: spark.createDataFrame([(i, "s", t) for i, t in rows], "doc_id bigint, source string, text string")
+    rows = [(None, f"so {item}"), (None, "clean one"), (None, None), (4, f"and {item}"), (4, "clean two"), (5, "clean two")]
+    got = p.uncontaminated(spark, docs(rows), str(tmp_path))
+    assert got.columns == ["doc_id", "source", "text"]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
+    near = [f"{other} end{k}" for k in range(4)]
+    rows = [(None, near[0]), (3, near[1]), (None, "alone"), (None, None), (None, ""), (7, item), (7, f"{item} end"), (7, "apart"), (None, "two same"), (None, "two same"), (8, near[2])]
+    got = sorted(((x.doc_id, x.text) for x in p.one_of_near_copies(spark, docs(rows), str(tmp_path)).collect()), key=repr)
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 2 and (7, "apart") in sevens
+    assert [r for r in got if r[0] != 7] == sorted([(3, near[1]), (None, "alone"), (None, None), (None, ""), (None, "two same")], key=repr)
