@@ -114,10 +114,13 @@ def byte_derivative(px: DataFrame, level: int = 1) -> DataFrame:
     return d.select("band", "row", "col", "depth", F.pmod(F.col("d").cast("bigint"), F.lit(256)).alias("byte"))
 
 
-def interleave_swap(px: DataFrame, width: int, depth: int, pixels: int) -> DataFrame:
-    """Positions of each value pixel-interleaved (p * depth + d) and band-sequential (d * pixels + p)."""
+def interleave_swap(px: DataFrame, width: int, depth: int) -> DataFrame:
+    """Positions of each value pixel-interleaved (p * depth + d) and band-sequential (d * pixels + p), with as many pixels as the
+    rows of ``px`` have."""
     p = F.col("row") * width + F.col("col")
-    return px.select((p * depth + F.col("depth")).alias("bip"), (F.col("depth") * pixels + p).alias("bsq"), "z")
+    # one row: a broadcast of proven size
+    size = F.broadcast(px.agg(((F.max("row") + 1) * width).alias("pixels")))
+    return px.crossJoin(size).select((p * depth + F.col("depth")).alias("bip"), (F.col("depth") * F.col("pixels") + p).alias("bsq"), "z")
 
 
 def round_half_up(px: DataFrame) -> DataFrame:

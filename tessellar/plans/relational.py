@@ -380,7 +380,7 @@ def byte_derivative(spark, d):
 
 @query(on("embed4", 'SELECT ("row" * 16 + col) * 4 + depth AS bip, depth * 16000 + "row" * 16 + col AS bsq, z FROM px'))
 def interleave_swap(spark, d):
-    return transforms.interleave_swap(rasters.embed(spark, d, 4), 16, 4, 16000)
+    return transforms.interleave_swap(rasters.embed(spark, d, 4), 16, 4)
 
 
 @query(on("orders", 'SELECT band, "row", col, depth, CAST(floor(z + 0.5) AS BIGINT) AS v FROM px'))

@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessellar.plans import registry
 
@@ -51,3 +52,20 @@ def test_filters_reach_the_scan(spark):
 
     plan = rasters.embed(spark, SF).filter("row < 10")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(vec_id,10)" in plan and "label" not in plan
+
+
+@pytest.mark.parametrize("rows", [3, 1000, 1001, 2500])
+def test_interleave_is_a_permutation(spark, rows):
+    from tessellar.operators import transforms
+
+    cell = spark.range(rows * 64)
+    px = cell.select((F.col("id") / 64).cast("bigint").alias("row"), (F.col("id") % 64 / 4).cast("bigint").alias("col"), (F.col("id") % 4).alias("depth"), F.col("id").cast("double").alias("z"))
+    got = transforms.interleave_swap(px, 16, 4).collect()
+    assert sorted(x.bip for x in got) == sorted(x.bsq for x in got) == list(range(rows * 64))
+    assert all(x.bip == x.z for x in got)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_interleave_query_is_a_permutation(spark, sf):
+    got = registry.queries()["interleave_swap"](spark, f"/root/testdata/{sf}").agg(F.countDistinct("bsq"), F.max("bsq"), F.count("*")).first()
+    assert got[0] == got[1] + 1 == got[2]
