@@ -23,22 +23,24 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memo import Memo
+from .memo import WordIds
 from .shared import n_parts, table, text_or_empty, tune, written
 
 MAGIC, VERSION, BLOCK, LANE = b"PFR1", 1, 256, 64
 PERCENTILE = 95
 #: Ids after which a segment is closed (at the end of a document).
 SEGMENT_IDS = 1 << 20
-#: Words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 1_000_000
+#: Words whose ids a worker remembers, and bytes of the parts of words.
+MEMO_WORDS = 2_000_000
+MEMO_BYTES = 64 << 20
 NULL_ID = -(1 << 63)
 HEAD = "<4sHHIIQQ"
 
@@ -156,6 +158,9 @@ class Segment:
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _STAND_IN = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 _PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+_SPECIAL = "<|"
+#: The one letter below U+0250 that becomes two characters in lower case: a letter and a mark.
+_DOTTED = "\u0130"
 
 
 class WordEncoder:
@@ -164,9 +169,10 @@ class WordEncoder:
     ``word_bpe_49k.json`` drops white space, never merges across it and splits letters from ASCII marks other than the
     apostrophe, so a text's ids are those of its ASCII-blank separated words in turn, and a word's those of its leading
     marks, letters and trailing marks. Each different part is encoded by the library once and remembered; a run of
-    letters below U+0250, which the normaliser only lower-cases, goes straight to the library's BPE model. Texts that
-    hold ``<|`` (special tokens are matched before anything else) and, for other tokenizers, all texts are encoded
-    whole.
+    letters below U+0250, which the normaliser turns into as many lower-case letters, goes straight to the library's BPE model; a
+    word with U+0130, which becomes a letter and a mark, isn't taken apart. Only words of ASCII bytes are lower-cased here: with a
+    combining mark the library composes before it lower-cases. A text that holds ``<|`` (special tokens are matched before anything else) and, for
+    other tokenizers, every text is encoded whole.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -174,36 +180,48 @@ class WordEncoder:
 
         self.t, self.by_word = Tokenizer.from_file(path), by_word
         self.tokenize = self.t.model.tokenize
-        self.memo = Memo(MEMO_WORDS)
-
-    def _part(self, s: str, key: bytes):
-        if (known := self.memo.get(key)) is not None:
-            return known
-        if s.isalpha() and max(s) < "\u0250":
-            ids = [t.id for t in self.tokenize("".join([_STAND_IN[b] for b in s.lower().encode()]))]
-        else:
-            ids = self.t.encode(s, add_special_tokens=False).ids
-        self.memo.keep(key, ids)
-        return ids
-
-    def _learn(self, words):
-        for w in words:
-            s = w.decode()
-            m = None if s.isalpha() else _PARTS.fullmatch(s)
-            if m and (m[1] or m[3]):
-                ids = [i for part in m.groups() if part for i in self._part(part, part.encode())]
-                if w not in self.memo.index:
-                    self.memo.keep(w, ids)
+        self.parts, self.held = {}, 0
+        self.ids = WordIds(self._word, MEMO_WORDS, lower=True)
+
+    def _part(self, s: str):
+        known = self.parts.get(s)
+        if known is None:
+            if s.isascii() and s.isalpha():
+                known = [t.id for t in self.tokenize(s.lower())]
+            elif s.isalpha() and max(s) < "\u0250" and _DOTTED not in s:
+                known = [t.id for t in self.tokenize("".join([_STAND_IN[b] for b in s.lower().encode()]))]
             else:
-                self._part(s, w)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
-        if not self.by_word or any("<|" in t for t in texts):
-            got = [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
-            return np.fromiter((i for g in got for i in g), np.uint32, sum(map(len, got))), np.array([len(g) for g in got], np.int64)
-        split = [(t.lower() if t.isascii() else t).encode().split() for t in texts]
-        return self.memo.ids(list(chain.from_iterable(split)), np.array([len(x) for x in split], np.int64), self._learn)
+                known = self.t.encode(s, add_special_tokens=False).ids
+            self.held += len(s) + 100
+            if self.held > MEMO_BYTES:
+                self.parts, self.held = {}, 0
+            self.parts[s] = known
+        return known
+
+    def _word(self, word: bytes):
+        s = word.decode()
+        m = None if s.isalpha() or _DOTTED in s else _PARTS.fullmatch(s)
+        return [i for part in m.groups() if part for i in self._part(part)] if m else self._part(s)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a string column in a row, number of ids of each text)."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring(texts, _SPECIAL) if self.by_word else pa.array(np.ones(len(texts), bool))
+        of = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if not len(of):
+            return self.ids(texts)
+        ids, n = self.ids(pc.if_else(whole, "", texts))
+        got = [e.ids for e in self.t.encode_batch(texts.take(pa.array(of)).to_pylist(), add_special_tokens=False)]
+        more = np.array([len(g) for g in got], np.int64)
+        where = np.concatenate([[0], np.cumsum(n)])[of]
+        n[of] = more
+        return np.insert(ids, np.repeat(where, more), np.fromiter((i for g in got for i in g), np.uint32, int(more.sum()))), n
+
+
+@lru_cache(1)
+def encoder(path: str, by_word: bool) -> WordEncoder:
+    """The encoder of a worker: what it remembers serves all tasks."""
+    return WordEncoder(path, by_word)
 
 
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int, name: str = "segments", by_word: bool = True) -> DataFrame:
@@ -218,7 +236,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, name: str = "se
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, seq, start = WordEncoder(tokenizer, by_word), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, start = encoder(tokenizer, by_word), TaskContext.get().partitionId(), 0, 0
         docs_, lens, held, n_held = [], [], [], 0
 
         def close():
@@ -229,14 +247,12 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, name: str = "se
             return out
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            names, texts = b.column(0).to_pylist(), b.column(1)
+            bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
             i = 0
             while i < len(texts):  # a few hundred KB of text at a time, however long the texts of a batch are
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 19):
-                    size += len(texts[j])
-                    j += 1
-                ids, n = enc.encode(texts[i:j])
+                j = max(i + 1, int(np.searchsorted(bytes_, (bytes_[i - 1] if i else 0) + (1 << 19), "right")))
+                ids, n = enc.encode(texts.slice(i, j - i))
                 ends = np.cumsum(n + 1)
                 all_ids = np.full(int(ends[-1]), end_id, np.uint32)
                 keep = np.ones(len(all_ids), bool)
@@ -258,7 +274,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, name: str = "se
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and n_exceptions of every document in the segment table.
+    """doc_id, start, n_tokens and ids_crc32 of every document in the segment table.
 
     Starts: a segment knows how many ids its part wrote before it, and the totals of the parts (one row a task) are
     summed and joined in."""

@@ -64,6 +64,26 @@ def test_token_files(spark):
     assert pfor.read_documents(pfor.write_segments(docs(spark, []), tokenizers.path("word_bpe_49k.json"), 1)).count() == 0
 
 
+def test_word_encoder_as_library():
+    """Random texts of U+0020 to U+024F, combining marks, blanks and special tokens: alone, in batches, and with a memory that overflows."""
+    path = tokenizers.path("word_bpe_49k.json")
+    r = random.Random(3)
+    plain = [chr(c) for c in (*range(0x20, 0x250), *range(0x300, 0x370))] + list(" \t\n'.,aA1İT\u0308") * 15 + ["日", "한", "Σ", "\u00a0", "\u3000", "\u212a", "\x00", "\x1c"]
+    whole, little = pfor.WordEncoder(path), pfor.WordEncoder(path)
+    little.ids = type(little.ids)(little._word, 64, lower=True)
+    want = lambda t: whole.t.encode(t or "", add_special_tokens=False).ids
+    for turn in range(120):
+        alphabet = plain + ["<|", "<|endoftext|>", "<|EndOfText|>"] * (turn % 2 * 20)
+        batch = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(50)]
+        batch += [None, "", "İw", "İ| x", "x" * 20, "a" * 15, "a" * 16, "a\x00", "a", "A\u0308 T\u0308x"]
+        for e in (whole, little):
+            ids, n = e.encode(pa.array(batch, pa.string()))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [want(t) for t in batch]
+            for t in batch[:5]:
+                assert e.encode(pa.array([t], pa.string()))[0].tolist() == want(t)
+
+
 # ---------------------------------------------------------------- 2
 
 
