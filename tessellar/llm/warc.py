@@ -1,9 +1,10 @@
 """WARC archives and their Merkle fixity audit.
 
-``archive`` turns pages into WARC/1.1 response records with offsets in archives of about ``RECORDS`` records.
+``archive`` turns pages into WARC/1.1 response records with offsets in archives of ``RECORDS`` records.
 ``tree`` hashes each record with its offset range into a leaf and every ``FANOUT`` neighbouring nodes into their
-parent, up to one root for each archive; a node also covers the byte range of its children. ``audit`` compares the roots
-of two replicas and descends only below nodes that differ, down to the damaged records.
+parent, up to one root for each archive; a node also covers the byte range of its children and holds them, so that an archive's tree
+is one row. ``audit`` compares the roots of two replicas, reads the trees of archives whose roots differ, and in these opens only
+nodes that differ, down to the damaged records.
 
 Everything is DataFrame expressions; all groups are bounded (FANOUT children; the records of an archive), whatever the
 number of pages, and a page that holds many bytes is one record.
@@ -15,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import drop, table, written
+from .shared import drop, n_parts, table, written
 
 RECORDS = 512
+#: Archives whose records are numbered together, on average.
+SHELF = 8
 FANOUT = 8
-LEVELS = 0  # the level of the leaves
 CRLF = "\r\n"
 #: The capture date of records: fixed, so that the same pages give the same bytes.
 DATE = "2024-01-01T00:00:00Z"
@@ -44,63 +46,73 @@ def record_bytes(url: Column, html: Column) -> Column:
 
 
 def archive(pages: DataFrame, records: int = RECORDS) -> DataFrame:
-    """Records of all ``pages`` (page_id, url, html): archive, record_no, page_id, offset, length, record.
+    """Records of all ``pages`` (page_id, url, html): archive, record_no, page_id, offset, length, digest, record.
 
-    A page's archive is a hash of its id and url, so that no host or id range fills one archive; records are in
-    order of page_id, url and content. Repeated rows are records of their own; null ids come first. An empty table gives no record.
+    A page's shelf is a hash of its id, url and content, so that no host or id range fills one; a shelf's records in order of
+    page_id, url and digest are cut into archives of ``records``. Repeated rows are records of their own (they share a shelf, and fill as
+    many archives as they need); null ids come first. An empty table gives no record.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), record_bytes(F.col("url"), F.col("html")).alias("record"))
-    n = max(1, -(-pages.select(F.lit(1)).count() // records))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", F.xxhash64("record")), F.lit(n)).cast("int")).withColumn("length", F.octet_length("record").cast("bigint"))
-    w = W.partitionBy("archive").orderBy("page_id", "url", "record")
-    rows = rows.withColumn("record_no", F.row_number().over(w) - 1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(W.partitionBy("archive").orderBy("record_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
-    return rows.select("archive", "record_no", "page_id", "offset", "length", "record")
+    shelves = max(1, -(-pages.select(F.lit(1)).count() // (records * SHELF)))
+    rows = rows.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("bigint"))
+    rows = rows.withColumn("shelf", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(shelves))).repartition(n_parts(pages.sparkSession), "shelf")
+    w = W.partitionBy("shelf").orderBy("page_id", "url", "digest")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("k", F.row_number().over(w) - 1).withColumn("total", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    rows = rows.withColumn("record_no", F.col("k") % records)
+    base = F.last(F.when(F.col("record_no") == 0, F.col("total")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    number = F.col("shelf") + F.lit(shelves) * F.floor(F.col("k") / records)
+    return rows.select(number.cast("bigint").alias("archive"), "record_no", "page_id", (F.col("total") - base).cast("bigint").alias("offset"), "length", "digest", "record")
 
 
-def leaf_hash(offset: Column, length: Column, record: Column) -> Column:
-    return F.sha2(F.concat(F.encode(F.concat_ws(":", F.lit("leaf"), offset.cast("string"), length.cast("string"), F.sha2(record, 256)), "UTF-8")), 256)
+def leaf_hash(offset: Column, length: Column, digest: Column) -> Column:
+    return F.sha2(F.encode(F.concat_ws(":", F.lit("leaf"), offset.cast("string"), length.cast("string"), digest), "UTF-8"), 256)
 
 
 def leaves(replica: DataFrame) -> DataFrame:
-    """Level 0: one row a record (archive, node = record_no, begin, end, hash)."""
-    return replica.select("archive", F.col("record_no").cast("int").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), leaf_hash(F.col("offset"), F.col("length"), F.col("record")).alias("hash"))
+    """One row a record of the replica (archive, record_no, offset, length, record): archive, node = record_no, begin, end, hash, from the record's bytes."""
+    hashed = leaf_hash(F.col("offset"), F.col("length"), F.sha2("record", 256))
+    return replica.select("archive", F.col("record_no").cast("int").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), hashed.alias("hash"))
 
 
-def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
-    """All nodes: level, archive, node, begin, end, hash; level ``levels`` holds the roots. A parent hashes its children's
-    hashes in order."""
-    level, out = leaf_rows, leaf_rows.withColumn("level", F.lit(0))
-    for k in range(1, levels + 1):
-        level = level.groupBy("archive", (F.floor(F.col("node") / FANOUT)).cast("int").alias("parent")).agg(
-            F.min("begin").alias("begin"), F.max("end").alias("end"),
-            F.sha2(F.concat(F.lit("node:"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), ",")), 256).alias("hash"),
-        ).withColumnRenamed("parent", "node")
-        out = out.unionByName(level.withColumn("level", F.lit(k)))
-    return out.select("level", "archive", "node", "begin", "end", "hash")
-
-
-def levels_for(leaf_rows: DataFrame) -> int:
-    """Levels until every archive has a single node."""
-    most, k = leaf_rows.agg(F.max("node")).first()[0] or 0, 0
-    while most > 0:
-        most, k = most // FANOUT, k + 1
+def depth(records: int = RECORDS) -> int:
+    """Levels above the leaves until ``records`` of them have one root."""
+    k = 1
+    while FANOUT**k < records:
+        k += 1
     return k
 
 
+def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
+    """A row for each root: archive, node, begin, end, hash, children; ``children`` are structs of the same fields, down to the leaves.
+    A parent hashes its children's hashes in order. One shuffle, on the archive."""
+    level = leaf_rows.repartition(n_parts(leaf_rows.sparkSession), "archive")
+    for k in range(levels):
+        child = F.struct("node", "begin", "end", "hash", *(["children"] if k else []))
+        level = level.groupBy("archive", F.floor(F.col("node") / FANOUT).cast("int").alias("parent")).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_list(child)).alias("children"))
+        hashes = F.array_join(F.transform("children", lambda x: x["hash"]), ",")
+        level = level.select("archive", F.col("parent").alias("node"), "begin", "end", F.sha2(F.concat(F.lit("node:"), hashes), 256).alias("hash"), "children")
+    return level
+
+
 def audit(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
     """Leaves of the trees ``a`` and ``b`` that differ (archive, node, begin, end, hash_a, hash_b); one that only one
-    replica has counts as different. Below nodes that agree nothing is read."""
-    below = None
-    for k in range(levels, -1, -1):
-        at = F.col("level") == k
-        pair = [t.filter(at).select("archive", "node", F.struct("begin", "end", "hash").alias(n)) for t, n in ((a, "a"), (b, "b"))]
-        if below is not None:
-            pair = [p.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int")).join(below, ["archive", "up"], "left_semi").drop("up") for p in pair]
-        diff = pair[0].join(pair[1], ["archive", "node"], "full").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
-        if k:
-            below = diff.select("archive", F.col("node").alias("up"))
-    return diff.select("archive", "node", F.coalesce("a.begin", "b.begin").alias("begin"), F.coalesce("a.end", "b.end").alias("end"), F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"))
+    replica has counts as different.
+
+    Roots are compared for all archives (of the other columns nothing is read); the trees of those that differ are brought together by
+    archive once, and below nodes that agree nothing is opened."""
+    sides = [t.select("archive", "node", F.col("hash").alias(h)) for t, h in ((a, "ha"), (b, "hb"))]
+    roots = sides[0].join(sides[1], ["archive", "node"], "full").filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("archive").distinct()
+    open_ = [t.join(roots, "archive", "left_semi").select("archive", "children", F.lit(n).alias("side")) for t, n in ((a, "a"), (b, "b"))]
+    level = open_[0].unionByName(open_[1]).repartition(n_parts(a.sparkSession), "archive")
+    kids = level.select("archive", "side", F.explode("children").alias("x"))
+    for k in range(levels):
+        pick = lambda n: F.first(F.when(F.col("side") == n, F.col("x")), ignorenulls=True).alias(n)
+        pair = kids.groupBy("archive", F.col("x.node").alias("node")).agg(pick("a"), pick("b")).filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
+        if k < levels - 1:
+            both = F.array(*[F.struct(F.lit(n).alias("side"), F.col(n)["children"].alias("children")) for n in ("a", "b")])
+            kids = pair.select("archive", F.explode(both).alias("y")).select("archive", "y.side", F.explode("y.children").alias("x"))
+    return pair.select("archive", "node", F.coalesce("a.begin", "b.begin").alias("begin"), F.coalesce("a.end", "b.end").alias("end"), F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"))
 
 
 def damaged(records: DataFrame, one_in: int = 500) -> DataFrame:
@@ -118,12 +130,11 @@ def damaged(records: DataFrame, one_in: int = 500) -> DataFrame:
 def op6_merkle_fixity(spark, sf_dir: str) -> DataFrame:
     """Every page's place in the archives, its leaf hash and whether the second replica's record is intact."""
     first = written(archive(table(spark, sf_dir, "pages")), "warc")
-    a = written(first.select("page_id", "length", *[F.col(c) for c in ("archive", "record_no", "offset")], leaf_hash(F.col("offset"), F.col("length"), F.col("record")).alias("hash")), "leaves-a")
-    b = written(leaves(damaged(first)), "leaves-b")
-    drop(first)
+    a = first.select("page_id", "length", "archive", "record_no", "offset", leaf_hash(F.col("offset"), F.col("length"), F.col("digest")).alias("hash"))
     leaf_a = a.select("archive", F.col("record_no").cast("int").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), "hash")
-    levels = max(levels_for(leaf_a), levels_for(b))
-    tree_a, tree_b = written(tree(leaf_a, levels), "tree-a"), written(tree(b, levels), "tree-b")
-    found = audit(tree_a, tree_b, levels).select("archive", F.col("node").alias("record_no"), F.lit(True).alias("damaged"))
+    levels = depth()
+    tree_a, tree_b = written(tree(leaf_a, levels), "tree-a"), written(tree(leaves(damaged(first)), levels), "tree-b")
+    found = written(audit(tree_a, tree_b, levels), "damaged").select("archive", F.col("node").alias("record_no"), F.lit(True).alias("damaged"))
+    drop(tree_a, tree_b)
     out = a.join(found, ["archive", "record_no"], "left")
     return out.select("page_id", "archive", "record_no", F.col("offset").alias("begin"), "length", "hash", F.coalesce("damaged", F.lit(False)).alias("damaged"))

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -226,11 +227,18 @@ def test_fixity(spark):
         assert [x.offset for x in own] == [sum(y.length for y in own[:i]) for i in range(len(own))]
     b = warc.damaged(a, 20)
     la, lb = warc.leaves(a), warc.leaves(b)
-    n = warc.levels_for(la)
+    n = warc.depth(40)
+    assert max(Counter(x.archive for x in recs).values()) <= 40
     got = {(x.archive, x.node) for x in warc.audit(warc.tree(la, n), warc.tree(lb, n), n).collect()}
     other = {(x.archive, x.record_no): bytes(x.record) for x in b.collect()}
     assert got == {(x.archive, x.record_no) for x in recs if other[x.archive, x.record_no] != bytes(x.record)} and got
     assert warc.audit(warc.tree(la, n), warc.tree(la, n), n).count() == 0
+    gone = (min(x.archive for x in recs), 0)  # a record, and a whole archive, that one replica lost
+    other = la.filter(f"not (archive = {gone[0]} and node = 0) and archive <> {max(x.archive for x in recs)}")
+    lost = {(x.archive, x.node) for x in warc.audit(warc.tree(la, n), warc.tree(other, n), n).collect()}
+    assert lost == {gone} | {(x.archive, x.record_no) for x in recs if x.archive == max(y.archive for y in recs)}
+    repeated = spark.createDataFrame([(1, "u", "same")] * 100, "page_id bigint, url string, html string")
+    assert sorted(Counter(x.archive for x in warc.archive(repeated, 40).collect()).values()) == [20, 40, 40]
     assert warc.archive(pages.limit(0)).count() == 0
 
 
