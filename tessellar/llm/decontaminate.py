@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import MARKS, Words
-from .shared import drop, n_parts, table, tune, written
+from .shared import bit_array, drop, n_parts, table, tune, written
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-#: Words of an item that a passage's margin covers at most; longer items still meet passages of any length.
-MARGIN_MAX = 4096
 
 
 def item_grams(items: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -54,14 +52,10 @@ def _short(h: np.ndarray) -> np.ndarray:
     return np.array([h[0] * np.uint64(3) + (h[1] if len(h) > 1 else np.uint64(1))], np.uint64)
 
 
-def bloom_bits(grams: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter (bits, size) of the distinct values of the bigint column ``g``: two bits a value, 2**14 to 2**27 bits in all."""
+def bloom_bits(grams: DataFrame, count: int) -> tuple[bytes, int]:
+    """A Bloom filter (bytes, bits) of the distinct values of the bigint column ``g``: two bits a value, 2**14 to 2**27 bits in all."""
     size = 1 << min(27, max(14, (32 * max(1, count)).bit_length()))
-    at = grams.select(F.explode(F.array(F.col("g").bitwiseAND(F.lit(size - 1)), F.shiftright("g", 32).bitwiseAND(F.lit(size - 1)))).alias("b"))
-    got = at.groupBy(F.shiftright("b", 3).alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 as int)))").alias("v")).toPandas()
-    bits = np.zeros(size >> 3, np.uint8)
-    bits[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.uint8)
-    return np.unpackbits(bits, bitorder="little").astype(bool), size
+    return bit_array(grams.select(F.explode(F.array(F.col("g").bitwiseAND(F.lit(size - 1)), F.shiftright("g", 32).bitwiseAND(F.lit(size - 1))))), size), size
 
 
 def passages(docs: DataFrame, bits, size: int, margin: int, lengths: tuple, gram: int = GRAM) -> DataFrame:
@@ -157,10 +151,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     if not distinct:
         drop(known)
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, begin bigint, end bigint")
-    ok, size = bloom_bits(grams, distinct)
-    bits = spark.sparkContext.broadcast(np.packbits(ok, bitorder="little").tobytes())
+    filled, size = bloom_bits(grams, distinct)
+    bits = spark.sparkContext.broadcast(filled)
     lengths = tuple(k for k in (1, 2) if k >= shortest) + (GRAM,)
-    found = written(passages(docs, bits, size, min(longest, MARGIN_MAX), lengths), "passages")
+    found = written(passages(docs, bits, size, longest, lengths), "passages")
     # (passage, item) pairs that share a gram; a passage without one goes no further
     at = found.withColumn("p", F.xxhash64("doc_id", "begin", "words"))
     met = at.select("p", F.explode("grams").alias("g")).join(grams, "g").select("p", "item_id").distinct()
@@ -172,4 +166,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def op2_smith_waterman_decontamination(spark, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, begin, end: every passage of a benchmark item found in the whole texts of ``documents``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

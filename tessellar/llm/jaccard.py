@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, shingle_sets
-from .shared import drop, n_parts, table, tune, written
+from .shared import bit_array, drop, n_parts, table, tune, written
 
 WORDS, PERCENT = 5, 80
 #: Shingles whose frequency is broadcast, at most.
@@ -343,11 +343,18 @@ def _verify(tasks: DataFrame, percent: int):
 def bloom(spark, keys: DataFrame, count: int):
     """A broadcast bit array (2**16 to 2**27 bits, by ``count``) with the bit of each ``bit``-hash of ``keys`` (one column) set, and its size."""
     size = 1 << min(27, max(16, (16 * max(1, count)).bit_length()))
-    words = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(size)).alias("b")).groupBy(F.shiftright("b", 3).alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 as int)))").alias("v"))
-    got = words.toPandas()
-    bits = np.zeros(size >> 3, np.uint8)
-    bits[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.uint8)
-    return spark.sparkContext.broadcast(bits.tobytes()), size
+    return spark.sparkContext.broadcast(bit_array(keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(size))), size)), size
+
+
+def least_count(histogram: list[tuple[int, int]], most: int) -> int:
+    """The least count that at most ``most`` shingles reach; ``histogram``: (count, number of shingles), counts from 2**16 on by powers of two, each
+    standing for all counts from it to below the next power."""
+    kept = 0
+    for c, k in sorted(histogram, reverse=True):
+        if kept + k > most:
+            return c + 1 if c < 65536 else 2 * c
+        kept += k
+    return 2
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int = MAX_HEAVY, window: int = WINDOW, block: int = BLOCK, small: int | None = None) -> DataFrame:
@@ -365,12 +372,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     # how many shingles have each count (counts from 2**16 on in powers of two): a few thousand rows at most
     histogram = sorted(counts.groupBy(F.when(F.col("c") < 65536, F.col("c")).otherwise(F.pow(F.lit(2), F.floor(F.log2("c"))).cast("bigint")).alias("c")).count().collect())
     total = rows.agg(F.sum("n")).first()[0] or 0
-    least, kept = 2, 0
-    for c, k in reversed(histogram):
-        if kept + k > max_heavy:
-            least = c + 1
-            break
-        kept += k
+    least = least_count(histogram, max_heavy)
     heavy = counts.filter(F.col("c") >= least).toPandas().sort_values("id")
     ids = heavy["id"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(ids)
@@ -411,4 +413,5 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
 
 
 def op7_heavy_light_jaccard(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every whole text of ``documents``: components of links at 80 percent of 5-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -67,3 +67,30 @@ def text_or_empty(name: str = "text"):
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bit_array(positions: DataFrame, size: int) -> bytes:
+    """A bit array of ``size`` (a power of two, 2**14 to 2**27) in bytes, lowest bit first, with the bits set that the one bigint column of
+    ``positions`` names. Executors build it in pieces of up to 64 KB; the driver gets at most 16 MB."""
+    import numpy as np
+    import pyarrow as pa
+
+    piece = min(size >> 3, 1 << 16)
+    at = positions.select(F.col(positions.columns[0]).alias("b"))
+    eights = at.groupBy(F.shiftright("b", 3).alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 as int)))").alias("v"))
+
+    def run(batches):
+        found: dict = {}
+        for batch in batches:
+            w, v = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for k in np.unique(w // piece).tolist():
+                of = w // piece == k
+                found.setdefault(k, np.zeros(piece, np.uint8))[w[of] % piece] |= v[of].astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["k", "bits"])
+
+    parts = max(1, min(n_parts(positions.sparkSession), (size >> 3) // piece))
+    rows = eights.repartition(parts, F.expr(f"w div {piece}")).mapInArrow(run, "k bigint, bits binary").collect()
+    out = bytearray(size >> 3)
+    for k, bits in rows:
+        out[k * piece : (k + 1) * piece] = bits
+    return bytes(out)

@@ -5,15 +5,16 @@ words (letter and digit runs), hashed into ``2**BITS`` coordinates; a text witho
 (McMahan et al., 2013) keeps per-coordinate learning rates and sets weak weights to exactly zero (L1), so that what is
 left is a short list of (coordinate, weight) that is broadcast to score the table.
 
-The fit reads at most ``FIT_ROWS`` labelled texts, those with the smallest hash of doc_id (a documented bound; it is a
-sample of the labelled rows, never of the rows that are scored), each of them whole: workers hash it to at most ``2**BITS``
-coordinates.
+The fit reads at most ``FIT_ROWS`` labelled texts, those with the smallest hash of doc_id, and of them in that order as many as have
+``FIT_COORDINATES`` coordinates together (documented bounds on a sample of the labelled rows, never of the rows that are scored), each
+of them whole: workers hash it to at most ``2**BITS`` coordinates.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty, tune
+from .shared import drop, table, text_or_empty, tune, written
 
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 1.0, 4
-FIT_ROWS = 10_000
+FIT_ROWS, FIT_COORDINATES = 10_000, 32_000_000
 _WORD = re.compile(r"[^\W_]+")
-_MEMO_WORDS = 500_000
+_MEMO_CHARS = 60_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -35,17 +36,18 @@ class Hasher:
     """Texts to sorted arrays of different coordinates."""
 
     def __init__(self, bits: int = BITS):
-        self.shift, self.memo = np.uint64(64 - bits), {}
+        self.shift, self.memo, self.held = np.uint64(64 - bits), {}, 0
 
     def __call__(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
         if not words:
             return np.zeros(0, np.uint32)
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo.clear()
+        if self.held > _MEMO_CHARS:
+            self.memo, self.held = {}, 0
         memo = self.memo
         for w in set(words):
             if w not in memo:
+                self.held += len(w) + 100
                 memo[w] = zlib.crc32(w.encode()) << 32 | zlib.crc32(w.encode()[::-1], 0x5BD1E995)
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         grams = [h * _M1, (h[:-1] * _M1 + h[1:]) * _M2, (h[:-2] * _M2 + h[2:]) * _M3]
@@ -101,13 +103,19 @@ def train(docs: DataFrame, labels: DataFrame, hold_out: int | None = 5, fit_rows
 
     # at most fit_rows ids: a broadcast of proven size
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).mapInArrow(run, "doc_id bigint, toxic int, at binary").toPandas()
+    hashed = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).mapInArrow(run, "doc_id bigint, toxic int, at binary")
+    hashed = written(hashed, "features")
+    sizes = hashed.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("at").alias("n")).orderBy("h", "doc_id").toPandas()  # at most fit_rows
+    fits = sizes[sizes["n"].cumsum() <= 4 * FIT_COORDINATES]
+    got = hashed.filter(F.xxhash64("doc_id") <= int(fits["h"].max())).toPandas() if len(fits) else hashed.limit(0).toPandas()
+    drop(hashed)
     got = got.sort_values("doc_id")
     return fit([np.frombuffer(x, np.uint32) for x in got["at"]], got["toxic"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model, to: str = "score") -> DataFrame:
-    """``docs`` with the column ``to``: the probability of label 1, for whole texts; a null or empty text has the bias alone.
+    """``docs`` with the column ``to``: the probability of label 1, for whole texts, however long; a null or empty text has the bias alone.
+    All rows and other columns stay, repeated ones too; an empty table gives an empty one.
 
     The model travels inside the function: at most ``2**BITS`` weights, in practice some thousands."""
     tune(docs.sparkSession)
@@ -115,15 +123,17 @@ def score(docs: DataFrame, model, to: str = "score") -> DataFrame:
     bits = BITS
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        hasher, dense = Hasher(bits), np.zeros(1 << bits)
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher, dense = Hasher(bits), np.zeros(1 << bits)  # once a task
         dense[at] = weight
-        return pd.Series([1 / (1 + np.exp(-np.clip(bias + dense[hasher(t)].sum(), -30, 30))) for t in texts])
+        for texts in batches:
+            yield pd.Series([1 / (1 + np.exp(-np.clip(bias + dense[hasher(t)].sum(), -30, 30))) for t in texts], dtype="float64")
 
     return docs.withColumn(to, probability(text_or_empty()))
 
 
 def op3_ftrl_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text of ``documents``; rows that are held out are never learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))

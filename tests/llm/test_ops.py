@@ -170,6 +170,50 @@ def test_ftrl_learns_from_whole_texts(spark):
     assert got["the vile brute"] > got["the cat sat"]
 
 
+def plain_ftrl(rows, labels, bits, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal one coordinate at a time, as it is defined."""
+    z, n, order = {}, {}, np.random.default_rng(7)
+    last = 1 << bits
+
+    def weight(i):
+        penalty = 0 if i == last else l1
+        return 0.0 if abs(z.get(i, 0)) <= penalty else -(z[i] - math.copysign(penalty, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            at = [*rows[k], last]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-sum(w))) - labels[k]
+            for i, wi in zip(at, w):
+                sigma = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / alpha
+                z[i], n[i] = z.get(i, 0) + g - sigma * wi, n.get(i, 0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_ftrl_against_plain():
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 64, 12)).astype(np.uint32) for _ in range(150)]
+    labels = np.array([float(5 in x or 9 in x) for x in rows])
+    at, w, bias = toxicity.fit(rows, labels, 6, 0.5, 1.0, 0.8, 0.3, 3)
+    want = plain_ftrl([x.tolist() for x in rows], labels, 6, 0.5, 1.0, 0.8, 0.3, 3)
+    assert {**dict(zip(at.tolist(), w)), 64: bias} == pytest.approx(want) and 3 < len(at) < 64
+
+
+def test_ftrl_never_learns_held_out_rows(spark, tmp_path):
+    """Held-out rows alone carry the sign of label 1: a model that learned from them would know it."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(20)) + (" vile brute" if held(i) else "")) for i in range(500)]
+    docs(spark, [*rows, (None, "vile brute"), (None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(held(i))) for i, _ in rows], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op3_ftrl_toxicity(spark, str(tmp_path))
+    assert [f"{c} {t}" for c, t in got.dtypes] == ["doc_id bigint", "held_out boolean", "score double", "predicted int"]
+    got = got.collect()
+    assert len(got) == 502 and all(x.held_out == (x.doc_id is not None and held(x.doc_id)) and x.predicted == int(x.score >= 0.5) and 0 <= x.score <= 1 for x in got)
+    with_sign = [x.score for x in got if x.held_out]
+    assert max(with_sign) < 0.5
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -294,6 +338,13 @@ def test_shared_least():
             assert jaccard.shared_least(a, b) <= worst - (a - jaccard.need(a) + 1 <= 0) and jaccard.shared_least(a, b) >= 1
 
 
+def test_least_count():
+    """Replays a bucket of counts that overflows the bound: none of its shingles may be broadcast."""
+    assert jaccard.least_count([(2, 10), (131072, 500_000)], 400_000) == 262144
+    assert jaccard.least_count([(2, 500_000), (3, 100_000), (65536, 10)], 400_000) == 3
+    assert jaccard.least_count([(3, 7)], 400_000) == 2
+
+
 def test_word_hashes():
     t = [*texts(40), "É é", "Aa aA"]
     w, known = hashing.Words(pa.array(t)), {}
