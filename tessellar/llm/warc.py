@@ -20,7 +20,7 @@ from .shared import drop, n_parts, table, written
 
 RECORDS = 512
 #: Archives whose records are numbered together, on average.
-SHELF = 8
+SHELF = 2
 FANOUT = 8
 CRLF = "\r\n"
 #: The capture date of records: fixed, so that the same pages give the same bytes.

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -457,6 +458,90 @@ def test_min_cut():
         assert math.isclose(cost(extract.min_cut(n, source, sink, ties)), best, abs_tol=1e-6)
 
 
+def made_page(r):
+    """A page of a random layout and its main text, written down while the page is made."""
+    sentence = lambda n: " ".join(r.choice(["tree", "river", "Anna", "went", "slowly", "über", "hill", "&amp;", "old"]) for _ in range(n)) + r.choice([".", "!", "?"])
+    want, body, plain = [], [], lambda s: s.replace("&amp;", "&")
+
+    def add(html, *texts):
+        body.append(html)
+        want.extend(plain(t) for t in texts)
+
+    title = sentence(5)
+    add(f"<h1>{title}</h1>", title)
+    for _ in range(r.randint(2, 7)):
+        t = sentence(r.choice([1, 2, 12, 30, 60]))
+        kind = r.choice(["p", "p", "p", "ul", "table", "quote", "figure", "linked", "split"])
+        if kind == "ul":
+            u = sentence(3)
+            add(f"<ul><li>{t}</li><li>{u}</li></ul>", t, u)
+        elif kind == "table":
+            add(f"<table><tr><td>{t}</td><td>7</td></tr></table>", t, "7")
+        elif kind == "figure":
+            add(f"<figure><img src=x><figcaption>{t}</figcaption></figure>", t)
+        elif kind == "quote":
+            add(f"<blockquote><p>{t}</p></blockquote>", t)
+        elif kind == "split":
+            add(f"<p>{t}<br>\n <b>x</b>  <i>y</i></p>", f"{t} x y")
+        else:
+            add(f"<p><a href=/q>{t}</a></p>" if kind == "linked" else f"<p>{t}</p>", t)
+        if r.random() < 0.3:
+            body.append(r.choice(["<div class='ad'>Buy it now.</div>", "<script>var p='<p>no</p>'</script>", "<aside><p>Aside words stand here.</p></aside>", "<style>p{}</style>", "<div class='share-buttons'><a href=/f>Share</a></div>"]))
+    wrapper = r.choice(["<article>{}</article>", "<main>{}</main>", "<article class='post'><div><div>{}</div></div></article>", "<div class='content'>{}</div>", "<main><article>{}</article></main>"])
+    menu = r.choice(["<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>", "<div class='menu'><a href=/>Home</a> <a href=/n>News</a></div>", "<header><h2>Site</h2></header>"])
+    end = "".join(r.sample(["<footer>© site. All rights reserved</footer>", "<section id='comments'><p>I liked to read all of this very much, thank you.</p></section>", "<form><label>Mail</label> <input><button>Go</button></form>", "<div class='sidebar'><p>Read the other ones too.</p></div>", "<div role='alert'>We use cookies.</div>"], 3))
+    return f"<html><head><title>T</title></head><body class='has-sidebar'>{menu}{wrapper.format(''.join(body))}{end}</body></html>", "\n\n".join(want)
+
+
+def test_extraction_of_made_pages(spark):
+    r = random.Random(13)
+    made = [made_page(r) for _ in range(120)]
+    t = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(made)], "page_id bigint, url string, html string")
+    weights = extract.fit(t)
+    got = {x.page_id: x.text for x in extract.extract(t, weights).collect()}
+    assert [got[i] for i in range(len(made))] == [x for _, x in made]
+    changed = 0
+    for h, _ in made:
+        keep, alone = extract.labels(extract.Page(h), weights)
+        changed += any(k != (a > 0) for k, a in zip(keep, alone))
+    assert changed > 60  # the cut, not the classifier alone, decides
+
+
+def test_extraction_fit_is_the_optimum(spark):
+    """Newton's sums by task give the weights that a plain optimiser finds."""
+    r = random.Random(14)
+    made = [made_page(r)[0] for _ in range(60)]
+    t = spark.createDataFrame([(i, "u", h) for i, h in enumerate(made)] + [(None, None, None)], "page_id bigint, url string, html string")
+    x, y = (np.concatenate(z) for z in zip(*map(extract.sure_blocks, made)))
+    w = extract.fit(t)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + extract.RIDGE / 2 * ((w - extract.PRIOR) ** 2).sum()
+    assert all(loss(w) < loss(w + d) for d in 0.01 * np.random.default_rng(1).standard_normal((200, len(w))))
+    assert (extract.fit(t.limit(0)) == extract.PRIOR).all()
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>x", "<div><nav>x", '<a "', "<p>a <a>b</a>", "<li>x", "<span class=ad>x", "<article>x</article><nav>y</nav>", "<form><div class=ad>", "<!--", "&amp", "<td>"])
+def test_extraction_of_deep_pages(part):
+    took = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        extract.main_text(part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>Words of it.</p><figure><figcaption>Caption</figcaption></figure><p class='tags'>tags: a</p><section id='related'><p>And this.</p></section></article>", ["Words of it.", "Caption", "tags: a", "And this."]),
+        ("<form><div><h1>Head</h1><p>A page in one form, as some servers make them all.</p></div><input></form>", ["Head", "A page in one form, as some servers make them all."]),
+        ("<div class='layout no-sidebar'><article><p>Kept.</p></article></div>", ["Kept."]),
+        ("<div><p>One has some words that stand here.</p><p>Two has some words.</p></div><ol class='comment-list'><li><article><p>A reader wrote all of this here.</p></article></li></ol>", ["One has some words that stand here.", "Two has some words."]),
+    ],
+)
+def test_extraction_keeps_the_article(page, want):
+    assert extract.main_text(page).split("\n\n") == want
+
+
 def test_extraction(spark):
     p = "<p>{} is a paragraph that is long enough to be content for all readers, surely.</p>"
     page = f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><!-- x --><div class='ad'>Buy this now, it is a long advert with many words in it.</div><article><h1>Head &amp; line</h1>{p.format('One')}<p>Two<br>lines\n\n here &lt;b&gt; &copy;<p>Short.</p></article><div class='comments'>{p.format('Comment')}</div><form><p>Join us today please.</p></form><aside>{p.format('Side')}</aside><footer>&copy; me</footer></body></html>"
