@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, shingle_sets
-from .shared import bit_array, drop, n_parts, table, tune, written
+from .shared import bit_array, drop, free, n_parts, table, tune, written
 
 WORDS, PERCENT = 5, 80
 #: Shingles whose frequency is broadcast, at most.
@@ -384,9 +384,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
     lists = written(_lists(met, percent), "lists")
     tune(spark)
+    free(spark)
     edges = written(_candidates(lists, percent, small), "candidates", few=True)
     family = components(edges, "families")
     drop(counts, lists, edges)
+    free(spark)
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     large = family.groupBy("label").count().select("label", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     member = written(
@@ -401,6 +403,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     tasks = sets.select("fam", "block", "cid", "s", F.explode(every).alias("other")).select("fam", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cid", "s")
     tasks = tasks.repartition(n_parts(spark), "fam", "x", "y").sortWithinPartitions("fam", "x", "y")
     links = written(_verify(tasks, percent), "links")
+    free(spark)
     group = components(links, "groups")
     top = F.lit((1 << 63) - 1)
     linked = classes.select("cid", F.coalesce("rep", top).alias("rep")).join(group.withColumnRenamed("node", "cid"), "cid")

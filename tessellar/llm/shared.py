@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,13 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner does so when the driver's garbage is collected, which else may
+    be only every half hour (``spark.cleaner.periodicGC.interval``)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
