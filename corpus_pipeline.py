@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.llm import decontaminate, jaccard, pieces, toxicity
-from tessellar.llm.shared import table, written
+from tessellar.llm.shared import free, table, written
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        free(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
