@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .statistics import BLOCK, block_stats, histogram, valid, with_blocks
-from .transforms import MAX_QUANTUM, bit_width, block_ranges, quantize
+from .statistics import BLOCK, histogram, valid, with_blocks
+from .transforms import MAX_QUANTUM, bit_width, block_ranges, quantize, quantum
 
 
 def bytes_for_count(n: Column) -> Column:
@@ -41,28 +41,30 @@ def lut_bytes(n: Column, q: Column, distinct: Column) -> Column:
     return (2 + bytes_for_count(n) + F.floor((d * bit_width(q) + 7) / 8) + F.floor((n * bit_width(d) + 7) / 8)).cast("bigint")
 
 
-def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool = True) -> DataFrame:
-    """Per block: mode (zero, constant, raw, stuffed or lut) and bytes."""
-    lowest = block_ranges(px, size)
+def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool = True, keys: list[str] = BLOCK) -> DataFrame:
+    """Per block: mode (zero, constant, raw, stuffed or lut) and bytes. One shuffle, on the block (none if ``px`` is already
+    partitioned by some of ``keys``); ranges, quanta and equal neighbours come from windows on it, the rest from one aggregate."""
+    w = W.partitionBy(*keys)
+    v = valid(px) if {"bi", "bj"} <= set(px.columns) else with_blocks(valid(px), size)
+    v = v.withColumn("lo", F.min("z").over(w)).withColumn("same", (F.col("z") == F.lag("z").over(w.orderBy("row", "col"))).cast("bigint"))
     n, lo, hi = F.col("n"), F.col("z_min"), F.col("z_max")
+    # a block has size * size values at most: its set of quanta is as small
+    rows = v.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_same"),
+        F.size(F.collect_set(quantum(F.col("z"), F.col("lo"), error))).cast("bigint").alias("distinct"),
+    )
     raw = 1 + n * SIZES[kind]
     top = (hi - lo) * F.lit(1.0 / (2.0 * error))
     q = F.floor(top + 0.5).cast("bigint")
     base = 1 + offset_bytes(lo, kind)
     simple = stuffed_bytes(n, q)
-    rows = lowest
-    if lut:
-        d = quantize(px, error, size).groupBy(*BLOCK).agg(F.count_distinct("q").alias("distinct"))
-        rows = rows.join(d, BLOCK).join(block_stats(px, size, error).select(*BLOCK, "try_lut"), BLOCK)
-        use = F.col("try_lut") & (F.col("distinct") < 256) & (lut_bytes(n, q, F.col("distinct")) < simple)
-        best = F.when(use, lut_bytes(n, q, F.col("distinct"))).otherwise(simple)
-    else:
-        use, best = F.lit(False), simple
-    packed = base + F.when(q > 0, best).otherwise(0)
+    try_lut = (n > 4) & (hi > lo + 3 * error) & (2 * F.col("n_same") > n) & (F.col("distinct") < 256)
+    use = try_lut & (lut_bytes(n, q, F.col("distinct")) < simple) if lut else F.lit(False)
+    packed = base + F.when(q > 0, F.when(use, lut_bytes(n, q, F.col("distinct"))).otherwise(simple)).otherwise(0)
     zero, too_wide = (lo == 0) & (hi == 0), top > MAX_QUANTUM[SIZES[kind]]
     mode = F.when(zero, "zero").when(too_wide | (packed >= raw), "raw").when(q == 0, "constant").when(use, "lut").otherwise("stuffed")
     size_ = F.when(zero, 1).when(too_wide | (packed >= raw), raw).otherwise(packed)
-    return rows.select(*BLOCK, "n", mode.alias("mode"), size_.cast("bigint").alias("bytes"))
+    return rows.select(*keys, "n", mode.alias("mode"), size_.cast("bigint").alias("bytes"))
 
 
 def tile_cost_total(px: DataFrame, error: float, kind: str, size: int = 8) -> DataFrame:
@@ -70,9 +72,12 @@ def tile_cost_total(px: DataFrame, error: float, kind: str, size: int = 8) -> Da
 
 
 def block_size_choice(px: DataFrame, error: float, kind: str) -> DataFrame:
-    """Bytes of both block sizes; 16 wins ties."""
-    a, b = (tile_costs(px, error, kind, s).groupBy("band").agg(F.sum("bytes").cast("bigint").alias(f"bytes_{s}")) for s in (8, 16))
-    return a.join(b, "band").withColumn("block", F.when(F.col("bytes_16") <= F.col("bytes_8"), 16).otherwise(8).cast("bigint"))
+    """Bytes of both block sizes; 16 wins ties. Pixels are shuffled once, by the large block, which holds whole small ones."""
+    large = [F.floor(F.col(c) / 16).cast("bigint").alias(k) for c, k in (("row", "bi16"), ("col", "bj16"))]
+    x = with_blocks(valid(px), 8).select("*", *large).repartition("band", "depth", "bi16", "bj16")
+    small = tile_costs(x, error, kind, 8, keys=["band", "depth", "bi16", "bj16", "bi", "bj"]).groupBy("band").agg(F.sum("bytes").cast("bigint").alias("bytes_8"))
+    wide = tile_costs(x, error, kind, 16, keys=["band", "depth", "bi16", "bj16"]).groupBy("band").agg(F.sum("bytes").cast("bigint").alias("bytes_16"))
+    return small.join(wide, "band").withColumn("block", F.when(F.col("bytes_16") <= F.col("bytes_8"), 16).otherwise(8).cast("bigint"))
 
 
 def block_quant_bits(px: DataFrame, error: float, size: int = 8) -> DataFrame:
@@ -105,13 +110,5 @@ def code_range(px: DataFrame) -> DataFrame:
     return best.select("band", F.pmod(-F.col("b.m"), F.lit(256)).alias("start"), (F.lit(257) - F.col("b.gap")).cast("bigint").alias("length"))
 
 
-def mode_counts(px: DataFrame, error: float, kind: str) -> DataFrame:
-    return tile_costs(px, error, kind).groupBy("band", "mode").agg(F.count("*").alias("n_blocks"))
-
-
 def block_distinct(px: DataFrame, error: float, size: int = 8) -> DataFrame:
     return quantize(px, error, size).groupBy(*BLOCK).agg((F.count_distinct("q") - 1).alias("changes"))
-
-
-def blocks_of(px: DataFrame, size: int) -> DataFrame:
-    return with_blocks(px, size)

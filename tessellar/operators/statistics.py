@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = ["band", "depth", "bi", "bj"]
+#: Rows of a stripe: what needs the row above works stripe by stripe, each with the last row of the one before.
+STRIPE = 64
 
 
 def valid(px: DataFrame) -> DataFrame:
@@ -32,6 +34,22 @@ def with_blocks(px: DataFrame, size: int = 8) -> DataFrame:
     return px.withColumn("bi", F.floor(F.col("row") / size).cast("bigint")).withColumn("bj", F.floor(F.col("col") / size).cast("bigint"))
 
 
+def striped(px: DataFrame, rows: int = STRIPE) -> DataFrame:
+    """``px`` with ``stripe`` and ``halo``: the last row of a stripe is also in the next one, as halo. One shuffle, on the stripe, serves all windows
+    within it, along rows and columns, however wide or high the raster is."""
+    stripe = F.floor(F.col("row") / rows).cast("bigint")
+    places = F.when(F.col("row") % rows == rows - 1, F.array(F.struct(stripe.alias("stripe"), F.lit(False).alias("halo")), F.struct((stripe + 1).alias("stripe"), F.lit(True).alias("halo")))).otherwise(
+        F.array(F.struct(stripe.alias("stripe"), F.lit(False).alias("halo")))
+    )
+    return px.select("*", F.inline(places)).repartition("band", "depth", "stripe")
+
+
+def in_stripe(*order: str):
+    """The window along a stripe's rows ("row", "col"), columns ("col", "row") or all of it ("", "row", "col"): what it is cut by, then its order."""
+    cut, *by = order
+    return W.partitionBy("band", "depth", "stripe", *([cut] if cut else [])).orderBy(*by)
+
+
 def block_stats(px: DataFrame, size: int = 8, error: float = 0.0) -> DataFrame:
     """Per block: n, range, how many values equal the one before (in scan order) and whether a dictionary is worth trying."""
     w = W.partitionBy(*BLOCK).orderBy("row", "col")
@@ -67,18 +85,18 @@ def histogram(px: DataFrame) -> DataFrame:
 
 def predicted_delta(px: DataFrame) -> DataFrame:
     """Difference to the left neighbour if that is valid, else to the one above, else to the last valid value in scan order (0 for the first)."""
-    rows, cols = W.partitionBy("band", "depth", "row").orderBy("col"), W.partitionBy("band", "depth", "col").orderBy("row")
-    left = F.when(F.lag("valid").over(rows), F.lag("z").over(rows))
-    above = F.when(F.lag("valid").over(cols), F.lag("z").over(cols))
-    p = px.withColumn("l", left).withColumn("a", above)
-    # the last valid value before: in the row, or else the last one of the rows before
-    ends = valid(px).groupBy("band", "depth", "row").agg(F.max_by("z", "col").alias("end"))
-    ends = ends.withColumn("carry", F.last("end", True).over(W.partitionBy("band", "depth").orderBy("row").rowsBetween(W.unboundedPreceding, 0)))
-    every = px.select("band", "depth", "row").distinct()
-    carried = every.join(ends, ["band", "depth", "row"], "left").withColumn("before", F.last("carry", True).over(W.partitionBy("band", "depth").orderBy("row").rowsBetween(W.unboundedPreceding, -1)))
-    in_row = F.last(F.when(F.col("valid"), F.col("z")), True).over(rows.rowsBetween(W.unboundedPreceding, -1))
-    p = p.withColumn("in_row", in_row).join(carried.select("band", "depth", "row", "before"), ["band", "depth", "row"])
-    return valid(p).withColumn("delta", F.col("z") - F.coalesce("l", "a", "in_row", "before", F.lit(0.0)))
+    rows, cols, scan = in_stripe("row", "col"), in_stripe("col", "row"), in_stripe("", "row", "col")
+    near = lambda w: F.when((F.lag("valid").over(w)) & (F.lag("place").over(w) == F.col("place") - 1), F.lag("z").over(w))
+    x = striped(px)
+    x = x.withColumn("place", F.col("col")).withColumn("l", near(rows)).withColumn("place", F.col("row")).withColumn("a", near(cols)).drop("place")
+    x = x.withColumn("before", F.last(F.when(F.col("valid"), F.col("z")), True).over(scan.rowsBetween(W.unboundedPreceding, -1)))
+    # the last valid value of the stripes before: a row for each stripe
+    last = F.max_by(F.when(F.col("valid"), F.col("z")), F.when(F.col("valid"), F.struct("row", "col")))
+    ends = px.groupBy("band", "depth", F.floor(F.col("row") / STRIPE).cast("bigint").alias("stripe")).agg(last.alias("end"))
+    earlier = W.partitionBy("band", "depth").orderBy("stripe").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("band", "depth", "stripe", F.last("end", True).over(earlier).alias("end"))
+    found = valid(x).filter("not halo").join(ends, ["band", "depth", "stripe"])
+    return found.withColumn("delta", F.col("z") - F.coalesce("l", "a", "before", "end", F.lit(0.0)))
 
 
 def delta_histogram(px: DataFrame) -> DataFrame:
@@ -100,24 +118,37 @@ def entropy_bytes(px: DataFrame, width: int, step: int = 7, delta: bool = False)
     s = px.withColumn("b", F.pmod(v, F.lit(256))).filter(k % step == 0).groupBy("band", "b").agg(F.count("*").alias("n"))
     t = s.groupBy("band").agg(F.sum("n").alias("total"))
     bits = F.sum(F.col("n") * F.log2(F.col("total") / F.col("n")))
-    return s.join(F.broadcast(t), "band").groupBy("band").agg(F.ceil(bits / 8 - 1e-9).cast("bigint").alias("bytes"), F.max("total").alias("n"))
+    return s.join(t, "band").groupBy("band").agg(F.ceil(bits / 8 - 1e-9).cast("bigint").alias("bytes"), F.max("total").alias("n"))
+
+
+def neighbour_pairs(px: DataFrame) -> DataFrame:
+    """band, depth, x: the differing bits of every valid pixel and its valid left or upper neighbour. In a band of one depth without invalid pixels, as the
+    format has it, no pair starts in the last row or column."""
+    v = px.withColumn("v", F.col("z").cast("bigint"))
+    rows, cols = in_stripe("row", "col"), in_stripe("col", "row")
+    other = lambda w, place: F.when(F.lag("valid").over(w) & (F.lag(place).over(w) == F.col(place) - 1), F.lag("v").over(w))
+    x = striped(v).withColumn("left", other(rows, "col")).withColumn("above", other(cols, "row")).filter("valid and not halo")
+    size = px.groupBy("band").agg(((F.count_if(~F.col("valid")) == 0) & (F.max("depth") == 0)).alias("plain"), F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    x = x.join(size, "band")
+    left = F.when(~F.col("plain") | (F.col("row") < F.col("last_row")), F.col("v").bitwiseXOR(F.col("left")))
+    above = F.when(~F.col("plain") | (F.col("col") < F.col("last_col")), F.col("v").bitwiseXOR(F.col("above")))
+    return x.select("band", "depth", F.explode(F.array(left, above)).alias("x")).filter("x is not null")
 
 
 def bitplane_counts(px: DataFrame, bits: int = 8) -> DataFrame:
-    """For each bit how many pairs of valid neighbours (right and below) there are and how many differ in it."""
-    v = F.col("z").cast("bigint")
-    rows, cols = W.partitionBy("band", "depth", "row").orderBy("col"), W.partitionBy("band", "depth", "col").orderBy("row")
-    x = px.withColumn("v", v)
-    x = x.withColumn("right", F.when(F.lead("valid").over(rows), F.lead("v").over(rows))).withColumn("below", F.when(F.lead("valid").over(cols), F.lead("v").over(cols)))
-    pairs = valid(x).select("band", F.explode(F.array(F.col("v").bitwiseXOR(F.col("right")), F.col("v").bitwiseXOR(F.col("below")))).alias("x")).filter("x is not null")
+    """For each bit how many pairs of valid neighbours there are and how many differ in it."""
     per = [F.sum(F.shiftright("x", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(bits)]
-    g = pairs.groupBy("band").agg(F.count("*").alias("n_pairs"), *per)
-    return g.select("band", "n_pairs", F.posexplode(F.array(*[f"b{k}" for k in range(bits)])).alias("bit", "n_diff")).select("band", F.col("bit").cast("bigint").alias("bit"), "n_pairs", F.col("n_diff").cast("bigint").alias("n_diff"))
+    g = neighbour_pairs(px).groupBy("band", "depth").agg(F.count("*").alias("n_pairs"), *per)
+    planes = g.select("band", "depth", "n_pairs", F.posexplode(F.array(*[f"b{k}" for k in range(bits)])).alias("bit", "n_diff"))
+    return planes.select("band", "depth", F.col("bit").cast("bigint").alias("bit"), "n_pairs", F.col("n_diff").cast("bigint").alias("n_diff"))
 
 
 def bitplane_noise_cut(px: DataFrame, eps: float = 0.01, bits: int = 8, least: int = 5000) -> DataFrame:
-    """The error bound that drops the low bits which look like noise (differ in about half of all pairs), from bit 0 up to the first that doesn't."""
-    c = bitplane_counts(px, bits).withColumn("noise", F.abs(1 - 2 * F.col("n_diff") / F.col("n_pairs")) < eps)
-    first = c.groupBy("band").agg(F.min(F.when(~F.col("noise"), F.col("bit"))).alias("first"), F.max("n_pairs").alias("n_pairs"))
-    cut = F.when(F.col("n_pairs") < least, F.lit(0)).otherwise(F.coalesce("first", F.lit(bits)))
-    return first.select("band", cut.cast("bigint").alias("planes"), F.floor(F.pow(F.lit(2.0), cut) / 2).cast("bigint").alias("max_error"))
+    """The error bound that drops the low bits which look like noise (differ in about half of all pairs, in every depth): from the highest
+    plane that is noise together with the one below it, or else the lowest that is; none with fewer than ``least`` valid pixels or pairs."""
+    c = bitplane_counts(px, bits).groupBy("band", "bit").agg(F.bool_and(F.abs(1 - 2 * F.col("n_diff") / F.col("n_pairs")) < eps).alias("noise"), F.max("n_pairs").alias("n_pairs"))
+    c = c.withColumn("below", F.lag("noise").over(W.partitionBy("band").orderBy("bit")))
+    found = c.groupBy("band").agg(F.max(F.when(F.col("noise") & F.col("below"), F.col("bit"))).alias("two"), F.min(F.when(F.col("noise"), F.col("bit"))).alias("one"), F.max("n_pairs").alias("n_pairs"))
+    pixels = px.filter("depth = 0").groupBy("band").agg(F.count_if("valid").alias("n_valid"))
+    cut = F.when((F.col("n_pairs") < least) | (F.col("n_valid") < least), F.lit(0)).otherwise(F.coalesce("two", "one", F.lit(0)))
+    return found.join(pixels, "band").select("band", cut.cast("bigint").alias("planes"), F.floor(F.pow(F.lit(2.0), cut) / 2).cast("bigint").alias("max_error"))

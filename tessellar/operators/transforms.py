@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .statistics import BLOCK, data_ranges, valid, with_blocks
+from .statistics import BLOCK, STRIPE, data_ranges, in_stripe, striped, valid, with_blocks
 
 #: The largest quantum a block may need, for 1- and 2-byte types and for the others.
 MAX_QUANTUM = {1: (1 << 15) - 1, 2: (1 << 15) - 1, 4: (1 << 30) - 1, 8: (1 << 30) - 1}
@@ -41,8 +41,9 @@ def quantize(px: DataFrame, error: float, size: int = 8) -> DataFrame:
 
 
 def dequantize(q: DataFrame, ranges: DataFrame, error: float) -> DataFrame:
-    """Values from quanta, never above the depth's maximum (``ranges``: one row a band and depth, broadcast)."""
-    r = F.broadcast(ranges.select("band", "depth", F.col("z_max").alias("top")))
+    """Values from quanta, never above the depth's maximum (``ranges``: one row a band and depth; Spark broadcasts it
+    where it is small)."""
+    r = ranges.select("band", "depth", F.col("z_max").alias("top"))
     return q.join(r, ["band", "depth"]).withColumn("y", F.least(F.col("z_min") + F.col("q") * F.lit(2.0 * error), "top")).drop("top")
 
 
@@ -87,17 +88,24 @@ def row_derivative(px: DataFrame, level: int = 1) -> DataFrame:
 
 def cross_derivative(px: DataFrame) -> DataFrame:
     """Row differences, then differences of these along columns."""
-    w = W.partitionBy("band", "depth", "col").orderBy("row")
-    r = row_derivative(px)
-    return r.withColumn("d", F.col("d") - F.coalesce(F.lag("d").over(w), F.lit(0.0)))
+    rows, cols = in_stripe("row", "col"), in_stripe("col", "row")
+    x = striped(px.select("band", "row", "col", "depth", "z"))
+    x = x.withColumn("d", F.col("z") - F.coalesce(F.lag("z").over(rows), F.lit(0.0)))
+    return x.withColumn("d", F.col("d") - F.coalesce(F.lag("d").over(cols), F.lit(0.0))).filter("not halo").select("band", "row", "col", "depth", "d")
 
 
 def restore(d: DataFrame, cross: bool = False) -> DataFrame:
-    """Values from differences: prefix sums along columns (for cross differences), then along rows."""
+    """Values from differences: prefix sums along columns (for cross differences), then along rows. Sums along columns are taken within stripes, and the
+    sums of the stripes before are added."""
     rows = W.partitionBy("band", "depth", "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    cols = W.partitionBy("band", "depth", "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
     if cross:
-        d = d.withColumn("d", F.sum("d").over(cols))
+        keys = ["band", "depth", "stripe", "col"]
+        s = d.withColumn("stripe", F.floor(F.col("row") / STRIPE).cast("bigint"))
+        totals = s.groupBy(*keys).agg(F.sum("d").alias("t"))
+        before = W.partitionBy("band", "depth", "col").orderBy("stripe").rowsBetween(W.unboundedPreceding, -1)
+        totals = totals.withColumn("t", F.coalesce(F.sum("t").over(before), F.lit(0.0)))
+        within = F.sum("d").over(in_stripe("col", "row").rowsBetween(W.unboundedPreceding, 0))
+        d = s.withColumn("d", within).join(totals, keys).withColumn("d", F.col("d") + F.col("t"))
     return d.select("band", "row", "col", "depth", F.sum("d").over(rows).alias("z"))
 
 
@@ -129,5 +137,5 @@ def round_half_up(px: DataFrame) -> DataFrame:
 
 def fill_constant(px: DataFrame) -> DataFrame:
     """What a decoder gives for a raster reduced to its per-depth minima: the minimum where valid, else 0."""
-    r = F.broadcast(data_ranges(px).select("band", "depth", "z_min"))
+    r = data_ranges(px).select("band", "depth", "z_min")
     return px.join(r, ["band", "depth"], "left").select("band", "row", "col", "depth", F.when(F.col("valid"), F.col("z_min")).otherwise(0.0).alias("z"))

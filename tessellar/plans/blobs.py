@@ -11,7 +11,7 @@ from ..operators import blobs, masks
 from ..sources import rasters
 from ..sources.rasters import SQL
 from .registry import query
-from .relational import on
+from .relational import _cost, on
 
 _ALL = 'band, "row", col, depth, z, valid'
 _PX = ["band", "row", "col", "depth", "z", "valid"]
@@ -123,17 +123,95 @@ def pruned_scan(spark, d):
 
 @query()
 def compressed_size(spark, d):
-    """Bytes of each tile at three error bounds."""
-    px = rasters.events(spark, d)
-    out = [blobs.encode(px, "<f8", error=e).select("tile", F.lit(e).alias("error"), F.octet_length("blob").cast("bigint").alias("bytes")) for e in (0.0, 0.01, 0.5)]
-    return out[0].union(out[1]).union(out[2])
+    """Bytes of each tile at three error bounds, counted without writing them."""
+    return blobs.sizes(rasters.events(spark, d), "<f8", (0.0, 0.01, 0.5)).select("tile", "error", "bytes")
 
 
 @query()
 def size_by_version(spark, d):
-    px = rasters.events(spark, d)
-    out = [blobs.encode(px, "<f8", error=0.05, version=v).select("tile", F.lit(v).alias("version"), F.octet_length("blob").cast("bigint").alias("bytes")) for v in (2, 4, 6)]
-    return out[0].union(out[1]).union(out[2])
+    return blobs.sizes(rasters.events(spark, d), "<f8", (0.05,), (2, 4, 6)).select("tile", "version", "bytes")
+
+
+_TILES = "SELECT CAST(count(DISTINCT \"row\" // 64) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_wrong FROM px"
+
+
+def _size_check(px, kind, **options):
+    """How many tiles there are, and of how many the counted size isn't that of the written blob."""
+    made = blobs.encode(px, kind, **options).select("tile", F.octet_length("blob").cast("bigint").alias("written"))
+    counted = blobs.sizes(px, kind, (options.get("error", 0.0),), (options.get("version", codec.NEWEST),), nodata=options.get("nodata"))
+    return made.join(counted, "tile").agg(F.count("*").alias("n"), F.count_if(~F.col("written").eqNullSafe(F.col("bytes"))).alias("n_wrong"))
+
+
+@query(on("events", _TILES))
+def compressed_size_exact(spark, d):
+    return _size_check(rasters.events(spark, d), "<f8", error=0.05)
+
+
+@query(on("events", _TILES))
+def size_by_version_exact(spark, d):
+    return _size_check(rasters.events(spark, d), "<f8", error=0.05, version=3)
+
+
+@query(on("dirty", _TILES))
+def compressed_size_nodata(spark, d):
+    return _size_check(rasters.dirty(spark, d), "<f8", nodata=-9999.0)
+
+
+@query(on("dirty", f"""SELECT {_TILE}, band, CASE WHEN bool_or(bad = 1) THEN CAST(-9999 AS DOUBLE) END AS nodata FROM
+    (SELECT band, "row", col, count(*) FILTER (isnan(z) OR z = -9999) AS bad FROM px GROUP BY ALL) GROUP BY ALL"""))
+def decode_nodata(spark, d):
+    """The no-data value that decoding reports: that of tiles in which some pixel lacks a value in one depth only."""
+    return blobs.decode(blobs.encode(rasters.dirty(spark, d), "<f8", nodata=-9999.0)).groupBy("tile", "band").agg(F.max("nodata").alias("nodata"))
+
+
+@query(on("events", 'SELECT band, "row", col, depth, CASE WHEN valid THEN z ELSE CAST(-1 AS DOUBLE) END AS z, valid FROM px'))
+def decode_options(spark, d):
+    """Blobs that start three bytes into the column, with a value of the caller's for invalid pixels."""
+    made = blobs.encode(rasters.events(spark, d), "<f8", strict=True).withColumn("blob", F.concat(F.lit(b"abc"), "blob"))
+    return blobs.decode(made, offset=3, fill=-1.0).select(*_PX)
+
+
+@query(on("events", _TILES))
+def blob_checksum(spark, d):
+    """Tiles, and those whose checksum doesn't hold as written or still holds after one bit of the payload has changed."""
+    made = blobs.encode(rasters.events(spark, d), "<f8", error=0.05)
+    at = F.octet_length("blob") - F.pmod(F.xxhash64("tile"), F.lit(20)).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(blob, at, 1)")), 16, 10).cast("int")
+    flipped = F.unhex(F.lpad(F.hex(byte.bitwiseXOR(F.lit(4))), 2, "0"))
+    broken = made.withColumn("at", at).withColumn("blob", F.concat(F.expr("substring(blob, 1, at - 1)"), flipped, F.expr("substring(blob, at + 1)")))
+    whole = blobs.bands(made).groupBy("tile").agg(F.bool_and("good").alias("good"))
+    after = blobs.bands(broken).groupBy("tile").agg(F.bool_and("good").alias("still"))
+    return whole.join(after, "tile").agg(F.count("*").alias("n"), F.count_if(~F.col("good") | F.col("still")).alias("n_wrong"))
+
+
+@query(on("events", "SELECT * FROM c", _cost(0.05, 8)))
+def tile_flags(spark, d):
+    """What the writer puts into each block's flag byte, and the block's size, by the byte-level code."""
+    return blobs.tile_modes(rasters.events(spark, d), "<f8", 0.05)
+
+
+@query(on("psize", "SELECT * FROM c", _cost(0.5, 8, 1, "1")))
+def tile_flags_u8(spark, d):
+    return blobs.tile_modes(rasters.psize(spark, d), "u1", 0.5)
+
+
+@query(on("events", f"""SELECT {_TILE}, band, CASE WHEN count(*) FILTER (valid) = 0 THEN 'empty' WHEN count(DISTINCT floor(z / 1000)) FILTER (valid) = 1 THEN 'constant' ELSE 'tiles' END AS mode FROM px GROUP BY ALL"""))
+def image_mode(spark, d):
+    """How each tile's values are stored; thousands of the values, so that some tiles may be constant."""
+    px = rasters.events(spark, d).withColumn("z", F.floor(F.col("z") / 1000).cast("double"))
+    return blobs.payloads(blobs.encode(px, "<f8", error=0.05)).select("tile", "band", "mode")
+
+
+@query()
+def predictor_choice(spark, d):
+    """The predictor of each tile's float planes."""
+    return blobs.payloads(blobs.encode(rasters.embed(spark, d), "<f4")).select("tile", "band", "mode", "predictor")
+
+
+@query("SELECT * FROM (VALUES ('i1', -128.0::DOUBLE, 127.0::DOUBLE), ('u1', 0, 255), ('i2', -32768, 32767), ('u2', 0, 65535), ('i4', -2147483648, 2147483647), ('u4', 0, 4294967295)) t(dtype, low, high)")
+def type_ranges(spark, d):
+    """The range of each integer type, as a relation to join with."""
+    return spark.createDataFrame([(t.lstrip("<"), float(np.iinfo(t).min), float(np.iinfo(t).max)) for t in codec.TYPES[:6]], "dtype string, low double, high double")
 
 
 def _codec_query(column, f):
@@ -212,12 +290,12 @@ def count_nan(spark, d):
 @query()
 def blob_source(spark, d):
     """Tiles written as files through the data source and read again with pruning by range."""
-    import tempfile
-
     from ..sources.blobs import BlobSource
 
     spark.dataSource.register(BlobSource)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="blobs-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("this query needs a folder that all executors share: set spark.checkpoint.dir")
     path = f"{root.rstrip('/')}/blobs-{__import__('uuid').uuid4().hex}"
     tiles = blobs.encode(rasters.events(spark, d), "<f8", rows=8).select(F.lit("").alias("path"), F.lit(1).alias("n_bands"), F.lit(0.0).alias("z_min"), F.lit(0.0).alias("z_max"), "blob")
     tiles.write.format("blobs").mode("append").save(path)

@@ -217,19 +217,27 @@ def entropy_bytes_delta(spark, d):
     return statistics.entropy_bytes(rasters.psize(spark, d), 50, delta=True)
 
 
-_PAIRS = """n AS (SELECT band, CAST(z AS BIGINT) AS v, valid, lead(CAST(z AS BIGINT)) OVER r AS x, lead(valid) OVER r AS xv, lead(CAST(z AS BIGINT)) OVER c AS y, lead(valid) OVER c AS yv FROM px WINDOW r AS (PARTITION BY band, "row" ORDER BY col), c AS (PARTITION BY band, col ORDER BY "row")),
-    p AS (SELECT band, xor(v, x) AS d FROM n WHERE valid AND xv UNION ALL SELECT band, xor(v, y) FROM n WHERE valid AND yv)"""
+_PAIRS = """n AS (SELECT band, depth, CAST(z AS BIGINT) AS v, valid, lead(CAST(z AS BIGINT)) OVER r AS x, lead(valid) OVER r AS xv, lead(CAST(z AS BIGINT)) OVER c AS y, lead(valid) OVER c AS yv FROM px WINDOW r AS (PARTITION BY band, "row" ORDER BY col), c AS (PARTITION BY band, col ORDER BY "row")),
+    p AS (SELECT band, depth, xor(v, x) AS d FROM n WHERE valid AND xv UNION ALL SELECT band, depth, xor(v, y) FROM n WHERE valid AND yv)"""
 
 
-@query(on("psize_masked", "SELECT band, CAST(b AS BIGINT) AS bit, count(*) AS n_pairs, CAST(sum((d >> CAST(b AS INT)) & 1) AS BIGINT) AS n_diff FROM p, range(8) t(b) GROUP BY ALL", _PAIRS))
+@query(on("psize_masked", "SELECT band, depth, CAST(b AS BIGINT) AS bit, count(*) AS n_pairs, CAST(sum((d >> CAST(b AS INT)) & 1) AS BIGINT) AS n_diff FROM p, range(8) t(b) GROUP BY ALL", _PAIRS))
 def bitplane_xor_counts(spark, d):
     return statistics.bitplane_counts(rasters.psize(spark, d, True))
 
 
-@query(on("psize", """SELECT band, CAST(CASE WHEN n < 3000 THEN 0 ELSE coalesce(f, 8) END AS BIGINT) AS planes, CAST(floor(pow(2.0, CASE WHEN n < 3000 THEN 0 ELSE coalesce(f, 8) END) / 2) AS BIGINT) AS max_error FROM
-    (SELECT band, max(n) AS n, min(CASE WHEN NOT abs(1 - 2 * s / CAST(n AS DOUBLE)) < 0.05 THEN b END) AS f FROM (SELECT band, b, count(*) AS n, CAST(sum((d >> CAST(b AS INT)) & 1) AS DOUBLE) AS s FROM p, range(8) t(b) GROUP BY ALL) GROUP BY band)""", _PAIRS))
+#: All pixels are valid: no pair starts in the last row or column.
+_PLAIN_PAIRS = """e AS (SELECT *, max("row") OVER (PARTITION BY band) AS r1, max(col) OVER (PARTITION BY band) AS c1 FROM px),
+    n AS (SELECT band, "row", col, r1, c1, CAST(floor(z) AS BIGINT) AS v, lead(CAST(floor(z) AS BIGINT)) OVER r AS x, lead(CAST(floor(z) AS BIGINT)) OVER c AS y FROM e WINDOW r AS (PARTITION BY band, "row" ORDER BY col), c AS (PARTITION BY band, col ORDER BY "row")),
+    p AS (SELECT band, xor(v, x) AS d FROM n WHERE x IS NOT NULL AND "row" < r1 UNION ALL SELECT band, xor(v, y) FROM n WHERE y IS NOT NULL AND col < c1),
+    t AS (SELECT band, b, count(*) AS n, abs(1 - 2 * CAST(sum((d >> CAST(b AS INT)) & 1) AS DOUBLE) / count(*)) < 0.05 AS noise FROM p, range(32) t(b) GROUP BY ALL),
+    u AS (SELECT *, lag(noise) OVER (PARTITION BY band ORDER BY b) AS below FROM t),
+    k AS (SELECT band, CASE WHEN max(n) < 5000 OR (SELECT count(*) FROM px) < 5000 THEN 0 ELSE coalesce(max(CASE WHEN noise AND below THEN b END), min(CASE WHEN noise THEN b END), 0) END AS cut FROM u GROUP BY band)"""
+
+
+@query(on("orders", "SELECT band, CAST(cut AS BIGINT) AS planes, CAST(floor(pow(2.0, cut) / 2) AS BIGINT) AS max_error FROM k", _PLAIN_PAIRS))
 def bitplane_noise_cut(spark, d):
-    return statistics.bitplane_noise_cut(rasters.psize(spark, d), 0.05, least=3000)
+    return statistics.bitplane_noise_cut(rasters.orders(spark, d).withColumn("z", F.floor("z").cast("double")), 0.05, 32)
 
 
 # ------------------------------------------------------------------ error-bound transforms
@@ -378,7 +386,7 @@ def byte_derivative(spark, d):
     return transforms.byte_derivative(rasters.psize(spark, d), 2)
 
 
-@query(on("embed4", 'SELECT ("row" * 16 + col) * 4 + depth AS bip, depth * 16000 + "row" * 16 + col AS bsq, z FROM px'))
+@query(on("embed4", 'SELECT ("row" * 16 + col) * 4 + depth AS bip, depth * (SELECT (max("row") + 1) * 16 FROM px) + "row" * 16 + col AS bsq, z FROM px'))
 def interleave_swap(spark, d):
     return transforms.interleave_swap(rasters.embed(spark, d, 4), 16, 4)
 

@@ -47,11 +47,11 @@ def test_golden_header_and_raw_sweep():
 
 def test_worked_block_sizes():
     """12 of 16 values in 1222.2943 .. 1280.8725 take 25 bytes at error 0.01 and 15 at 1.0."""
-    v = np.linspace(1222.2943, 1280.8725, 12).astype("<f4")
+    z, mask = np.zeros((4, 4, 1), "<f4"), np.arange(16).reshape(4, 4) < 12
+    z[mask, 0] = np.linspace(1222.2943, 1280.8725, 12)
     for error, size in ((0.01, 25), (1.0, 15)):
-        h = blob.Info(error=error, kind=6)
-        flag, body = blob._tile(v, h, 6, None)
-        assert 1 + len(body) == size
+        h = blob.Info(n_rows=4, n_cols=4, error=error, kind=6)
+        assert len(blob.tiles(z, mask, h)) == blob.tiles(z, mask, h, size_only=True) == size
 
 
 def test_damage_is_found():
@@ -128,3 +128,24 @@ def test_first_format():
     got = blob.decode(data)
     assert (got.mask[0] == valid).all() and (got.values[0, :, :, 0][valid] == z[valid]).all()
     assert (oldblob.as_type(np.array([0.5, 1.4, -0.5]), "<i4") == [1, 1, 0]).all()
+
+
+def test_raised_bound_and_noise_planes():
+    r = np.random.default_rng(3)
+    z = np.round(r.random((1, 40, 40, 1)) * 100, 1)
+    plain, raised = blob.headers(blob.encode(z, None, 0.0))[0].error, blob.headers(blob.encode(z, None, 0.02))[0]
+    assert plain == 0 and raised.error == 0.05  # multiples of 0.1: half of that step
+    assert np.abs(blob.decode(blob.encode(z, None, 0.02)).values - z).max() <= 0.02
+    base = (np.add.outer(np.arange(300), np.arange(300)) // 4 * 64)[None, :, :, None]
+    noisy = (base + r.integers(0, 16, base.shape)).astype("<u2")
+    h = blob.headers(blob.encode(noisy, None, 777))[0]
+    assert h.error == 4  # noise from plane 3 down: 1 << 3 >> 1
+    assert blob.headers(blob.encode(noisy[:, :60, :60], None, 777))[0].error == 0.5  # too few pixels to tell
+
+
+def test_counted_sizes():
+    r = np.random.default_rng(4)
+    for kind in blob.TYPES:
+        z = np.cumsum(r.integers(-3, 4, (2, 37, 45, 2)), axis=2).astype(kind)
+        for mask, error, version in ((None, 0, 6), (r.random((2, 37, 45)) < 0.8, 0.5, 5), (None, 3, 4)):
+            assert blob.encode(z, mask, error, version, size_only=True) == len(blob.encode(z, mask, error, version))
