@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from array import array
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +61,48 @@ class Table:
             new, slot = new[~placed], (slot[~placed] + 1) & self.mask
 
 
+def word_keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of words of ``data``: all bytes of those with up to KEY_BYTES, and their number."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 8,), "<u8", padded.data, strides=(1,)).copy()
+    a = eight[begin] & _ONES[np.minimum(size, 8)]
+    b = (eight[np.minimum(begin + 8, len(data))] & _ONES[np.clip(size - 8, 0, 7)]) | size.astype(np.uint64) << _U(56)
+    return a, b
+
+
+class Numbers:
+    """Different words of a stretch of text, numbered from 0 in the order in which they are met; grows as needed."""
+
+    def __init__(self):
+        self.table, self.number, self.words, self.long = Table(1 << 16), np.zeros(1 << 16, np.int64), [], {}
+
+    def __call__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - begin
+        a, b = word_keys(data, begin, size)
+        raw, short = data.tobytes(), size <= KEY_BYTES
+        at = self.table.find(a, b) if len(a) else np.zeros(0, np.int32)
+        new = np.flatnonzero((at < 0) & short)
+        if len(new):
+            by = new[np.lexsort((a[new], b[new]))]
+            first = by[np.concatenate([[True], (a[by[1:]] != a[by[:-1]]) | (b[by[1:]] != b[by[:-1]])])]
+            while self.table.size + len(first) > self.table.limit:
+                old, self.table = self.table, Table(2 * self.table.limit)
+                self.table.insert(old.a[: old.size], old.b[: old.size])
+                self.number = np.concatenate([self.number, np.zeros_like(self.number)])
+            self.number[self.table.size : self.table.size + len(first)] = len(self.words) + np.arange(len(first))
+            self.table.insert(a[first], b[first])
+            self.words += [raw[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+            at[new] = self.table.find(a[new], b[new])
+        out = self.number[np.maximum(at, 0)]
+        for i in np.flatnonzero(~short).tolist():
+            w = raw[begin[i] : end[i]]
+            if w not in self.long:
+                self.long[w] = len(self.words)
+                self.words.append(w)
+            out[i] = self.long[w]
+        return out
+
+
 class WordIds:
     """The ids of texts by the ids of their words.
 
@@ -126,10 +167,7 @@ class WordIds:
         begin, end = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
         size = end - begin
         data = self._folded(data, begin, end)
-        padded = np.concatenate([data, np.zeros(16, np.uint8)])
-        eight = np.ndarray((len(data) + 8,), "<u8", padded.data, strides=(1,)).copy()
-        a = eight[begin] & _ONES[np.minimum(size, 8)]
-        b = (eight[begin + 8] & _ONES[np.clip(size - 8, 0, 7)] if len(begin) else a) | size.astype(np.uint64) << _U(56)
+        a, b = word_keys(data, begin, size)
         short = size <= KEY_BYTES
         raw = data.tobytes()
         self.turn += 1
@@ -184,42 +222,3 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
     ends = np.cumsum(n)
     return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-class Memo:
-    """word -> ids. Emptied when it holds ``limit`` words: results don't depend on what it holds."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.clear()
-
-    def clear(self):
-        self.index, self.at, self.n, self.flat = {}, array("q"), array("q"), array("I")
-
-    def keep(self, word, ids):
-        self.index[word] = len(self.index)
-        self.at.append(len(self.flat))
-        self.n.append(len(ids))
-        if isinstance(ids, np.ndarray):
-            self.flat.frombytes(ids.astype(np.uint32).tobytes())
-        else:
-            self.flat.extend(ids)
-
-    def get(self, word):
-        i = self.index.get(word)
-        return None if i is None else self.flat[self.at[i] : self.at[i] + self.n[i]]
-
-    def ids(self, words: list, counts: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of ``words`` in a row and the number of ids of each text, of which ``counts`` says how many words it has.
-        ``learn`` (a set of words) has to keep those words."""
-        if len(self.index) > self.limit:
-            self.clear()
-        index = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        if (new := np.flatnonzero(index < 0)).size:
-            learn({words[i] for i in new.tolist()})
-            index[new] = [self.index[words[i]] for i in new.tolist()]
-        at, n = np.frombuffer(self.at, np.int64)[index] if len(index) else index, np.frombuffer(self.n, np.int64)[index] if len(index) else index
-        ends = np.cumsum(n)
-        ids = (np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32))[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(cut)

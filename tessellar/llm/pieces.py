@@ -1,48 +1,46 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Encoding: the different words of all texts are counted; for each of them all substrings up to the longest piece are
-exploded with their places and equi-joined to the piece table (whose size is that of the model file); the edges found
-are grouped by word, and a fold with Spark's ``aggregate`` walks the lattice from left to right. Texts are then
-mapped word by word.
-
-The fold for this model: its pieces come from byte-pair merges, where the best path by the sum of piece scores is not
-what the model's own encoder gives. The exact encoding is the one path on which each piece agrees with its predecessor:
-pieces a and b agree if merging the characters of a + b in order of score gives back a and b. Every prefix has exactly one such
-path, so the Viterbi step at an end keeps the one edge that agrees with the best path at its start. An edge carries
-the predecessors it agrees with, computed by :class:`Model` for the edges that meet in a word.
-
-Words: white space is kept as the mark U+2581, one is put before the text, and a text is cut where no piece reaches across: between
-letters and other characters and before a space that follows something else. That this holds is checked for each model
-file; where it doesn't, only the latter cut is made. Runs of two or more marks, whose pieces share one score, are cut
-by the rule that follows from it (:meth:`Model.encode`).
-
-The ``DICTIONARY`` most frequent words are broadcast to the workers (a bound on rows, and of ``LONGEST`` characters each); a
-worker encodes all other words by the same fold in Python, exactly, and remembers them.
+Encoding: texts are cut into *words* wherever no piece of the model holds the two characters beside the cut, so that no merge reaches across. The
+different words of all texts go through the lattice: all their substrings up to the longest piece are exploded with their places and equi-joined to the
+piece table (of the size of the model file); the edges found are grouped by word, and a Viterbi fold with Spark's ``aggregate`` walks
+from end to end of the word. No word has another path, however rare or long it is.
+
+The fold: for every end it holds the best path that reaches it: its score, its last piece, where that starts. An edge extends the path at its start if the
+two pieces may follow each other, and of the edges that do the one with the best total stays. Pieces of this model come from byte-pair
+merges, so the total alone would pick other paths than the model's own encoder; what makes the fold exact is the rule about neighbours: a
+piece b may follow a unless merging their characters in order of score would join a part at the end of a with a part at the start of b before either part
+is taken up in its own piece. The parts that a piece has at its ends while it is merged are two bit masks of the piece table, and whether a joining piece
+exists, and how early it merges, is told by the edges of the word themselves.
+
+Back to the texts: a task numbers the different words of a *chunk* of its documents and keeps the chunk as a row of word numbers (compressed). Words travel to the
+lattice with the number of their chunk and their own, and their ids back to the chunk, where they are put in place. What is shuffled is the chunks' different words,
+their ids, and the chunks.
+
+White space is kept as the mark U+2581, one is put before the text. Of several marks in a row, whose pieces share one score and merge last, the
+last belongs to the word after them if they merge; the others are cut from the left (checked for each model file).
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memo import Memo
-from .shared import drop, table, text_or_empty, tune, written
+from .memo import Numbers, _ranges
+from .shared import n_parts, table, text_or_empty, tune
 
 MARK = "▁"
-DICTIONARY = 100_000
-LONGEST = 32
-MEMO_WORDS = 700_000
-_FINE = re.compile(r" *[^\W\d_]+| *(?:[\d_]|[^\w ])+| +")
-_COARSE = re.compile(r" *[^ ]+| +")
+#: Bytes of text of a chunk, about at most (a longer document is a chunk of its own).
+CHUNK_BYTES = 32 << 20
+#: Chunks of a task, at most.
+CHUNKS = 1 << 20
 
 
 def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], dict]:
@@ -97,87 +95,81 @@ class Model:
         if len(self.byte) != 256:
             raise ValueError("only models with byte fallback are supported")
         self.longest = max(map(len, self.id))
-        self.words = _FINE if all(_FINE.fullmatch(p.replace(MARK, " ")) for p in self.id) else _COARSE
         runs = {len(p) for p in self.id if not p.strip(MARK)}
         self.run = max(runs)
-        if any(self.merge(MARK * n) != self.blanks(n) for n in range(1, 3 * self.run)) or min(self.score.values()) < max(self.score[MARK * n] for n in runs if n > 1):
+        if self.longest > 30 or any(MARK in p.lstrip(MARK) for p in self.id):
+            raise ValueError("only models are supported whose pieces have their marks in front, and up to 30 characters")
+        if any(self.merge(MARK * n)[0] != self.blanks(n) for n in range(1, 3 * self.run)) or min(self.score.values()) < max(self.score[MARK * n] for n in runs if n > 1):
             raise ValueError("only models are supported in which runs of blanks are cut from the left and merge last")
-        self._agree: dict = {}
-        self._own: dict = {}
-
-    def merge(self, s: str) -> list[str]:
-        """The encoding by its definition: merge the best-scored neighbours, leftmost first, until none is a piece."""
-        x = list(s)
+        pairs = {x for p in self.id for x in zip(p, p[1:])}
+        letters = sorted({c for x in pairs for c in x})
+        if any(c not in self.id or ord(c) > 0xFFFF for c in letters):
+            raise ValueError("only models are supported whose pieces are made of single-character pieces")
+        #: The class of each character that stands in longer pieces (as a space for the mark), and which classes may stand side by side in one.
+        self.kind = np.zeros(1 << 16, np.int16)
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        for c, i in number.items():
+            self.kind[ord(" " if c == MARK else c)] = i
+        self.together = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for x, y in pairs:
+            self.together[number[x], number[y]] = True
+        self.chars = np.array([len(p) for p, _, _ in pieces])
+
+    def merge(self, s: str) -> tuple[list[str], str]:
+        """The encoding by its definition, and the left part of the last merge: merge the best-scored neighbours, leftmost first, until none is a piece."""
+        x, left = list(s), ""
         while True:
             best = max(((self.score[x[i] + x[i + 1]], -i) for i in range(len(x) - 1) if x[i] + x[i + 1] in self.score), default=None)
             if best is None:
-                return x
+                return x, left
             i = -best[1]
+            left = x[i]
             x[i : i + 2] = [x[i] + x[i + 1]]
 
-    def agree(self, a: str, b: str) -> bool:
-        """Whether piece b may follow piece a; with a = "" whether b is encoded as itself."""
-        known = self._agree.get((a, b))
-        if known is None:
-            if len(self._agree) > 2_000_000:
-                self._agree.clear()
-            known = self._agree[a, b] = self.merge(a + b) == ([a, b] if a else [b])
-        return known
+    def table(self) -> pd.DataFrame:
+        """piece (a space for the mark), id, rank (by score, the best first), and the lengths of the parts at its end and at its start as bit masks; only
+        pieces that merging their own characters gives, and of those with several marks none."""
+        rank = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        known: dict[str, tuple[str, str]] = {}
+        for p in self.id:
+            if len(p) > 1 and not p.startswith(MARK * 2):
+                got, left = self.merge(p)
+                if got == [p]:
+                    known[p] = left, p[len(left) :]
+        rows = []
+        for p, i in self.id.items():
+            if len(p) == 1 or p in known:
+                ends = [0, 0]
+                for side in (0, 1):
+                    part = p
+                    ends[side] |= 1 << len(part)
+                    while part in known:
+                        part = known[part][1 - side]
+                        ends[side] |= 1 << len(part)
+                rows.append((p.replace(MARK, " "), i, rank[self.score[p]], ends[0], ends[1]))
+        return pd.DataFrame(rows, columns=["piece", "id", "rank", "tails", "heads"])
 
     def blanks(self, n: int) -> list[str]:
         """The pieces of a run of n blanks: the longest ones from the left, and what merging gives for the rest."""
-        return [MARK * self.run] * (n // self.run) + self.merge(MARK * (n % self.run))
-
-    def path(self, w: str) -> list[str]:
-        """The pieces of a word without blanks or with one in front: the one path of the lattice on which neighbours agree.
-
-        It is found depth first, longest edge first. No end is reached by two agreeing paths, so an end from which it doesn't go on is never tried again."""
-        out, dead, at, most, n = [], set(), 0, self.longest, len(w)
-        ids, own, known = self.id, self._own, self._agree
-        while at < n:
-            before = out[-1] if out else ""
-            for size in range(min(most, n - at), 0, -1):
-                p = w[at : at + size]
-                if (p in ids or size == 1) and at + size not in dead:
-                    alone = own.get(p)
-                    if alone is None:
-                        alone = own[p] = self.merge(p) == [p]
-                    if alone:
-                        ok = known.get((before, p)) if before else True
-                        if ok or (ok is None and self.agree(before, p)):
-                            out.append(p)
-                            at, most = at + size, self.longest
-                            break
-            else:
-                dead.add(at)
-                most = len(out[-1]) - 1
-                at -= len(out.pop())
-        return out
-
-    def encode(self, w: str) -> list[int]:
-        """The ids of a word, with its blanks as spaces in front.
-
-        Of several blanks the last belongs to the word if they merge; the others merge with each other only after all
-        else (their score is the lowest), from the left."""
-        rest = w.lstrip(" ")
-        blanks, pieces = len(w) - len(rest), []
-        if blanks < 2 and rest:
-            pieces = self.path(w.replace(" ", MARK))
-        else:
-            tail = self.path(MARK + rest) if rest else [MARK]
-            if tail[0] == MARK:
-                tail = tail[1:]
-            else:
-                blanks -= 1
-            pieces = self.blanks(blanks) + tail
-        return [i for p in pieces for i in self.ids(p)]
+        return [MARK * self.run] * (n // self.run) + self.merge(MARK * (n % self.run))[0]
 
     def ids(self, piece: str) -> list[int]:
         i = self.id.get(piece)
         return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def split(self, text: str) -> list[str]:
-        return self.words.findall(" " + text.replace(MARK, " ")) if text else []
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(UTF-8 bytes of all texts with spaces for marks and one in front of each, begin and end of each word, number of words of each text)."""
+        texts = [" " + t.replace(MARK, " ") if t else "" for t in texts]
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = np.cumsum([0, *map(len, texts)])
+        kind = np.where(code < 1 << 16, self.kind[np.minimum(code, 0xFFFF)], 0)
+        new = np.ones(len(code) + 1, bool)
+        new[1:-1] = ~self.together[kind[:-1], kind[1:]] if len(code) else True
+        new[starts] = True
+        first = np.flatnonzero(new)
+        at = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 1 << 16), dtype=np.int64)])[first]
+        return np.frombuffer(joined.encode(), np.uint8), at[:-1], at[1:], np.diff(np.searchsorted(first, starts))
 
 
 @lru_cache(2)
@@ -208,138 +200,253 @@ class Decoder:
 # ---------------------------------------------------------------- the lattice
 
 
-def word_counts(docs: DataFrame, model: bytes) -> DataFrame:
-    """w, n: the different words of all texts (``text``) with their numbers, pre-counted in each task."""
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """w, edges: array of (e, s, rank, tails, heads, id) in order of end and start. ``words`` has a column w, ``pieces`` is :meth:`Model.table`."""
+    places = words.select("w", F.explode(F.sequence(F.lit(0), F.char_length("w") - 1)).alias("s"))
+    subs = places.select("w", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("w")))).alias("e"))
+    subs = subs.withColumn("piece", F.substring("w", F.col("s") + 1, F.col("e") - F.col("s")))
+    # the piece table is the model's: of the size of the file that the caller gave
+    edges = subs.join(F.broadcast(pieces), "piece")
+    return edges.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("e", "s", "rank", "tails", "heads", "id"))).alias("edges"))
+
+
+def viterbi(longest: int) -> Column:
+    """The ids along the best path through ``edges`` of the word ``w``.
+
+    ``acc`` holds for each end, from 0 on: the path's total (minus the ranks of its pieces), the start, tails and id of its last piece (id -1: no path), and how
+    many edges end up to it, which says where in ``edges`` those of the next ends are."""
+    # the part of that length is taken up in the next longer one
+    longer = "{0} + 1 + bit_count((shiftright({1}, {0} + 1) & -shiftright({1}, {0} + 1)) - 1)"
+    in_a, in_b = "(c.b.s - x.s)", "(x.e - c.b.s)"
+    after = "slice(edges, c.a.ends + 1, t.before + size(t.here) - c.a.ends)"
+    at_start = "slice(edges, c.before + 1, c.a.ends - c.before)"
+    joins = f"""x.s >= c.a.s AND x.s < c.b.s AND (shiftright(c.a.tails, {in_a}) & 1) = 1 AND (shiftright(c.b.heads, {in_b}) & 1) = 1
+        AND (x.s = c.a.s OR NOT exists({at_start}, y -> y.rank <= x.rank AND y.s = c.b.s - ({longer.format(in_a, "c.a.tails")})))
+        AND (x.e = c.b.e OR NOT exists({after}, y -> y.rank < x.rank AND y.s = c.b.s AND y.e = c.b.s + ({longer.format(in_b, "c.b.heads")})))"""
+    able = f"c.b.s = 0 OR (c.a.id >= 0 AND NOT exists({after}, x -> {joins}))"
+    pairs = "transform(t.here, b -> named_struct('b', b, 'a', element_at(acc, b.s + 1), 'before', if(b.s = 0, 0, element_at(acc, greatest(b.s, 1)).ends)))"
+    reached = "named_struct('total', c.a.total - c.b.rank, 's', c.b.s, 'tails', c.b.tails, 'ends', t.before + size(t.here), 'id', c.b.id)"
+    none = "named_struct('total', -1e300D, 's', -1, 'tails', 0, 'ends', t.before + size(t.here), 'id', -1)"
+    best = f"coalesce(array_max(transform(filter({pairs}, c -> {able}), c -> {reached})), {none})"
+    now = f"named_struct('before', element_at(acc, e).ends, 'here', filter(slice(edges, element_at(acc, e).ends + 1, {longest}), x -> x.e = e))"
+    step = f"concat(acc, transform(array({now}), t -> {best}))"
+    start = "array(named_struct('total', 0D, 's', 0, 'tails', 0, 'ends', 0, 'id', -1))"
+    back = """aggregate(reverse(sequence(1, size(acc) - 1)), named_struct('at', size(acc) - 1, 'ids', cast(array() as array<int>)),
+        (r, e) -> if(r.at = e, named_struct('at', element_at(acc, e + 1).s, 'ids', concat(array(element_at(acc, e + 1).id), r.ids)), r), r -> r.ids)"""
+    return F.expr(f"aggregate(sequence(1, char_length(w)), {start}, (acc, e) -> {step}, acc -> {back})")
 
-    def run(batches):
-        from collections import Counter
 
-        m, seen = load(model), Counter()
+def encode_words(words: DataFrame, model: bytes) -> DataFrame:
+    """w, ids for the words (with spaces for marks, at least two characters, at most one space) of a table, each different, by the lattice."""
+    m = load(model)
+    pieces = words.sparkSession.createDataFrame(m.table(), "piece string, id int, rank int, tails int, heads int")
+    return lattice(words.select("w"), pieces, m.longest).select("w", viterbi(m.longest).alias("ids"))
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-            seen.clear()
-            return out
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(m.split(t))
-            if len(seen) > 600_000:
-                yield flush()
-        yield flush()
+# ---------------------------------------------------------------- chunks
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.compress(struct.pack(f"<{len(raw) + 1}Q", len(raw), *map(len, raw)) + b"".join(raw), 1)
 
-def frequent(words: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """Words that the lattice encodes: up to ``LONGEST`` characters, at most one blank, and a count that at most ``most`` words reach."""
-    able = words.filter((F.char_length("w") <= LONGEST) & ~F.col("w").startswith("  ") & (F.col("w") != " "))
-    histogram = able.groupBy(F.least("n", F.lit(1 << 20)).alias("c")).count().orderBy(F.desc("c")).limit(1 << 16).collect()
-    least, kept = (1 << 20) + 1, 0
-    for c, k in histogram:
-        if kept + k > most:
-            break
-        least, kept = c, kept + k
-    return able.filter(F.col("n") >= least)
 
+def _unpack(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    (n,) = struct.unpack_from("<Q", raw)
+    at, out = 8 * (n + 1), []
+    for size in struct.unpack_from(f"<{n}Q", raw, 8):
+        out.append(raw[at : at + size])
+        at += size
+    return out
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """w, edges: array of (e, s, piece, ids) in order of end and start. ``words`` has a column w, ``pieces`` (piece, id) is the model's."""
-    w = F.translate("w", " ", MARK)
-    places = words.select("w", F.explode(F.sequence(F.lit(0), F.char_length("w") - 1)).alias("s"))
-    subs = places.select("w", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("w")))).alias("e"))
-    subs = subs.withColumn("piece", F.substring(w, F.col("s") + 1, F.col("e") - F.col("s")))
-    # the piece table is the model's: of the size of the file that the caller gave
-    edges = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    raw = F.encode("piece", "UTF-8")
-    by_byte = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") * F.lit(-1) - 1)
-    edges = edges.withColumn("ids", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(by_byte))
-    return edges.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("e", "s", "piece", "ids"))).alias("edges"))
-
-
-def agreeing(edges: Column, model: bytes) -> Column:
-    """For each edge the predecessors (pieces ending where it starts) it agrees with; for one at the start [""] or []."""
-
-    @F.pandas_udf("array<array<string>>")
-    def run(words: pd.Series) -> pd.Series:
-        m, out = load(model), []
-        for es in words:
-            ends: dict = {}
-            for e in es:
-                ends.setdefault(int(e["e"]), []).append(e["piece"])
-            out.append([[a for a in ([""] if not e["s"] else ends.get(int(e["s"]), [])) if m.agree("", e["piece"]) and (not a or m.agree(a, e["piece"]))] for e in es])
-        return pd.Series(out)
-
-    return run(edges)
-
-
-def viterbi(edges: Column, agrees: Column) -> Column:
-    """The ids along the one agreeing path of each word: a fold from left to right, and one back."""
-    step = F.zip_with(edges, agrees, lambda e, a: F.struct(e["e"].alias("e"), e["s"].alias("s"), e["piece"].alias("piece"), e["ids"].alias("ids"), a.alias("after")))
-    none = F.expr("array(named_struct('e', 0, 's', -1, 'piece', '', 'ids', cast(array() as array<int>)))")
-    best = F.aggregate(
-        step, none,
-        lambda acc, x: F.when(F.exists(acc, lambda p: (p["e"] == x["s"]) & F.array_contains(x["after"], p["piece"])), F.concat(acc, F.array(F.struct(x["e"].alias("e"), x["s"].alias("s"), x["piece"].alias("piece"), x["ids"].alias("ids"))))).otherwise(acc),
-    )
-    back = F.aggregate(
-        F.reverse(best), F.expr("named_struct('at', cast(null as int), 'ids', cast(array() as array<int>))"),
-        lambda acc, x: F.when(acc["at"].isNull() | (acc["at"] == x["e"]), F.struct(x["s"].alias("at"), F.concat(x["ids"], acc["ids"]).alias("ids"))).otherwise(acc),
-    )
-    return back["ids"]
 
+class Chunk:
+    """Documents as numbers of words. Words are numbered by how often they stand in the chunk."""
 
-def encode_words(words: DataFrame, model: bytes) -> DataFrame:
-    """w, ids for the words of a table, each different, by the lattice."""
-    spark, m = words.sparkSession, load(model)
-    pieces = spark.createDataFrame(pd.DataFrame({"piece": list(m.id), "id": list(m.id.values())}), "piece string, id int")
-    out = lattice(words.select("w"), pieces, m.longest)
-    ids = viterbi(F.col("edges"), agreeing(F.col("edges"), model))
-    first = m.byte[0]  # byte pieces follow each other
-    if any(m.byte[b] != first + b for b in range(256)):
-        raise ValueError("byte pieces have to be in a row")
-    return out.select("w", F.transform(ids, lambda i: F.when(i < 0, F.lit(first - 1) - i).otherwise(i)).alias("ids"))
-
-
-def encode(docs: DataFrame, model: bytes, dictionary: int = DICTIONARY) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) of the whole ``text``. A null or empty text has no ids; all rows and columns stay."""
-    spark = docs.sparkSession
-    tune(spark)
-    counted = written(word_counts(docs, model), "words")
-    known = written(encode_words(frequent(counted, dictionary), model), "word-ids")
-    got = known.toPandas()  # at most ``dictionary`` short words
-    drop(counted, known)
-    shared = spark.sparkContext.broadcast((got["w"].tolist(), np.concatenate([*got["ids"], np.zeros(0, np.int32)]).astype(np.uint32), np.array([len(x) for x in got["ids"]], np.int64)))
+    def __init__(self, model: Model):
+        self.model, self.numbers, self.size = model, Numbers(), 0
+        self.at, self.counts, self.crc, self.kept = [], [], [], []
+
+    def add(self, texts: list[str], kept: pa.RecordBatch):
+        data, begin, end, n = self.model.cut(texts)
+        self.at.append(self.numbers(data, begin, end).astype(np.uint32))
+        self.counts.append(n)
+        self.crc.append(np.array([zlib.crc32(t.encode()) for t in texts], np.uint32))
+        self.kept.append(kept)
+        self.size += len(data)
+
+    def closed(self):
+        """(words for the lattice, their numbers, the chunk as bytes)."""
+        m, at, words = self.model, np.concatenate(self.at), [w.decode() for w in self.numbers.words]
+        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        at = place[at]
+        own, own_n, own_ids, sent, to, marks = [], [], [], [], [], []
+        for k, w in enumerate(words[i] for i in order.tolist()):
+            rest = w.lstrip(" ")
+            blanks = len(w) - len(rest)
+            if len(w) == 1 or not rest:  # single characters and runs of blanks need no lattice
+                got = [i for p in (m.blanks(blanks) if blanks else [w]) for i in m.ids(p)]
+                own.append(k), own_n.append(len(got)), own_ids.extend(got)
+            else:
+                sent.append(w[blanks - 1 :] if blanks > 1 else w), to.append(k), marks.append(blanks)
+        table = pa.Table.from_batches(self.kept).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        blob = _pack(
+            np.minimum(at, 255).astype(np.uint8), at[at >= 255].astype(np.uint32), np.concatenate(self.counts).astype(np.uint32), np.concatenate(self.crc),
+            np.array(own, np.uint32), np.array(own_n, np.uint32), np.array(own_ids, np.int32), np.array(to, np.uint32), np.array(marks, np.uint32), np.array([len(w) for w in sent], np.uint32),
+            sink.getvalue().to_pybytes(),
+        )
+        return sent, to, blob
+
+
+def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
+    """With ``words`` w, chunk, k: the different words of each chunk for the lattice; else chunk, bytes: the chunks. ``docs`` has the text in its last column."""
 
     def run(batches):
-        m, memo = load(model), Memo(MEMO_WORDS)
-        words, flat, n = shared.value
-        start = dict(zip(words, (np.cumsum(n) - n).tolist(), strict=True))
-        sizes = dict(zip(words, n.tolist(), strict=True))
+        from pyspark import TaskContext
+
+        m, number = load(model), TaskContext.get().partitionId() * CHUNKS
+        now = Chunk(m)
 
-        def learn(new):
-            for w in new:
-                at = start.get(w)
-                memo.keep(w, flat[at : at + sizes[w]] if at is not None else m.encode(w))
+        def flush():
+            nonlocal now, number
+            sent, to, blob = now.closed()
+            here, number, now = number, number + 1, Chunk(m)
+            if words:
+                return pa.RecordBatch.from_arrays([pa.array(sent, pa.string()), pa.array([here] * len(sent), pa.int64()), pa.array(to, pa.int32())], ["w", "chunk", "k"])
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "bytes"])
 
         for b in batches:
             texts, i = b.column(b.num_columns - 1).to_pylist(), 0
+            kept = pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1]))
             while i < len(texts):  # about a MB at a time
                 j, size = i, 0
                 while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
                     size += len(texts[j])
                     j += 1
-                split = [m.split(t) for t in texts[i:j]]
-                ids, counts = memo.ids(list(chain.from_iterable(split)), np.array([len(s) for s in split], np.int64), learn)
-                of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], of], [*b.schema.names[:-1], "ids"])
+                if now.size and now.size + size > CHUNK_BYTES:
+                    yield flush()
+                now.add(texts[i:j], kept.slice(i, j - i))
                 i = j
+        if now.at:
+            yield flush()
+
+    return docs.mapInArrow(run, "w string, chunk bigint, k int" if words else "chunk bigint, bytes binary")
+
+
+def _together(found: DataFrame) -> DataFrame:
+    """chunk, bytes: the ids (chunk, k, ids) that a task found for each chunk, in one row."""
 
-    kept = [c for c in docs.columns if c != "ids"]
-    out = docs.select(*kept, text_or_empty().alias("__text"))
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+    def run(batches):
+        def rows(t):
+            by = np.argsort(t.column(0).to_numpy(), kind="stable")
+            t = t.take(pa.array(by)).combine_chunks()
+            chunk, k, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).combine_chunks() if isinstance(t.column(2), pa.ChunkedArray) else t.column(2)
+            n, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            out = [(int(chunk[a]), _pack(k[a:b].astype(np.uint32), n[a:b].astype(np.uint32), flat[ends[a] : ends[b]].astype(np.int32))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["chunk", "bytes"])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size > 1_000_000:
+                yield rows(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield rows(pa.Table.from_batches(held))
+
+    return found.select("chunk", "k", "ids").mapInArrow(run, "chunk bigint, bytes binary")
+
+
+class Changed(ValueError):
+    """The documents were others when they were read again."""
+
+
+def _in_place(blob: bytes, found: list[bytes], model: Model):
+    """(columns kept, ids in a row, ids of each document, crc32 of each text) of a chunk, with the ``found`` ids of its words."""
+    low, high, counts, crc, own, own_n, own_ids, to, marks, chars, kept = _unpack(blob)
+    low, high, counts, crc, own, own_n, to, marks, chars = (np.frombuffer(x, k) for x, k in zip((low, high, counts, crc, own, own_n, to, marks, chars), ("u1", *["<u4"] * 8), strict=True))
+    parts = [_unpack(x) for x in found]
+    k, n = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p[i], np.uint32) for p in parts)]).astype(np.int64) for i in (0, 1))
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(p[2], np.int32) for p in parts)])
+    by = np.argsort(k, kind="stable")
+    start = (np.cumsum(n) - n)[by]
+    k, n = k[by], n[by]
+    ids = ids[_ranges(start, n)]
+    ends = np.cumsum(n)
+    length = np.diff(np.concatenate([[0], np.cumsum(model.chars[ids])])[np.concatenate([[0], ends])])
+    if len(k) != len(to) or (k != to).any() or (length != chars).any():
+        raise Changed("the documents were others when they were read again: write them to a table first")
+    start = ends - n
+    several, flat, more = np.flatnonzero(marks > 1), [ids], []
+    end = len(ids)
+    for i in several.tolist():  # several marks in front: the last one is the word's own, if it merges with it
+        word = ids[start[i] : start[i] + n[i]]
+        alone = word[0] == model.id[MARK]
+        got = np.array([model.id[p] for p in model.blanks(int(marks[i]) - (0 if alone else 1))] + word[int(alone) :].tolist(), np.int32)
+        more.append((i, end, len(got)))
+        flat.append(got)
+        end += len(got)
+    for i, at, size in more:
+        start[i], n[i] = at, size
+    flat.append(np.frombuffer(own_ids, np.int32))
+    ids = np.concatenate(flat)
+    every_start, every_n = np.zeros(len(to) + len(own), np.int64), np.zeros(len(to) + len(own), np.int64)
+    every_start[to], every_n[to] = start, n
+    every_start[own], every_n[own] = end + np.cumsum(own_n.astype(np.int64)) - own_n, own_n
+    at = low.astype(np.int64)
+    at[at == 255] = high
+    n = every_n[at]
+    total = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
+    return pa.ipc.open_stream(kept).read_all(), every_start[at], n, np.concatenate([[0], np.cumsum(counts.astype(np.int64))]), total, crc, ids
+
+
+def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check: str | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``ids`` (array<int>) of the whole ``text``, and the text's crc32 as column ``check`` if that is named.
+
+    A null or empty text has no ids; all rows stay, repeated ones too, in no certain order; an empty table gives an empty one. Texts may be of any
+    length; a word without any place to cut it costs the square of its length in its fold. ``docs`` is read twice and has to give the same rows in the same tasks, as
+    tables in files do; where it doesn't, the query fails with :class:`Changed`."""
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+
+    spark = docs.sparkSession
+    tune(spark)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", check)]
+    rows = docs.select(*keep, text_or_empty().alias("__text"))
+    words = _chunks(rows, model, True).repartition(n_parts(spark), "w")
+    encoded = encode_words(words.select("w").distinct(), model)
+    # a row for each chunk and task that found ids of its words
+    found = _together(words.join(encoded, "w")).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
+    # a join, no union: a chunk's number is that of the task, which a union would shift
+    both = _chunks(rows, model, False).join(found, "chunk", "left")
+    schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))
+    schema = schema.add(check, LongType()) if check else schema
+    names = schema.names
+
+    def run(batches):
+        m = load(model)
+        for b in batches:
+            for data, parts in zip(b.column(0), b.column(1), strict=True):
+                kept, start, n, words, total, crc, ids = _in_place(data.as_py(), parts.as_py() or [], m)
+                i = 0
+                while i < len(crc):  # about a million ids at a time
+                    j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), "right")) - 1)
+                    flat = ids[_ranges(start[words[i] : words[j]], n[words[i] : words[j]])]
+                    of = pa.ListArray.from_arrays(pa.array(total[i : j + 1] - total[i], pa.int32()), pa.array(flat))
+                    own = kept.slice(i, j - i).combine_chunks()
+                    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, of, *([pa.array(crc[i:j].astype(np.int64))] if check else [])], names)
+                    i = j
 
-    schema = StructType([f for f in docs.schema.fields if f.name != "ids"]).add("ids", ArrayType(IntegerType()))
-    return out.mapInArrow(run, schema)
+    return both.select("bytes", "found").mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: bytes, to: str = "decoded") -> DataFrame:
@@ -355,18 +462,18 @@ def decode(rows: DataFrame, model: bytes, to: str = "decoded") -> DataFrame:
 
 
 def digests(encoded: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the text) of encoded texts."""
-    tune(encoded.sparkSession)
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the very text, of which ``text_crc32`` is
+    the checksum: not so for texts that hold the mark U+2581 itself, which comes back as a space) of encoded texts."""
 
     def run(batches):
         d = Decoder(load(model))
         for b in batches:
             ids, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
             got = [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            same = [d(x) == t.replace(MARK, " ") for x, t in zip(got, b.column(2).to_pylist(), strict=True)]
+            same = [zlib.crc32(d(x).encode()) == c for x, c in zip(got, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
-    return encoded.select("doc_id", "ids", text_or_empty()).mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
+    return encoded.select("doc_id", "ids", "text_crc32").mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
 
 
 def default_model() -> bytes:
@@ -377,5 +484,6 @@ def default_model() -> bytes:
 
 
 def op5_piece_lattice(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, round_trip of every whole text of ``documents``."""
     model = default_model()
-    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return digests(encode(table(spark, sf_dir, "documents"), model, ["doc_id"], "text_crc32"), model)

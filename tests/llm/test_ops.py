@@ -240,21 +240,47 @@ def test_hash_tree(spark):
 # ---------------------------------------------------------------- 5
 
 
-def test_pieces_as_library(spark):
+def test_pieces_as_library(spark, tmp_path, monkeypatch):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
     model = pieces.default_model()
-    more = ["Hello  world", " a", "a\nb\t c", "é€🙂𐍈", "<s> x </s>", "ﬁ Ⅳ ½ Å", "▁x ▁", "tail ", " " * 40 + "x" + " " * 31, "½a a½. ½. __init__ 12.5%", "กำ 中文 한국어"]
+    more = ["Hello  world", " a", "a\nb\t c", "é€🙂𐍈", "<s> x </s>", "ﬁ Ⅳ ½ Å", "▁x ▁", "tail ", " " * 40 + "x" + " " * 31, "½a a½. ½. __init__ 12.5%", "กำ 中文 한국어", "²." * 9, "a" * 700, "  the   the", "   ---  --", "<0x41>"]
+    r = random.Random(2)
+    more += ["".join(r.choice("aeinst  lor▁") for _ in range(r.randint(1, 60))) for _ in range(150)]
     rows = [*enumerate(texts(40) + more, 10), *EDGE]
-    for dictionary in (10_000, 3):  # nearly all words by the lattice, nearly none
-        out = pieces.decode(pieces.encode(docs(spark, rows), model, dictionary), model)
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for size in (pieces.CHUNK_BYTES, 300):  # a chunk a task, and hundreds
+        monkeypatch.setattr(pieces, "CHUNK_BYTES", size)
+        out = pieces.decode(pieces.encode(stored, model), model)
         assert out.columns == ["doc_id", "text", "source", "score", "n", "shard", "ids", "decoded"]
         got = out.collect()
+        assert sorted((x.doc_id is not None, x.doc_id, x.text is not None, x.text) for x in got if x.doc_id is not None and x.text is not None) == sorted((True, i, True, t) for i, t in rows if i is not None and t is not None)
         assert len(got) == len(rows)
         for x in got:
             assert x.ids == sp.encode(x.text or "") and x.decoded == (x.text or "").replace("▁", " ")
+    full = pieces.op5_piece_lattice(spark, str(tmp_path)).collect()
+    assert len(full) == len(rows)
+    by_id = {i: t or "" for i, t in rows if i is not None and i >= 10}
+    for x in full:
+        if x.doc_id in by_id:
+            want = sp.encode(by_id[x.doc_id])
+            assert (x.n_pieces, x.ids_crc32, x.round_trip) == (len(want), zlib.crc32(np.array(want, "<i4").tobytes()), "▁" not in by_id[x.doc_id])
     assert pieces.encode(docs(spark, []), model).count() == 0
 
 
+def test_pieces_refuse_rows_that_changed(spark):
+    """A chunk whose words are others when it is read again isn't put together."""
+    m = pieces.load(pieces.default_model())
+    one, two = pieces.Chunk(m), pieces.Chunk(m)
+    kept = pa.RecordBatch.from_arrays([pa.array([1])], ["doc_id"])
+    one.add(["some words here"], kept), two.add(["other words there"], kept)
+    sent, to, _ = one.closed()
+    ids = [np.array([m.id["▁"]] * 1, np.int32) for _ in sent]
+    found = pieces._pack(np.array(to, np.uint32), np.array([len(x) for x in ids], np.uint32), np.concatenate(ids))
+    with pytest.raises(pieces.Changed):
+        pieces._in_place(two.closed()[2], [found], m)
+
+
 # ---------------------------------------------------------------- 6
 
 
