@@ -424,9 +424,10 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check:
     words = _chunks(rows, model, True).repartition(n_parts(spark), "w")
     encoded = encode_words(words.select("w").distinct(), model)
     # a row for each chunk and task that found ids of its words
-    found = _together(words.join(encoded, "w")).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
+    # both sides are dealt by the word: merged as they are, whatever their sizes are thought to be
+    found = _together(words.join(encoded.hint("merge"), "w")).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
     # a join, no union: a chunk's number is that of the task, which a union would shift
-    both = _chunks(rows, model, False).join(found, "chunk", "left")
+    both = _chunks(rows, model, False).join(found.hint("merge"), "chunk", "left")
     schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))
     schema = schema.add(check, LongType()) if check else schema
     names = schema.names
