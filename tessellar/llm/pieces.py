@@ -9,8 +9,8 @@ The fold: for every end it holds the best path that reaches it: its score, its l
 two pieces may follow each other, and of the edges that do the one with the best total stays. Pieces of this model come from byte-pair
 merges, so the total alone would pick other paths than the model's own encoder; what makes the fold exact is the rule about neighbours: a
 piece b may follow a unless merging their characters in order of score would join a part at the end of a with a part at the start of b before either part
-is taken up in its own piece. The parts that a piece has at its ends while it is merged are two bit masks of the piece table, and whether a joining piece
-exists, and how early it merges, is told by the edges of the word themselves.
+is taken up in its own piece. Which joining pieces there are is told by the edges of the word themselves; an Arrow function notes the edges that each may
+follow, for all words of a batch at once (:func:`followed`).
 
 Back to the texts: a task numbers the different words of a *chunk* of its documents and keeps the chunk as a row of word numbers (compressed). Words travel to the
 lattice with the number of their chunk and their own, and their ids back to the chunk, where they are put in place. What is shuffled is the chunks' different words,
@@ -38,7 +38,7 @@ from .shared import n_parts, table, text_or_empty, tune
 
 MARK = "▁"
 #: Bytes of text of a chunk, about at most (a longer document is a chunk of its own).
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 #: Chunks of a task, at most.
 CHUNKS = 1 << 20
 
@@ -126,28 +126,33 @@ class Model:
             left = x[i]
             x[i : i + 2] = [x[i] + x[i + 1]]
 
-    def table(self) -> pd.DataFrame:
-        """piece (a space for the mark), id, rank (by score, the best first), and the lengths of the parts at its end and at its start as bit masks; only
-        pieces that merging their own characters gives, and of those with several marks none."""
-        rank = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
-        known: dict[str, tuple[str, str]] = {}
+    def table(self) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, rank), the id of each rank, and what takes up the parts at a piece's ends.
+
+        Pieces have a space for the mark, and their rank by score, the best first; only those are in it that merging their own characters gives, and of those
+        with several marks none. The last two: for each rank and length the rank of the piece that the part of that length at the piece's end (at its start) is merged
+        into; -1 if merging makes no such part, the largest number for the whole piece."""
+        able, known = [], {}
         for p in self.id:
-            if len(p) > 1 and not p.startswith(MARK * 2):
+            if not p.startswith(MARK * 2):
                 got, left = self.merge(p)
                 if got == [p]:
-                    known[p] = left, p[len(left) :]
-        rows = []
-        for p, i in self.id.items():
-            if len(p) == 1 or p in known:
-                ends = [0, 0]
-                for side in (0, 1):
-                    part = p
-                    ends[side] |= 1 << len(part)
-                    while part in known:
-                        part = known[part][1 - side]
-                        ends[side] |= 1 << len(part)
-                rows.append((p.replace(MARK, " "), i, rank[self.score[p]], ends[0], ends[1]))
-        return pd.DataFrame(rows, columns=["piece", "id", "rank", "tails", "heads"])
+                    able.append(p)
+                    if len(p) > 1:
+                        known[p] = left, p[len(left) :]
+        able.sort(key=lambda p: -self.score[p])
+        if any(self.score[a] == self.score[b] for a, b in zip(able, able[1:])):
+            raise ValueError("only models are supported whose pieces differ in score")
+        rank = {p: i for i, p in enumerate(able)}
+        taken = np.full((2, len(able), self.longest + 1), -1, np.int32)
+        for p, i in rank.items():
+            for side in (0, 1):
+                taken[side, i, len(p)] = np.iinfo(np.int32).max
+                part = p
+                while part in known:
+                    into, part = rank[part], known[part][1 - side]
+                    taken[side, i, len(part)] = into
+        return pd.DataFrame({"piece": [p.replace(MARK, " ") for p in able], "rank": range(len(able))}), np.array([self.id[p] for p in able], np.int32), taken[0], taken[1]
 
     def blanks(self, n: int) -> list[str]:
         """The pieces of a run of n blanks: the longest ones from the left, and what merging gives for the rest."""
@@ -200,47 +205,113 @@ class Decoder:
 # ---------------------------------------------------------------- the lattice
 
 
+#: An edge is one number: its end, its start and its piece's rank, 20 bits for each of the latter.
+BITS = 20
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """w, edges: array of (e, s, rank, tails, heads, id) in order of end and start. ``words`` has a column w, ``pieces`` is :meth:`Model.table`."""
-    places = words.select("w", F.explode(F.sequence(F.lit(0), F.char_length("w") - 1)).alias("s"))
+    """w, edges: the edges of each different word in order of end and start. ``words`` has columns w, chunk, k, ``pieces`` is that of :meth:`Model.table`."""
+    # the condition holds for every word; what it asks for keeps all columns, so that this and the join read the same shuffle
+    different = words.groupBy("w").agg(F.count("chunk").alias("n"), F.max("k").alias("k")).filter("n > 0 and k >= 0").select("w")
+    places = different.select("w", F.explode(F.sequence(F.lit(0), F.char_length("w") - 1)).alias("s"))
     subs = places.select("w", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("w")))).alias("e"))
     subs = subs.withColumn("piece", F.substring("w", F.col("s") + 1, F.col("e") - F.col("s")))
     # the piece table is the model's: of the size of the file that the caller gave
-    edges = subs.join(F.broadcast(pieces), "piece")
-    return edges.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("e", "s", "rank", "tails", "heads", "id"))).alias("edges"))
-
-
-def viterbi(longest: int) -> Column:
-    """The ids along the best path through ``edges`` of the word ``w``.
-
-    ``acc`` holds for each end, from 0 on: the path's total (minus the ranks of its pieces), the start, tails and id of its last piece (id -1: no path), and how
-    many edges end up to it, which says where in ``edges`` those of the next ends are."""
-    # the part of that length is taken up in the next longer one
-    longer = "{0} + 1 + bit_count((shiftright({1}, {0} + 1) & -shiftright({1}, {0} + 1)) - 1)"
-    in_a, in_b = "(c.b.s - x.s)", "(x.e - c.b.s)"
-    after = "slice(edges, c.a.ends + 1, t.before + size(t.here) - c.a.ends)"
-    at_start = "slice(edges, c.before + 1, c.a.ends - c.before)"
-    joins = f"""x.s >= c.a.s AND x.s < c.b.s AND (shiftright(c.a.tails, {in_a}) & 1) = 1 AND (shiftright(c.b.heads, {in_b}) & 1) = 1
-        AND (x.s = c.a.s OR NOT exists({at_start}, y -> y.rank <= x.rank AND y.s = c.b.s - ({longer.format(in_a, "c.a.tails")})))
-        AND (x.e = c.b.e OR NOT exists({after}, y -> y.rank < x.rank AND y.s = c.b.s AND y.e = c.b.s + ({longer.format(in_b, "c.b.heads")})))"""
-    able = f"c.b.s = 0 OR (c.a.id >= 0 AND NOT exists({after}, x -> {joins}))"
-    pairs = "transform(t.here, b -> named_struct('b', b, 'a', element_at(acc, b.s + 1), 'before', if(b.s = 0, 0, element_at(acc, greatest(b.s, 1)).ends)))"
-    reached = "named_struct('total', c.a.total - c.b.rank, 's', c.b.s, 'tails', c.b.tails, 'ends', t.before + size(t.here), 'id', c.b.id)"
-    none = "named_struct('total', -1e300D, 's', -1, 'tails', 0, 'ends', t.before + size(t.here), 'id', -1)"
-    best = f"coalesce(array_max(transform(filter({pairs}, c -> {able}), c -> {reached})), {none})"
-    now = f"named_struct('before', element_at(acc, e).ends, 'here', filter(slice(edges, element_at(acc, e).ends + 1, {longest}), x -> x.e = e))"
-    step = f"concat(acc, transform(array({now}), t -> {best}))"
-    start = "array(named_struct('total', 0D, 's', 0, 'tails', 0, 'ends', 0, 'id', -1))"
-    back = """aggregate(reverse(sequence(1, size(acc) - 1)), named_struct('at', size(acc) - 1, 'ids', cast(array() as array<int>)),
-        (r, e) -> if(r.at = e, named_struct('at', element_at(acc, e + 1).s, 'ids', concat(array(element_at(acc, e + 1).id), r.ids)), r), r -> r.ids)"""
-    return F.expr(f"aggregate(sequence(1, char_length(w)), {start}, (acc, e) -> {step}, acc -> {back})")
+    edges = subs.join(F.broadcast(pieces), "piece").select("w", F.shiftleft(F.shiftleft(F.col("e").cast("bigint"), BITS) + F.col("s"), BITS).bitwiseOR(F.col("rank").cast("bigint")).alias("edge"))
+    return edges.groupBy("w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _masks(edge_at: np.ndarray, reach: np.ndarray, taken: np.ndarray, rank: np.ndarray, cross, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For every edge, as bits (two words of 64), which of the pieces that cross the place ``edge_at`` where it meets its neighbour would take up a part of it first. ``reach``:
+    how far each crossing piece goes into the edge's side; ``taken``: what takes up the edge's parts; ``strict``: whether the crossing piece has to be better,
+    or merges first at the same rank too."""
+    first, count, piece, slot = cross
+    n = count[edge_at]
+    of, at = np.repeat(np.arange(len(rank)), n), _ranges(first[edge_at], n)
+    into, far = rank[piece[at]], np.minimum(reach[at], taken.shape[1] - 1)
+    limit = taken[rank[of], far]
+    hit = ((into < limit) if strict else (into <= limit)) & (reach[at] < taken.shape[1])
+    of, bit = of[hit], slot[at][hit].astype(np.uint64)
+    out = np.zeros((2, len(rank)), np.uint64)
+    for half in (0, 1):
+        some = (bit >> np.uint64(6)) == half
+        if some.any():
+            o = of[some]
+            starts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            out[half, o[starts]] = np.bitwise_or.reduceat(np.uint64(1) << (bit[some] & np.uint64(63)), starts)
+    return out[0], out[1]
+
+
+def followed(edges: np.ndarray, offsets: np.ndarray, tails: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """For each edge of many words (those of word i from ``offsets[i]`` on) which edges it may follow, as bits by their length; bit 0 for one at the start.
+
+    Piece b may follow a unless a piece that crosses the place between them joins an end of a with a start of b before either is taken up otherwise; at
+    the same rank the one further left merges first."""
+    mask = (1 << BITS) - 1
+    e, s, rank = edges >> 2 * BITS, edges >> BITS & mask, edges & mask
+    size = np.diff(offsets)
+    word = np.repeat(np.arange(len(size)), size)
+    last = np.zeros(len(size), np.int64)
+    last[size > 0] = e[offsets[1:][size > 0] - 1]
+    base = np.cumsum(last + 1) - last - 1
+    begin, end = base[word] + s, base[word] + e
+    places = int(base[-1] + last[-1] + 1) if len(size) else 0
+    # pieces that cross each place
+    n = (e - s - 1).astype(np.int64)
+    piece, place = np.repeat(np.arange(len(e)), n), _ranges(begin + 1, n)
+    by = np.argsort(place, kind="stable")
+    piece, place = piece[by], place[by]
+    count = np.bincount(place, minlength=places)
+    first = np.cumsum(count) - count
+    slot = np.arange(len(place)) - first[place]
+    cross = first, count, piece, slot
+    a = _masks(end, place - begin[piece], tails, rank, cross, True)
+    b = _masks(begin, end[piece] - place, heads, rank, cross, False)
+    # pairs: edges are in order of their ends
+    ending = np.bincount(end, minlength=places)
+    from_ = np.cumsum(ending) - ending
+    n = np.where(s > 0, ending[begin], 0)
+    right, left = np.repeat(np.arange(len(e)), n), _ranges(from_[begin], n)
+    fits = ((a[0][left] & b[0][right]) | (a[1][left] & b[1][right])) == 0
+    right, left = right[fits], left[fits]
+    out = (s == 0).astype(np.int32)
+    if len(right):
+        starts = np.flatnonzero(np.concatenate([[True], right[1:] != right[:-1]]))
+        out[right[starts]] = np.bitwise_or.reduceat(np.int32(1) << (e - s)[left].astype(np.int32), starts)
+    return out
+
+
+def viterbi() -> Column:
+    """The ranks along the best path through ``edges`` of a word; ``after`` says which edges each may follow.
+
+    ``acc`` holds for each end, from 0 on, the best path to it as one number: its cost (the sum of its pieces' ranks), the rank of its last piece and, in the lowest
+    5 bits, that piece's length (31: no path). An edge that may follow the best path at its start makes a path to its end, and the cheapest to an end stays."""
+    s, e = f"cast(shiftright(y.edges, {BITS}) & {(1 << BITS) - 1} as int)", f"cast(shiftright(y.edges, {2 * BITS}) as int)"
+    rank, at_start = f"(y.edges & {(1 << BITS) - 1})", f"get(acc, cast(shiftright(y.edges, {BITS}) & {(1 << BITS) - 1} as int))"
+    path = f"(shiftleft(shiftright({at_start}, {BITS + 5}) + {rank}, {BITS + 5}) | shiftleft({rank}, 5) | ({e} - {s}))"
+    longer = f"CASE WHEN size(acc) = {e} THEN concat(acc, array({path})) WHEN size(acc) > {e} THEN concat(slice(acc, 1, {e}), array(least(get(acc, {e}), {path}))) ELSE concat(acc, array_repeat(31L, {e} - size(acc)), array({path})) END"
+    step = f"if((shiftright(y.after, cast({at_start} & 31 as int)) & 1) = 1, {longer}, acc)"
+    back = f"""aggregate(reverse(acc), named_struct('at', size(acc) - 1, 'left', 0, 'ranks', cast(array() as array<int>)),
+        (r, x) -> if(r.left > 1, named_struct('at', r.at - 1, 'left', r.left - 1, 'ranks', r.ranks), if(r.at = 0, r, named_struct('at', r.at - 1, 'left', cast(x & 31 as int), 'ranks', concat(array(cast(shiftright(x, 5) & {(1 << BITS) - 1} as int)), r.ranks)))), r -> r.ranks)"""
+    return F.expr(f"aggregate(arrays_zip(edges, after), array(0L), (acc, y) -> {step}, acc -> {back})")
 
 
 def encode_words(words: DataFrame, model: bytes) -> DataFrame:
-    """w, ids for the words (with spaces for marks, at least two characters, at most one space) of a table, each different, by the lattice."""
+    """w, ranks (of the pieces) for the different words (with spaces for marks, at least two characters, at most one space) of a table w, chunk, k, by the lattice."""
     m = load(model)
-    pieces = words.sparkSession.createDataFrame(m.table(), "piece string, id int, rank int, tails int, heads int")
-    return lattice(words.select("w"), pieces, m.longest).select("w", viterbi(m.longest).alias("ids"))
+    table, _, tails, heads = m.table()
+    pieces = words.sparkSession.createDataFrame(table, "piece string, rank int")
+    # the model's own tables, of the size of its file
+    sides = words.sparkSession.sparkContext.broadcast((tails, heads))
+
+    @F.arrow_udf("array<int>")
+    def after(edges: pa.Array) -> pa.Array:
+        offsets = edges.offsets.to_numpy()
+        flat = edges.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(followed(flat, offsets.astype(np.int64), *sides.value)))
+
+    return lattice(words, pieces, m.longest).select("w", "edges", after("edges").alias("after")).select("w", viterbi().alias("ranks"))
 
 
 # ---------------------------------------------------------------- chunks
@@ -339,15 +410,15 @@ def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
     return docs.mapInArrow(run, "w string, chunk bigint, k int" if words else "chunk bigint, bytes binary")
 
 
-def _together(found: DataFrame) -> DataFrame:
-    """chunk, bytes: the ids (chunk, k, ids) that a task found for each chunk, in one row."""
+def _together(found: DataFrame, ids_of: np.ndarray) -> DataFrame:
+    """chunk, bytes: the ids of what a task found (chunk, k, ranks) for each chunk, in one row."""
 
     def run(batches):
         def rows(t):
             by = np.argsort(t.column(0).to_numpy(), kind="stable")
             t = t.take(pa.array(by)).combine_chunks()
             chunk, k, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).combine_chunks() if isinstance(t.column(2), pa.ChunkedArray) else t.column(2)
-            n, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy(zero_copy_only=False)
+            n, flat = np.diff(ids.offsets.to_numpy()), ids_of[ids.flatten().to_numpy(zero_copy_only=False)]
             ends = np.concatenate([[0], np.cumsum(n)])
             cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
             out = [(int(chunk[a]), _pack(k[a:b].astype(np.uint32), n[a:b].astype(np.uint32), flat[ends[a] : ends[b]].astype(np.int32))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -363,7 +434,7 @@ def _together(found: DataFrame) -> DataFrame:
         if size:
             yield rows(pa.Table.from_batches(held))
 
-    return found.select("chunk", "k", "ids").mapInArrow(run, "chunk bigint, bytes binary")
+    return found.select("chunk", "k", "ranks").mapInArrow(run, "chunk bigint, bytes binary")
 
 
 class Changed(ValueError):
@@ -422,10 +493,10 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check:
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", check)]
     rows = docs.select(*keep, text_or_empty().alias("__text"))
     words = _chunks(rows, model, True).repartition(n_parts(spark), "w")
-    encoded = encode_words(words.select("w").distinct(), model)
+    encoded = encode_words(words, model)
     # a row for each chunk and task that found ids of its words
     # both sides are dealt by the word: merged as they are, whatever their sizes are thought to be
-    found = _together(words.join(encoded.hint("merge"), "w")).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
+    found = _together(words.join(encoded.hint("merge"), "w"), load(model).table()[1]).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
     # a join, no union: a chunk's number is that of the task, which a union would shift
     both = _chunks(rows, model, False).join(found.hint("merge"), "chunk", "left")
     schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))
