@@ -22,6 +22,7 @@ last belongs to the word after them if they merge; the others are cut from the l
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from functools import lru_cache
@@ -39,6 +40,10 @@ from .shared import n_parts, table, text_or_empty, tune
 MARK = "▁"
 #: Bytes of text of a chunk, about at most (a longer document is a chunk of its own).
 CHUNK_BYTES = 12 << 20
+#: Characters of a word that is its own name; longer ones are named by their digest while they are in the lattice.
+LONG = 64
+#: Places of a window, from which substrings are taken.
+WINDOW = 48
 #: Chunks of a task, at most.
 CHUNKS = 1 << 20
 
@@ -210,29 +215,36 @@ BITS = 20
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """w, edges: the edges of each different word in order of end and start. ``words`` has columns w, chunk, k, ``pieces`` is that of :meth:`Model.table`."""
+    """w, edges: the edges of each different word in order of end and start. ``words`` has columns w, long, chunk, k (see :func:`_chunks`), ``pieces`` is that of :meth:`Model.table`."""
     # the condition holds for every word; what it asks for keeps all columns, so that this and the join read the same shuffle
-    different = words.groupBy("w").agg(F.count("chunk").alias("n"), F.max("k").alias("k")).filter("n > 0 and k >= 0").select("w")
-    places = different.select("w", F.explode(F.sequence(F.lit(0), F.char_length("w") - 1)).alias("s"))
-    subs = places.select("w", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("w")))).alias("e"))
-    subs = subs.withColumn("piece", F.substring("w", F.col("s") + 1, F.col("e") - F.col("s")))
+    different = words.groupBy("w", "long").agg(F.count("chunk").alias("n"), F.max("k").alias("k")).filter("n > 0 and k >= 0").select("w", F.coalesce("long", "w").alias("text"))
+    # windows that overlap by a piece: no row holds more of a long word
+    begin = F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(WINDOW))).alias("begin")
+    windows = different.select("w", "text", begin).select("w", "begin", F.expr(f"substring(text, begin + 1, {WINDOW + longest - 1})").alias("text"))
+    places = windows.select("w", "begin", "text", F.explode(F.sequence(F.lit(0), F.least(F.char_length("text"), F.lit(WINDOW)) - 1)).alias("s"))
+    subs = places.select("w", "begin", "text", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("text")))).alias("e"))
+    subs = subs.select("w", (F.col("begin") + F.col("s")).alias("s"), (F.col("begin") + F.col("e")).alias("e"), F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     # the piece table is the model's: of the size of the file that the caller gave
     edges = subs.join(F.broadcast(pieces), "piece").select("w", F.shiftleft(F.shiftleft(F.col("e").cast("bigint"), BITS) + F.col("s"), BITS).bitwiseOR(F.col("rank").cast("bigint")).alias("edge"))
     return edges.groupBy("w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def _masks(edge_at: np.ndarray, reach: np.ndarray, taken: np.ndarray, rank: np.ndarray, cross, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+#: Edges whose neighbours are worked out at once, at most.
+AT_ONCE = 16384
+
+
+def _masks(edge_at: np.ndarray, reach: np.ndarray, taken: np.ndarray, own: np.ndarray, rank: np.ndarray, cross, strict: bool) -> tuple[np.ndarray, np.ndarray]:
     """For every edge, as bits (two words of 64), which of the pieces that cross the place ``edge_at`` where it meets its neighbour would take up a part of it first. ``reach``:
-    how far each crossing piece goes into the edge's side; ``taken``: what takes up the edge's parts; ``strict``: whether the crossing piece has to be better,
-    or merges first at the same rank too."""
+    how far each crossing piece goes into the edge's side; ``taken``: what takes up the parts of a piece of rank ``own``; ``rank``: that of all edges; ``strict``: whether
+    the crossing piece has to be better, or merges first at the same rank too."""
     first, count, piece, slot = cross
     n = count[edge_at]
-    of, at = np.repeat(np.arange(len(rank)), n), _ranges(first[edge_at], n)
+    of, at = np.repeat(np.arange(len(own)), n), _ranges(first[edge_at], n)
     into, far = rank[piece[at]], np.minimum(reach[at], taken.shape[1] - 1)
-    limit = taken[rank[of], far]
+    limit = taken[own[of], far]
     hit = ((into < limit) if strict else (into <= limit)) & (reach[at] < taken.shape[1])
     of, bit = of[hit], slot[at][hit].astype(np.uint64)
-    out = np.zeros((2, len(rank)), np.uint64)
+    out = np.zeros((2, len(own)), np.uint64)
     for half in (0, 1):
         some = (bit >> np.uint64(6)) == half
         if some.any():
@@ -264,40 +276,51 @@ def followed(edges: np.ndarray, offsets: np.ndarray, tails: np.ndarray, heads: n
     count = np.bincount(place, minlength=places)
     first = np.cumsum(count) - count
     slot = np.arange(len(place)) - first[place]
-    cross = first, count, piece, slot
-    a = _masks(end, place - begin[piece], tails, rank, cross, True)
-    b = _masks(begin, end[piece] - place, heads, rank, cross, False)
+    cross, to_left, to_right = (first, count, piece, slot), place - begin[piece], end[piece] - place
     # pairs: edges are in order of their ends
     ending = np.bincount(end, minlength=places)
     from_ = np.cumsum(ending) - ending
-    n = np.where(s > 0, ending[begin], 0)
-    right, left = np.repeat(np.arange(len(e)), n), _ranges(from_[begin], n)
-    fits = ((a[0][left] & b[0][right]) | (a[1][left] & b[1][right])) == 0
-    right, left = right[fits], left[fits]
-    out = (s == 0).astype(np.int32)
-    if len(right):
-        starts = np.flatnonzero(np.concatenate([[True], right[1:] != right[:-1]]))
-        out[right[starts]] = np.bitwise_or.reduceat(np.int32(1) << (e - s)[left].astype(np.int32), starts)
+    out, length = (s == 0).astype(np.int32), (e - s).astype(np.int32)
+    for i in range(0, len(e), AT_ONCE):
+        j = min(i + AT_ONCE, len(e))
+        inner = s[i:j] > 0
+        if not inner.any():
+            continue
+        k = int(from_[begin[i:j][inner]].min())  # where the edges that these may follow begin
+        a = _masks(end[k:j], to_left, tails, rank[k:j], rank, cross, True)
+        b = _masks(begin[i:j], to_right, heads, rank[i:j], rank, cross, False)
+        n = np.where(inner, ending[begin[i:j]], 0)
+        right, left = np.repeat(np.arange(j - i), n), _ranges(from_[begin[i:j]], n) - k
+        fits = ((a[0][left] & b[0][right]) | (a[1][left] & b[1][right])) == 0
+        right, left = right[fits], left[fits]
+        if len(right):
+            starts = np.flatnonzero(np.concatenate([[True], right[1:] != right[:-1]]))
+            out[i + right[starts]] = np.bitwise_or.reduceat(np.int32(1) << length[k + left], starts)
     return out
 
 
 def viterbi() -> Column:
     """The ranks along the best path through ``edges`` of a word; ``after`` says which edges each may follow.
 
-    ``acc`` holds for each end, from 0 on, the best path to it as one number: its cost (the sum of its pieces' ranks), the rank of its last piece and, in the lowest
-    5 bits, that piece's length (31: no path). An edge that may follow the best path at its start makes a path to its end, and the cheapest to an end stays."""
-    s, e = f"cast(shiftright(y.edges, {BITS}) & {(1 << BITS) - 1} as int)", f"cast(shiftright(y.edges, {2 * BITS}) as int)"
-    rank, at_start = f"(y.edges & {(1 << BITS) - 1})", f"get(acc, cast(shiftright(y.edges, {BITS}) & {(1 << BITS) - 1} as int))"
+    The state holds for each end, from 0 on, the best path to it as one number: its cost (the sum of its pieces' ranks), the rank of its last piece and, in the lowest
+    5 bits, that piece's length (31: no path). An edge that may follow the best path at its start makes a path to its end, and the cheapest to an end stays.
+    Ends far behind are put aside in blocks (``done``, up to ``base``), so that a step copies little in long words too."""
+    low = (1 << BITS) - 1
+    s, e = f"cast(shiftright(y.edges, {BITS}) & {low} as int)", f"cast(shiftright(y.edges, {2 * BITS}) as int)"
+    at_start, rank = f"get(r.now, {s} - r.base)", f"(y.edges & {low})"
     path = f"(shiftleft(shiftright({at_start}, {BITS + 5}) + {rank}, {BITS + 5}) | shiftleft({rank}, 5) | ({e} - {s}))"
-    longer = f"CASE WHEN size(acc) = {e} THEN concat(acc, array({path})) WHEN size(acc) > {e} THEN concat(slice(acc, 1, {e}), array(least(get(acc, {e}), {path}))) ELSE concat(acc, array_repeat(31L, {e} - size(acc)), array({path})) END"
-    step = f"if((shiftright(y.after, cast({at_start} & 31 as int)) & 1) = 1, {longer}, acc)"
-    back = f"""aggregate(reverse(acc), named_struct('at', size(acc) - 1, 'left', 0, 'ranks', cast(array() as array<int>)),
-        (r, x) -> if(r.left > 1, named_struct('at', r.at - 1, 'left', r.left - 1, 'ranks', r.ranks), if(r.at = 0, r, named_struct('at', r.at - 1, 'left', cast(x & 31 as int), 'ranks', concat(array(cast(shiftright(x, 5) & {(1 << BITS) - 1} as int)), r.ranks)))), r -> r.ranks)"""
-    return F.expr(f"aggregate(arrays_zip(edges, after), array(0L), (acc, y) -> {step}, acc -> {back})")
+    size = "(r.base + size(r.now))"
+    longer = f"CASE WHEN {size} = {e} THEN concat(r.now, array({path})) WHEN {size} > {e} THEN concat(slice(r.now, 1, {e} - r.base), array(least(get(r.now, {e} - r.base), {path}))) ELSE concat(r.now, array_repeat(31L, {e} - {size}), array({path})) END"
+    aside = "if(size(r.now) < 512, r, named_struct('base', r.base + 256, 'done', concat(r.done, array(slice(r.now, 1, 256))), 'now', slice(r.now, 257, size(r.now) - 256)))"
+    step = f"if((shiftright(y.after, cast({at_start} & 31 as int)) & 1) = 1, named_struct('base', r.base, 'done', r.done, 'now', {longer}), {aside})"
+    start = "named_struct('base', 0, 'done', cast(array() as array<array<bigint>>), 'now', array(0L))"
+    back = f"""aggregate(reverse(flatten(concat(r.done, array(r.now)))), named_struct('at', r.base + size(r.now) - 1, 'left', 0, 'ranks', cast(array() as array<int>)),
+        (b, x) -> if(b.left > 1, named_struct('at', b.at - 1, 'left', b.left - 1, 'ranks', b.ranks), if(b.at = 0, b, named_struct('at', b.at - 1, 'left', cast(x & 31 as int), 'ranks', concat(array(cast(shiftright(x, 5) & {low} as int)), b.ranks)))), b -> b.ranks)"""
+    return F.expr(f"aggregate(arrays_zip(edges, after), {start}, (r, y) -> {step}, r -> {back})")
 
 
 def encode_words(words: DataFrame, model: bytes) -> DataFrame:
-    """w, ranks (of the pieces) for the different words (with spaces for marks, at least two characters, at most one space) of a table w, chunk, k, by the lattice."""
+    """w, ranks (of the pieces) for the different words (with spaces for marks, at least two characters, at most one space) of a table w, long, chunk, k, by the lattice."""
     m = load(model)
     table, _, tails, heads = m.table()
     pieces = words.sparkSession.createDataFrame(table, "piece string, rank int")
@@ -376,7 +399,8 @@ class Chunk:
 
 
 def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
-    """With ``words`` w, chunk, k: the different words of each chunk for the lattice; else chunk, bytes: the chunks. ``docs`` has the text in its last column."""
+    """With ``words`` w, long, chunk, k: the different words of each chunk for the lattice (one of more than LONG characters is named by its digest in w, and
+    stands in long); else chunk, bytes: the chunks. ``docs`` has the text in its last column."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -389,7 +413,9 @@ def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
             sent, to, blob = now.closed()
             here, number, now = number, number + 1, Chunk(m)
             if words:
-                return pa.RecordBatch.from_arrays([pa.array(sent, pa.string()), pa.array([here] * len(sent), pa.int64()), pa.array(to, pa.int32())], ["w", "chunk", "k"])
+                long = [w if len(w) > LONG else None for w in sent]
+                keys = ["#" + hashlib.sha256(w.encode()).hexdigest() if len(w) > LONG else w for w in sent]
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(long, pa.string()), pa.array([here] * len(sent), pa.int64()), pa.array(to, pa.int32())], ["w", "long", "chunk", "k"])
             return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "bytes"])
 
         for b in batches:
@@ -407,7 +433,7 @@ def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
         if now.at:
             yield flush()
 
-    return docs.mapInArrow(run, "w string, chunk bigint, k int" if words else "chunk bigint, bytes binary")
+    return docs.mapInArrow(run, "w string, long string, chunk bigint, k int" if words else "chunk bigint, bytes binary")
 
 
 def _together(found: DataFrame, ids_of: np.ndarray) -> DataFrame:
@@ -484,7 +510,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check:
     """``docs`` (or its columns ``keep``) with ``ids`` (array<int>) of the whole ``text``, and the text's crc32 as column ``check`` if that is named.
 
     A null or empty text has no ids; all rows stay, repeated ones too, in no certain order; an empty table gives an empty one. Texts may be of any
-    length; a word without any place to cut it costs the square of its length in its fold. ``docs`` is read twice and has to give the same rows in the same tasks, as
+    length, and so may words without any place to cut them. ``docs`` is read twice and has to give the same rows in the same tasks, as
     tables in files do; where it doesn't, the query fails with :class:`Changed`."""
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 

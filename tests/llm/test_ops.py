@@ -249,7 +249,7 @@ def test_pieces_as_library(spark, tmp_path, monkeypatch):
     rows = [*enumerate(texts(40) + more, 10), *EDGE]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for size in (pieces.CHUNK_BYTES, 300):  # a chunk a task, and hundreds
+    for size in (pieces.CHUNK_BYTES, 3000):  # a chunk a task, and hundreds
         monkeypatch.setattr(pieces, "CHUNK_BYTES", size)
         out = pieces.decode(pieces.encode(stored, model), model)
         assert out.columns == ["doc_id", "text", "source", "score", "n", "shard", "ids", "decoded"]
@@ -268,6 +268,27 @@ def test_pieces_as_library(spark, tmp_path, monkeypatch):
     assert pieces.encode(docs(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [16384, 300])
+def test_neighbour_rule_as_merging(monkeypatch, at_once):
+    """Exactly one path of edges that may follow each other reaches each end, and that to the last one is what merging gives."""
+    monkeypatch.setattr(pieces, "AT_ONCE", at_once)
+    m = pieces.load(pieces.default_model())
+    table, ids, tails, heads = m.table()
+    rank, r = dict(zip(table["piece"], table["rank"])), random.Random(1)
+    words = [" " + "".join(r.choice("thanginesorld") for _ in range(r.randint(1, 14))) for _ in range(400)] + ["a" * n for n in range(2, 40)] + ["xxaabb" * 7]
+    edges = [sorted((e << 40) | (s << 20) | rank[w[s:e]] for s in range(len(w)) for e in range(s + 1, min(len(w), s + m.longest) + 1) if w[s:e] in rank) for w in words]
+    offsets = np.cumsum([0, *map(len, edges)])
+    after = pieces.followed(np.array([x for es in edges for x in es], np.int64), offsets, tails, heads).tolist()
+    for k, w in enumerate(words):
+        best = {0: (0, [])}
+        for x, may in zip(edges[k], after[offsets[k] : offsets[k + 1]]):
+            e, s = x >> 40, x >> 20 & (1 << 20) - 1
+            if s in best and may >> best[s][0] & 1:
+                assert e not in best
+                best[e] = e - s, [*best[s][1], int(ids[x & (1 << 20) - 1])]
+        assert best[len(w)][1] == [m.id[p] for p in m.merge(w.replace(" ", "▁"))[0]]
+
+
 def test_pieces_refuse_rows_that_changed(spark):
     """A chunk whose words are others when it is read again isn't put together."""
     m = pieces.load(pieces.default_model())
