@@ -39,13 +39,13 @@ from .shared import n_parts, table, text_or_empty, tune
 
 MARK = "▁"
 #: Bytes of text of a chunk, about at most (a longer document is a chunk of its own).
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 14 << 20
 #: Characters of a word that is its own name; longer ones are named by their digest while they are in the lattice.
 LONG = 64
 #: Places of a window, from which substrings are taken.
 WINDOW = 48
-#: Chunks of a task, at most.
-CHUNKS = 1 << 20
+#: A word's place is its task, its chunk in the task and its number in the chunk: bits of the last two.
+CHUNK_BITS, PLACE_BITS = 16, 26
 
 
 def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], dict]:
@@ -215,9 +215,9 @@ BITS = 20
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """w, edges: the edges of each different word in order of end and start. ``words`` has columns w, long, chunk, k (see :func:`_chunks`), ``pieces`` is that of :meth:`Model.table`."""
+    """w, edges: the edges of each different word in order of end and start. ``words`` has columns w, long, place (see :func:`_chunks`), ``pieces`` is that of :meth:`Model.table`."""
     # the condition holds for every word; what it asks for keeps all columns, so that this and the join read the same shuffle
-    different = words.groupBy("w", "long").agg(F.count("chunk").alias("n"), F.max("k").alias("k")).filter("n > 0 and k >= 0").select("w", F.coalesce("long", "w").alias("text"))
+    different = words.groupBy("w", "long").agg(F.max("place").alias("place")).filter("place >= 0").select("w", F.coalesce("long", "w").alias("text"))
     # windows that overlap by a piece: no row holds more of a long word
     begin = F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(WINDOW))).alias("begin")
     windows = different.select("w", "text", begin).select("w", "begin", F.expr(f"substring(text, begin + 1, {WINDOW + longest - 1})").alias("text"))
@@ -320,7 +320,7 @@ def viterbi() -> Column:
 
 
 def encode_words(words: DataFrame, model: bytes) -> DataFrame:
-    """w, ranks (of the pieces) for the different words (with spaces for marks, at least two characters, at most one space) of a table w, long, chunk, k, by the lattice."""
+    """w, ranks (of the pieces) for the different words (with spaces for marks, at least two characters, at most one space) of a table w, long, place, by the lattice."""
     m = load(model)
     table, _, tails, heads = m.table()
     pieces = words.sparkSession.createDataFrame(table, "piece string, rank int")
@@ -342,7 +342,12 @@ def encode_words(words: DataFrame, model: bytes) -> DataFrame:
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    return zstandard.compress(struct.pack(f"<{len(raw) + 1}Q", len(raw), *map(len, raw)) + b"".join(raw), 1)
+    return zstandard.compress(struct.pack(f"<{len(raw) + 1}Q", len(raw), *map(len, raw)) + b"".join(raw), 3)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, which compress better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _unpack(data: bytes) -> list[bytes]:
@@ -377,6 +382,8 @@ class Chunk:
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         at = place[at]
+        if len(words) > 1 << PLACE_BITS:
+            raise ValueError("a document with too many different words")
         own, own_n, own_ids, sent, to, marks = [], [], [], [], [], []
         for k, w in enumerate(words[i] for i in order.tolist()):
             rest = w.lstrip(" ")
@@ -391,7 +398,7 @@ class Chunk:
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         blob = _pack(
-            np.minimum(at, 255).astype(np.uint8), at[at >= 255].astype(np.uint32), np.concatenate(self.counts).astype(np.uint32), np.concatenate(self.crc),
+            np.minimum(at, 255).astype(np.uint8), _planes(at[at >= 255]), np.concatenate(self.counts).astype(np.uint32), np.concatenate(self.crc),
             np.array(own, np.uint32), np.array(own_n, np.uint32), np.array(own_ids, np.int32), np.array(to, np.uint32), np.array(marks, np.uint32), np.array([len(w) for w in sent], np.uint32),
             sink.getvalue().to_pybytes(),
         )
@@ -399,13 +406,13 @@ class Chunk:
 
 
 def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
-    """With ``words`` w, long, chunk, k: the different words of each chunk for the lattice (one of more than LONG characters is named by its digest in w, and
+    """With ``words`` w, long, place: the different words of each chunk for the lattice (one of more than LONG characters is named by its digest in w, and
     stands in long); else chunk, bytes: the chunks. ``docs`` has the text in its last column."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        m, number = load(model), TaskContext.get().partitionId() * CHUNKS
+        m, number = load(model), TaskContext.get().partitionId() << CHUNK_BITS
         now = Chunk(m)
 
         def flush():
@@ -415,7 +422,7 @@ def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
             if words:
                 long = [w if len(w) > LONG else None for w in sent]
                 keys = ["#" + hashlib.sha256(w.encode()).hexdigest() if len(w) > LONG else w for w in sent]
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(long, pa.string()), pa.array([here] * len(sent), pa.int64()), pa.array(to, pa.int32())], ["w", "long", "chunk", "k"])
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(long, pa.string()), pa.array((here << PLACE_BITS) + np.array(to, np.int64))], ["w", "long", "place"])
             return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "bytes"])
 
         for b in batches:
@@ -433,17 +440,18 @@ def _chunks(docs: DataFrame, model: bytes, words: bool) -> DataFrame:
         if now.at:
             yield flush()
 
-    return docs.mapInArrow(run, "w string, long string, chunk bigint, k int" if words else "chunk bigint, bytes binary")
+    return docs.mapInArrow(run, "w string, long string, place bigint" if words else "chunk bigint, bytes binary")
 
 
 def _together(found: DataFrame, ids_of: np.ndarray) -> DataFrame:
-    """chunk, bytes: the ids of what a task found (chunk, k, ranks) for each chunk, in one row."""
+    """chunk, bytes: the ids of what a task found (place, ranks) for each chunk, in one row."""
 
     def run(batches):
         def rows(t):
             by = np.argsort(t.column(0).to_numpy(), kind="stable")
             t = t.take(pa.array(by)).combine_chunks()
-            chunk, k, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).combine_chunks() if isinstance(t.column(2), pa.ChunkedArray) else t.column(2)
+            place, ids = t.column(0).to_numpy(), t.column(1).combine_chunks() if isinstance(t.column(1), pa.ChunkedArray) else t.column(1)
+            chunk, k = place >> PLACE_BITS, place & (1 << PLACE_BITS) - 1
             n, flat = np.diff(ids.offsets.to_numpy()), ids_of[ids.flatten().to_numpy(zero_copy_only=False)]
             ends = np.concatenate([[0], np.cumsum(n)])
             cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
@@ -460,7 +468,7 @@ def _together(found: DataFrame, ids_of: np.ndarray) -> DataFrame:
         if size:
             yield rows(pa.Table.from_batches(held))
 
-    return found.select("chunk", "k", "ranks").mapInArrow(run, "chunk bigint, bytes binary")
+    return found.select("place", "ranks").mapInArrow(run, "chunk bigint, bytes binary")
 
 
 class Changed(ValueError):
@@ -470,6 +478,7 @@ class Changed(ValueError):
 def _in_place(blob: bytes, found: list[bytes], model: Model):
     """(columns kept, ids in a row, ids of each document, crc32 of each text) of a chunk, with the ``found`` ids of its words."""
     low, high, counts, crc, own, own_n, own_ids, to, marks, chars, kept = _unpack(blob)
+    high = np.ascontiguousarray(np.frombuffer(high, np.uint8).reshape(4, -1).T).tobytes()
     low, high, counts, crc, own, own_n, to, marks, chars = (np.frombuffer(x, k) for x, k in zip((low, high, counts, crc, own, own_n, to, marks, chars), ("u1", *["<u4"] * 8), strict=True))
     parts = [_unpack(x) for x in found]
     k, n = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p[i], np.uint32) for p in parts)]).astype(np.int64) for i in (0, 1))
@@ -506,8 +515,9 @@ def _in_place(blob: bytes, found: list[bytes], model: Model):
     return pa.ipc.open_stream(kept).read_all(), every_start[at], n, np.concatenate([[0], np.cumsum(counts.astype(np.int64))]), total, crc, ids
 
 
-def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check: str | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``ids`` (array<int>) of the whole ``text``, and the text's crc32 as column ``check`` if that is named.
+def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check: str | None = None, finish=None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``ids`` (array<int>) of the whole ``text``, and the text's crc32 as column ``check`` if that is named. ``finish``: (a function
+    of Arrow batches of these rows, the schema of what it gives), applied in the same workers.
 
     A null or empty text has no ids; all rows stay, repeated ones too, in no certain order; an empty table gives an empty one. Texts may be of any
     length, and so may words without any place to cut them. ``docs`` is read twice and has to give the same rows in the same tasks, as
@@ -541,10 +551,11 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check:
                     of = pa.ListArray.from_arrays(pa.array(total[i : j + 1] - total[i], pa.int32()), pa.array(flat))
                     own = kept.slice(i, j - i).combine_chunks()
                     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own.columns]
-                    yield pa.RecordBatch.from_arrays([*columns, of, *([pa.array(crc[i:j].astype(np.int64))] if check else [])], names)
+                    out = pa.RecordBatch.from_arrays([*columns, of, *([pa.array(crc[i:j].astype(np.int64))] if check else [])], names)
+                    yield finish[0](out) if finish else out
                     i = j
 
-    return both.select("bytes", "found").mapInArrow(run, schema)
+    return both.select("bytes", "found").mapInArrow(run, finish[1] if finish else schema)
 
 
 def decode(rows: DataFrame, model: bytes, to: str = "decoded") -> DataFrame:
@@ -559,19 +570,23 @@ def decode(rows: DataFrame, model: bytes, to: str = "decoded") -> DataFrame:
     return rows.withColumn(to, run("ids"))
 
 
-def digests(encoded: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the very text, of which ``text_crc32`` is
-    the checksum: not so for texts that hold the mark U+2581 itself, which comes back as a space) of encoded texts."""
+@lru_cache(2)
+def decoder(data: bytes) -> Decoder:
+    return Decoder(load(data))
 
-    def run(batches):
-        d = Decoder(load(model))
-        for b in batches:
-            ids, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-            got = [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            same = [zlib.crc32(d(x).encode()) == c for x, c in zip(got, b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
-    return encoded.select("doc_id", "ids", "text_crc32").mapInArrow(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
+def digests(model: bytes):
+    """For :func:`encode` with ``doc_id`` and ``text_crc32``: doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives
+    the very text: not so for texts that hold the mark U+2581 itself, which comes back as a space)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        d = decoder(model)
+        ids, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
+        got = [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        same = [zlib.crc32(d(x).encode()) == c for x, c in zip(got, b.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+
+    return run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
 def default_model() -> bytes:
@@ -584,4 +599,4 @@ def default_model() -> bytes:
 def op5_piece_lattice(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip of every whole text of ``documents``."""
     model = default_model()
-    return digests(encode(table(spark, sf_dir, "documents"), model, ["doc_id"], "text_crc32"), model)
+    return encode(table(spark, sf_dir, "documents"), model, ["doc_id"], "text_crc32", digests(model))
