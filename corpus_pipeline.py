@@ -14,15 +14,26 @@ from tessellar.llm import decontaminate, jaccard, pieces, toxicity
 from tessellar.llm.shared import free, table, written
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__key``, equal for rows that share id and text (both nulls of their own)."""
-    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes not to be a column of ``docs``."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key, equal for rows that share id and text (both nulls of their own), and that column's name."""
+    key = free_name(docs, "__row")
+    return docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")), key
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.5 or more go. The classifier learns from the labelled documents among its input."""
+    """Documents whose toxicity score is 0.5 or more go. The classifier learns from the labelled documents among its input.
+
+    Null and empty texts are scored by the bias alone; repeated rows go or stay together; without labels or documents nothing goes."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "__score").filter("__score < 0.5").drop("__score")
+    score = free_name(docs, "score")
+    return toxicity.score(docs, model, score).filter((F.col(score) < 0.5) | (not len(model[0]))).drop(score)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +41,29 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null ids count as larger than all others; of different texts under the smallest id one stays. Documents without words aren't
     copies of each other and stay; of rows that repeat an id and its text one stays."""
-    rows = keyed(docs)
-    groups = jaccard.jaccard_components(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
-    known = groups.distinct().join(rows.select("__key", "doc_id").distinct(), "__key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
-    stay = known.groupBy("component_id").agg(first).select("first.__key")
-    return rows.join(stay, "__key", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    rows, key = keyed(docs)
+    groups = jaccard.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    known = groups.distinct().join(rows.select(key, "doc_id").distinct(), key)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first")
+    stay = known.groupBy("component_id").agg(first).select(f"first.{key}")
+    return rows.join(stay, key, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item, also an edited one, go."""
-    rows = keyed(docs)
-    hits = decontaminate.contaminated(rows.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(hits.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(docs.columns)
+    """Documents that hold a passage of a benchmark item, also an edited one, go.
+
+    Null and empty texts stay; of rows that share an id only those whose own text holds a passage go; without items or documents nothing goes."""
+    rows, key = keyed(docs)
+    hits = decontaminate.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(hits.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_pieces of every document, with the text that the ids decode to."""
+    """doc_id, ids and n_pieces of every document, with the text that the ids decode to.
+
+    A null or empty text has no ids and decodes to the empty one; repeated rows stay; no document gives no row."""
     model = pieces.default_model()
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model).select("doc_id", "ids"), model)
+    out = pieces.decode(pieces.encode(docs, model, ["doc_id"]), model)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "decoded")
 
 

@@ -357,13 +357,22 @@ def _step(n):
     return loop
 
 
+def _checked(f):
+    try:
+        return f()
+    except RecursionError:
+        raise TemplateError("nested too deeply") from None
+    except (ArithmeticError, TypeError, OverflowError, MemoryError) as e:
+        raise TemplateError(str(e)) from e
+
+
 def compile_template(source: str):
-    """A function (**variables) -> [(text, under the loss mask)]."""
-    run = _body(fold(parse(source)))
+    """A function (**variables) -> [(text, under the loss mask)]. Whatever is wrong with a template, when it is read or when it is rendered, is a TemplateError."""
+    run = _checked(lambda: _body(fold(parse(source))))
 
     def render(**variables):
         out = []
-        run(dict(variables), lambda s, g: out.append((s, g)) if s else None, False)
+        _checked(lambda: run(dict(variables), lambda s, g: out.append((s, g)) if s else None, False))
         return out
 
     return render

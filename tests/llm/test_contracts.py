@@ -12,8 +12,8 @@ pytest.importorskip("public_tokenizers")
 from tessellar.llm import queries  # noqa: E402
 
 Q = {name.split("_")[0]: f for name, f in queries.queries().items()}
-CLASH = ", score double, n bigint, ids array<int>, shard string, key string, __key string, cid bigint, w string, chunk string, embedding_ string"
-EXTRA = (1.5, 7, [1], "x", "k", "kk", 3, "w", "c", "e")
+CLASH = ", score double, n bigint, ids array<int>, shard string, key string, __key string, __row string, __score double, cid bigint, w string, chunk string, embedding_ string"
+EXTRA = (1.5, 7, [1], "x", "k", "kk", "rr", 2.5, 3, "w", "c", "e")
 ITEM = " ".join(f"item{i}" for i in range(25))
 PAGE = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Words of the article, some of them.</p></article><footer>end</footer></body></html>"
 
@@ -146,6 +146,7 @@ def test_stages(spark, full, empty, which):
     assert len(last) == before
     if which == "full":
         left = [(x.doc_id, x.text) for x in docs.collect()]
+        assert {x["__key"] for x in docs.collect()} == {"kk"} and {x.score for x in docs.collect()} == {1.5}
         assert not any(ITEM in (t or "") for _, t in left) and (None, "plain words of a row without id") in left and (120, None) in left
         assert sum(i is not None and 100 <= i < 120 for i, _ in left) == 1 and left.count((None, None)) == 1
         assert sorted((x.doc_id is not None, x.doc_id, x.decoded) for x in last if x.doc_id is not None) == sorted((True, i, t or "") for i, t in left if i is not None)

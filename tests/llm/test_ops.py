@@ -465,6 +465,12 @@ def test_template_language():
             chat.compile_template(bad)
 
 
+@pytest.mark.parametrize("bad", ["{{ 1 % 0 }}", "{{ 'x' < 1 }}", "{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}"])
+def test_template_errors(bad):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(bad)()
+
+
 def test_escapes():
     r = random.Random(10)
     for _ in range(3000):
