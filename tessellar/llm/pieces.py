@@ -350,6 +350,11 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
+def _numbers(raw: bytes) -> np.ndarray:
+    """The inverse of :func:`_planes`."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _unpack(data: bytes) -> list[bytes]:
     raw = zstandard.decompress(data)
     (n,) = struct.unpack_from("<Q", raw)
@@ -399,7 +404,7 @@ class Chunk:
             out.write_table(table)
         blob = _pack(
             np.minimum(at, 255).astype(np.uint8), _planes(at[at >= 255]), np.concatenate(self.counts).astype(np.uint32), np.concatenate(self.crc),
-            np.array(own, np.uint32), np.array(own_n, np.uint32), np.array(own_ids, np.int32), np.array(to, np.uint32), np.array(marks, np.uint32), np.array([len(w) for w in sent], np.uint32),
+            np.array(own, np.uint32), np.array(own_n, np.uint32), np.array(own_ids, np.int32), _planes(np.diff(np.array(to, np.uint32), prepend=np.uint32(0))), _planes(np.array(marks, np.uint32)), _planes(np.array([len(w) for w in sent], np.uint32)),
             sink.getvalue().to_pybytes(),
         )
         return sent, to, blob
@@ -455,7 +460,7 @@ def _together(found: DataFrame, ids_of: np.ndarray) -> DataFrame:
             n, flat = np.diff(ids.offsets.to_numpy()), ids_of[ids.flatten().to_numpy(zero_copy_only=False)]
             ends = np.concatenate([[0], np.cumsum(n)])
             cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
-            out = [(int(chunk[a]), _pack(k[a:b].astype(np.uint32), n[a:b].astype(np.uint32), flat[ends[a] : ends[b]].astype(np.int32))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out = [(int(chunk[a]), _pack(_planes(np.diff(k[a:b], prepend=0)), _planes(n[a:b]), _planes(flat[ends[a] : ends[b]]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["chunk", "bytes"])
 
         held, size = [], 0
@@ -478,11 +483,13 @@ class Changed(ValueError):
 def _in_place(blob: bytes, found: list[bytes], model: Model):
     """(columns kept, ids in a row, ids of each document, crc32 of each text) of a chunk, with the ``found`` ids of its words."""
     low, high, counts, crc, own, own_n, own_ids, to, marks, chars, kept = _unpack(blob)
-    high = np.ascontiguousarray(np.frombuffer(high, np.uint8).reshape(4, -1).T).tobytes()
-    low, high, counts, crc, own, own_n, to, marks, chars = (np.frombuffer(x, k) for x, k in zip((low, high, counts, crc, own, own_n, to, marks, chars), ("u1", *["<u4"] * 8), strict=True))
+    high, to, marks, chars = map(_numbers, (high, to, marks, chars))
+    to = np.cumsum(to, dtype=np.int64)
+    low, counts, crc, own, own_n = (np.frombuffer(x, k) for x, k in zip((low, counts, crc, own, own_n), ("u1", *["<u4"] * 4), strict=True))
     parts = [_unpack(x) for x in found]
-    k, n = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p[i], np.uint32) for p in parts)]).astype(np.int64) for i in (0, 1))
-    ids = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(p[2], np.int32) for p in parts)])
+    k = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_numbers(p[0]), dtype=np.int64) for p in parts)])
+    n = np.concatenate([np.zeros(0, np.int64), *(_numbers(p[1]).astype(np.int64) for p in parts)])
+    ids = np.concatenate([np.zeros(0, np.int32), *(_numbers(p[2]).view(np.int32) for p in parts)])
     by = np.argsort(k, kind="stable")
     start = (np.cumsum(n) - n)[by]
     k, n = k[by], n[by]
@@ -531,8 +538,10 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, check:
     words = _chunks(rows, model, True).repartition(n_parts(spark), "w")
     encoded = encode_words(words, model)
     # a row for each chunk and task that found ids of its words
-    # both sides are dealt by the word: merged as they are, whatever their sizes are thought to be
-    found = _together(words.join(encoded.hint("merge"), "w"), load(model).table()[1]).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
+    # both sides are dealt by the word: merged as they are, whatever their sizes are thought to be; the condition always holds and
+    # asks for the column that only the lattice needs, so that both read the same shuffle
+    placed = words.select("w", F.when(F.coalesce(F.length("long"), F.lit(0)) >= 0, F.col("place")).alias("place"))
+    found = _together(placed.join(encoded.hint("merge"), "w"), load(model).table()[1]).groupBy("chunk").agg(F.collect_list("bytes").alias("found"))
     # a join, no union: a chunk's number is that of the task, which a union would shift
     both = _chunks(rows, model, False).join(found.hint("merge"), "chunk", "left")
     schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))

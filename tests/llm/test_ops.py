@@ -297,7 +297,7 @@ def test_pieces_refuse_rows_that_changed(spark):
     one.add(["some words here"], kept), two.add(["other words there"], kept)
     sent, to, _ = one.closed()
     ids = [np.array([m.id["▁"]] * 1, np.int32) for _ in sent]
-    found = pieces._pack(np.array(to, np.uint32), np.array([len(x) for x in ids], np.uint32), np.concatenate(ids))
+    found = pieces._pack(pieces._planes(np.diff(np.array(to), prepend=0)), pieces._planes(np.array([len(x) for x in ids])), pieces._planes(np.concatenate(ids)))
     with pytest.raises(pieces.Changed):
         pieces._in_place(two.closed()[2], [found], m)
 
