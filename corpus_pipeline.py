@@ -63,8 +63,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no ids and decodes to the empty one; repeated rows stay; no document gives no row."""
     model = pieces.default_model()
-    out = pieces.decode(pieces.encode(docs, model, ["doc_id"]), model)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "decoded")
+    return pieces.encode(docs, model, ["doc_id"], finish=pieces.decoded(model))
 
 
 STAGES = [("toxicity", toxic_out), ("near_copies", one_of_near_copies), ("decontamination", uncontaminated), ("pieces", tokenized)]

@@ -598,6 +598,18 @@ def digests(model: bytes):
     return run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
+def decoded(model: bytes):
+    """For :func:`encode` with ``doc_id``: doc_id, n_pieces, ids and the text that the ids decode to."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        d = decoder(model)
+        ids, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
+        texts = pa.array([d(ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), b.column(1), texts], ["doc_id", "n_pieces", "ids", "decoded"])
+
+    return run, "doc_id bigint, n_pieces bigint, ids array<int>, decoded string"
+
+
 def default_model() -> bytes:
     import public_tokenizers
 
