@@ -64,6 +64,8 @@ COLUMNS = {
     "op8": "query_id bigint, rank int, vec_id bigint, score double",
     "op9": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10": "page_id bigint, url string, text string, n_chars bigint",
+    "op12": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
 
 
