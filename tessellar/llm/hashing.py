@@ -41,9 +41,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a string column: hash, begin and end (byte offsets in ``data``) of each, ``first[i]`` to ``first[i + 1] - 1`` those of row i.
 
-    Letters A-Z are lower-cased; with ``latin``, accented capitals of Latin-1 too. A null row has no words."""
+    Letters A-Z are lower-cased unless ``fold`` is false; with ``latin``, accented capitals of Latin-1 too. A null row has no words."""
 
-    def __init__(self, column: pa.Array, separators: np.ndarray = BLANKS, latin: bool = False):
+    def __init__(self, column: pa.Array, separators: np.ndarray = BLANKS, latin: bool = False, fold: bool = True):
         if pa.types.is_large_string(column.type):
             column = column.cast(pa.string())
         column = column.fill_null("")
@@ -53,7 +53,7 @@ class Words:
         base = int(offsets[0])
         data = np.frombuffer(raw, np.uint8)[base : int(offsets[-1])] if raw is not None and offsets[-1] > base else np.zeros(0, np.uint8)
         self.offsets = offsets.astype(np.int64) - base
-        self.data = _LOWER[data]
+        self.data = _LOWER[data] if fold else data
         if latin and len(data):
             up = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
             self.data[up] += 32

@@ -39,7 +39,7 @@ def write(spark, at, some=True):
     make([(1, 0, "user", "hi</s>"), (1, 1, "assistant", "ho"), (1, 1, "assistant", "ho"), (2, None, None, None), (None, 3, "assistant", "x" * 40_000), (3, 0, "system", "")], "conv_id bigint, turn bigint, role string, text string", "conversations")
     r = random.Random(9)
     vectors = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(250)] + [(300, [0.0] * 8), (400, None), (500, [float("nan")] * 8), (None, [1.0] * 8), (600, [1.0] * 3)]
-    make([(i, v, 1, 0.5) for i, v in [*vectors, vectors[100], (700, vectors[100][1])]], "vec_id bigint, embedding array<float>, rank int, score double", "embeddings")
+    make([(i, v, 1, 0.5, None if i == 3 else i % 2 if i else 7, "c") for i, v in [*vectors, vectors[100], (700, vectors[100][1])]], "vec_id bigint, embedding array<float>, rank int, score double, label int, code string", "embeddings")
     return str(at)
 
 
@@ -64,6 +64,7 @@ COLUMNS = {
     "op8": "query_id bigint, rank int, vec_id bigint, score double",
     "op9": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10": "page_id bigint, url string, text string, n_chars bigint",
+    "op11": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op12": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
     "op13": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
 }
@@ -152,3 +153,15 @@ def test_stages(spark, full, empty, which):
         assert not any(ITEM in (t or "") for _, t in left) and (None, "plain words of a row without id") in left and (120, None) in left
         assert sum(i is not None and 100 <= i < 120 for i, _ in left) == 1 and left.count((None, None)) == 1
         assert sorted((x.doc_id is not None, x.doc_id, x.decoded) for x in last if x.doc_id is not None) == sorted((True, i, t or "") for i, t in left if i is not None)
+
+
+def test_quality(spark, full):
+    got = Q["op11"](spark, full).collect()
+    assert sorted(repr(x.doc_id) for x in got) == sorted(repr(i) for i, _ in rows())
+    assert {x.n_words for x in got if x.doc_id in (120, 121, 122)} == {0} and next(x for x in got if x.doc_id == 131).base_failed
+    assert all(x.kept is not None and (x.score is None) == x.base_failed for x in got)
+
+
+def test_vectors_of_other_lengths(spark, full):
+    """The fixture's vectors have 8 components: neither 64 nor a multiple of 16."""
+    assert Q["op12"](spark, full).count() == 0 and Q["op13"](spark, full).count() == 0
