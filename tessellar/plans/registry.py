@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import blobs, relational  # noqa: F401  registers
+    from . import blobs, coding, relational  # noqa: F401  registers
 
     return dict(_QUERIES)
 

@@ -90,3 +90,18 @@ SQL = {
     "orders": _sql(0, "o_orderkey", 100, "o_totalprice", "TRUE", "orders"),
     "psize": _sql(0, "p_partkey", 50, "p_size", "TRUE", "part"), "psize_masked": _sql(0, "p_partkey", 50, "p_size", "p_partkey % 7 <> 0", "part"),
 }
+
+
+def byte_bands(spark, sf_dir) -> DataFrame:
+    """8-bit bands of unlike kinds: part sizes with holes, embeddings, event values, order prices' low byte, and a smooth ramp over the orders."""
+    b = lambda df, band, z: df.select(F.lit(band).cast("bigint").alias("band"), "row", "col", "depth", F.pmod(F.floor(z).cast("bigint"), F.lit(256)).cast("double").alias("z"), "valid")
+    z = F.col("z")
+    out = [b(psize(spark, sf_dir, True), 0, z), b(embed(spark, sf_dir), 1, z * 64 + 128), b(events(spark, sf_dir), 2, z), b(orders(spark, sf_dir), 3, z), b(orders(spark, sf_dir), 4, F.col("row") / 8 + F.col("col") / 2)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+def _byte(source: str, band: int, z: str) -> str:
+    return f"SELECT CAST({band} AS BIGINT) AS band, \"row\", col, depth, CAST(((CAST(floor({z}) AS BIGINT) % 256) + 256) % 256 AS DOUBLE) AS z, valid FROM ({source})"
+
+
+SQL["byte_bands"] = " UNION ALL ".join([_byte(SQL["psize_masked"], 0, "z"), _byte(SQL["embed"], 1, "z * 64 + 128"), _byte(SQL["events"], 2, "z"), _byte(SQL["orders"], 3, "z"), _byte(SQL["orders"], 4, '"row" / 8 + col / 2')])
