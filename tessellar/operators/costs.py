@@ -43,7 +43,8 @@ def lut_bytes(n: Column, q: Column, distinct: Column) -> Column:
 
 def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool = True, keys: list[str] = BLOCK) -> DataFrame:
     """Per block: mode (zero, constant, raw, stuffed or lut) and bytes. One shuffle, on the block (none if ``px`` is already
-    partitioned by some of ``keys``); ranges, quanta and equal neighbours come from windows on it, the rest from one aggregate."""
+    partitioned by some of ``keys``); ranges, quanta and equal neighbours come from windows on it, the rest from one aggregate.
+    With an ``error`` of 0 nothing is quantised: a block of different values is raw."""
     w = W.partitionBy(*keys)
     v = valid(px) if {"bi", "bj"} <= set(px.columns) else with_blocks(valid(px), size)
     v = v.withColumn("lo", F.min("z").over(w)).withColumn("same", (F.col("z") == F.lag("z").over(w.orderBy("row", "col"))).cast("bigint"))
@@ -51,10 +52,10 @@ def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool
     # a block has size * size values at most: its set of quanta is as small
     rows = v.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_same"),
-        F.size(F.collect_set(quantum(F.col("z"), F.col("lo"), error))).cast("bigint").alias("distinct"),
+        F.size(F.collect_set(quantum(F.col("z"), F.col("lo"), error) if error else F.lit(0))).cast("bigint").alias("distinct"),
     )
     raw = 1 + n * SIZES[kind]
-    top = (hi - lo) * F.lit(1.0 / (2.0 * error))
+    top = (hi - lo) * F.lit(1.0 / (2.0 * error)) if error else F.when(hi > lo, F.lit(2.0 * MAX_QUANTUM[SIZES[kind]])).otherwise(F.lit(0.0))
     q = F.floor(top + 0.5).cast("bigint")
     base = 1 + offset_bytes(lo, kind)
     simple = stuffed_bytes(n, q)

@@ -95,19 +95,19 @@ def _words(bits: Column) -> Column:
 
 
 def coded_bytes(lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: first bin and number of bins of the shortest circular stretch that holds all used ones, and the bytes of code table (four numbers, the stretch's
+    """Per group: first bin and number of bins of the shortest circular stretch that holds all used ones (of equal ones that from first to last, else the one after the first gap), and the bytes of code table (four numbers, the stretch's
     lengths stuffed, the codes) and coded values (with a word to read ahead into). ``bytes`` is null where there is no code: one bin, or more than 32 bits."""
     w = W.partitionBy(*keys)
     nxt = F.coalesce(F.lead("bin").over(w.orderBy("bin")), F.min("bin").over(w) + 256)
     gaps = lengths.withColumn("next", nxt)
     g = gaps.groupBy(*keys).agg(
-        F.count("*").alias("n_bins"), F.max(F.struct((F.col("next") - F.col("bin")).alias("gap"), (F.col("next")).alias("next"))).alias("widest"),
+        F.count("*").alias("n_bins"), F.max(F.struct((F.col("next") - F.col("bin")).alias("gap"), (F.col("next") > 255).alias("outer"), (-F.col("next")).alias("next"))).alias("widest"),
         F.max("length").alias("longest"), F.sum("length").alias("code_bits"), F.sum(F.col("n") * F.col("length")).alias("bits"),
     )
     stretch = 257 - F.col("widest.gap")
     table = 16 + stuffed_bytes(stretch, F.col("longest")) + _words(F.col("code_bits"))
     some = (F.col("n_bins") > 1) & (F.col("longest") <= LONGEST)
-    return g.select(*keys, F.pmod(F.col("widest.next"), F.lit(256)).alias("begin"), stretch.alias("stretch"), "longest", F.when(some, table).alias("table_bytes"), F.when(some, table + _words(F.col("bits")) + 4).alias("bytes"))
+    return g.select(*keys, F.pmod(-F.col("widest.next"), F.lit(256)).alias("begin"), stretch.alias("stretch"), "longest", F.when(some, table).alias("table_bytes"), F.when(some, table + _words(F.col("bits")) + 4).alias("bytes"))
 
 
 def value_or_delta(values: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import prefix, statistics
+from ..operators import modes, planes, prefix, statistics
 from ..sources import rasters
 from .registry import query
+from .relational import _cost as cost_sql
+from .relational import on
 
 
 # ------------------------------------------------------------------ prefix codes
@@ -74,3 +76,152 @@ def coded_sql(px: str) -> str:
 def coded_value_or_delta(spark, d):
     px = rasters.byte_bands(spark, d)
     return prefix.value_or_delta(statistics.histogram(px), statistics.delta_histogram(px), ["band"])
+
+
+# ------------------------------------------------------------------ float fields, predictors, levels
+
+
+def _fields_sql(kind: str) -> str:
+    """Relations up to d (band, row, col, width, height, u0, u1, u2) from px, by the bits of the values."""
+    m, high = (23, 511) if kind == "float" else (52, 4095)
+    low = (1 << m) - 1
+    if kind == "float":
+        bits = "(SELECT *, CAST(CAST(CAST(z AS FLOAT) AS BIT) AS UINTEGER)::BIGINT AS x FROM px)"
+        fields = f"SELECT *, ((x >> 23) & 255) * 2 + (x >> 31) AS hi, x & {low} AS lo FROM {bits}"
+    else:
+        fields = f"SELECT *, CAST(x >> 52 AS BIGINT) AS hi, CAST(x & {low}::UBIGINT AS BIGINT) AS lo FROM (SELECT *, CAST(CAST(z AS BIT) AS UBIGINT) AS x FROM px)"
+    less = lambda c, p: f"({c} - coalesce({p}, 0)) & {high if c.startswith('hi') else low}"
+    rows, cols = 'OVER (PARTITION BY band, "row" ORDER BY col)', 'OVER (PARTITION BY band, col ORDER BY "row")'
+    pack = lambda e: f"CAST(CASE WHEN hi{e} >= 2048 THEN hi{e} - 4096 ELSE hi{e} END AS BIGINT) * {1 << m} + lo{e}" if kind == "double" else f"hi{e} * {1 << m} + lo{e}"
+    return f"""f AS ({fields}), f1 AS (SELECT *, {less("hi", f"lag(hi) {rows}")} AS hi1, {less("lo", f"lag(lo) {rows}")} AS lo1 FROM f),
+    f2 AS (SELECT *, {less("hi1", f"lag(hi1) {cols}")} AS hi2, {less("lo1", f"lag(lo1) {cols}")} AS lo2, max("row") OVER (PARTITION BY band) + 1 AS height, max(col) OVER (PARTITION BY band) + 1 AS width FROM f1),
+    d AS (SELECT band, "row", col, depth, height, width, hi, lo, hi1, lo1, hi2, lo2, {pack("")} AS u0, {pack("1")} AS u1, {pack("2")} AS u2 FROM f2)"""
+
+
+_D = 'SELECT band, "row", col, depth, hi, lo, hi1, lo1, hi2, lo2, u0, u1, u2 FROM d'
+
+
+@query(on("float_bands", _D, _fields_sql("float")))
+def float_field_differences(spark, d):
+    return planes.field_differences(rasters.float_bands(spark, d), "float")
+
+
+@query(on("double_bands", _D, _fields_sql("double")))
+def double_field_differences(spark, d):
+    return planes.field_differences(rasters.double_bands(spark, d), "double")
+
+
+@query(on("double_bands", 'SELECT band, "row", col, depth, z FROM px'))
+def double_fields_restored(spark, d):
+    return planes.restored(planes.field_differences(rasters.double_bands(spark, d), "double"), "double")
+
+
+@query(on("float_bands", 'SELECT band, "row", col, depth, z FROM px'))
+def float_fields_restored(spark, d):
+    return planes.restored(planes.field_differences(rasters.float_bands(spark, d), "float"), "float")
+
+
+_SHAPE = "m AS (SELECT DISTINCT band, height, width FROM d)"
+_SPREAD = """CAST(trunc(greatest(0::FLOAT, mg + (2::FLOAT * mg + CAST({length} AS FLOAT)) * CAST(i AS FLOAT))) AS BIGINT)"""
+#: s: the stripes (band, part, begin_, end_) on which predictors are tried.
+_STRIPES = f"""s0 AS (SELECT *, greatest(4, 8192 // width) AS nr FROM m),
+    s1 AS (SELECT *, greatest(1, least(CAST(round(sqrt(round(height * width / 8192.0::DOUBLE) + 1)) AS BIGINT), height // nr)) AS n FROM s0),
+    s2 AS (SELECT *, CAST((height - n * nr) / (2.0::DOUBLE * n) AS FLOAT) AS mg, unnest(range(n)) AS i FROM s1),
+    s3 AS (SELECT *, {_SPREAD.format(length="nr")} AS top FROM s2),
+    s AS (SELECT band, i AS part, top * width AS begin_, least(top + nr, height) * width AS end_ FROM s3)"""
+#: t: those of byte planes.
+_SNIPPETS = f"""t1 AS (SELECT *, least(CAST(round(sqrt(round(height * width / 8192.0::DOUBLE) + 1)) AS BIGINT), height * width // 8192) AS n FROM m),
+    t2 AS (SELECT *, CAST((height * width - n * 8192) / (2.0::DOUBLE * n) AS FLOAT) AS mg, unnest(range(n)) AS i FROM t1 WHERE n > 0),
+    t AS (SELECT band, i AS part, {_SPREAD.format(length="8192")} AS begin_, least({_SPREAD.format(length="8192")} + 8192, height * width) AS end_ FROM t2)"""
+
+
+def _predictors_sql(size: int) -> str:
+    at = "(({u} >> CAST(8 * k AS INT)) & 255)"
+    return f"""{_SHAPE}, {_STRIPES},
+    v AS (SELECT d.band, part, "row" * width + col - begin_ AS p, unnest([0, 1, 2]) AS predictor, unnest([u0, u1, u2]) AS u FROM d JOIN s ON s.band = d.band AND "row" * width + col >= begin_ AND "row" * width + col < end_),
+    w AS (SELECT *, lag(u) OVER (PARTITION BY band, part, predictor ORDER BY p) AS b FROM v),
+    x AS (SELECT band, part, predictor, k, less, CASE WHEN less = 1 AND p > 0 THEN ({at.format(u="u")} - {at.format(u="b")}) & 255 ELSE {at.format(u="u")} END AS byte, count(*) AS n FROM w, range({size}) k(k), range(2) l(less) WHERE p % 7 = 0 GROUP BY ALL),
+    y AS (SELECT band, part, predictor, k, less, floor((round(sum(n * log2(t / n)), 6) + 7) / 8) AS bytes FROM (SELECT *, sum(n) OVER (PARTITION BY band, part, predictor, k, less) AS t FROM x) GROUP BY ALL),
+    z AS (SELECT band, predictor, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT band, part, predictor, k, min(bytes) AS bytes FROM y GROUP BY ALL) GROUP BY ALL),
+    pr AS (SELECT band, max(bytes) FILTER (predictor = 0) AS as_is, max(bytes) FILTER (predictor = 1) AS along_rows, max(bytes) FILTER (predictor = 2) AS along_both, CAST(min_by(predictor, (bytes, predictor)) AS BIGINT) AS predictor FROM z GROUP BY band)"""
+
+
+@query(on("float_bands", "SELECT * FROM pr", _fields_sql("float") + ", " + _predictors_sql(4)))
+def predictor_by_stripes(spark, d):
+    return planes.predictors(rasters.float_bands(spark, d), "float")
+
+
+@query(on("double_bands", "SELECT * FROM pr", _fields_sql("double") + ", " + _predictors_sql(8)))
+def predictor_by_stripes_double(spark, d):
+    return planes.predictors(rasters.double_bands(spark, d), "double")
+
+
+def _levels_sql(size: int) -> str:
+    """One level's bytes from those of the level below, as lags of lags."""
+    level = lambda k: f"l{k} AS (SELECT band, part, p, plane, predictor, CASE WHEN p >= {k} THEN (byte - lag(byte) OVER q) & 255 ELSE byte END AS byte FROM l{k - 1} WINDOW q AS (PARTITION BY band, part, plane ORDER BY p))"
+    return f"""{_predictors_sql(size)}, {_SNIPPETS},
+    l0 AS (SELECT d.band, part, "row" * width + col - begin_ AS p, k AS plane, predictor, (([u0, u1, u2])[predictor + 1] >> CAST(8 * k AS INT)) & 255 AS byte FROM d JOIN t ON t.band = d.band AND "row" * width + col >= begin_ AND "row" * width + col < end_ JOIN pr ON pr.band = d.band, range({size}) k(k)),
+    {", ".join(level(k) for k in range(1, 6))},
+    lv AS ({" UNION ALL ".join(f"SELECT band, part, plane, {k} AS level, byte, count(*) AS n FROM l{k} WHERE p % 7 = 0 AND {k} <= 5 - predictor GROUP BY ALL" for k in range(6))}),
+    lc AS (SELECT band, plane, level, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT band, part, plane, level, floor((round(sum(n * log2(t / n)), 6) + 7) / 8) AS bytes FROM (SELECT *, sum(n) OVER (PARTITION BY band, part, plane, level) AS t FROM lv) GROUP BY ALL) GROUP BY ALL),
+    la AS (SELECT band, predictor, CAST(k AS BIGINT) AS plane, CAST(coalesce(level, 0) AS BIGINT) AS level, coalesce(bytes, 0) AS bytes FROM (SELECT band, predictor, k FROM pr, range({size}) k(k)) LEFT JOIN (SELECT band, plane AS k, level, bytes FROM lc) USING (band, k)),
+    lb AS (SELECT *, coalesce(lead(bytes) OVER (PARTITION BY band, plane ORDER BY level) >= bytes, TRUE) AS stop FROM la),
+    ls AS (SELECT band, predictor, plane, level, bytes, min(level) FILTER (stop) OVER (PARTITION BY band, plane) AS best FROM lb)"""
+
+
+@query(on("float_bands", "SELECT * FROM ls", _fields_sql("float") + ", " + _levels_sql(4)))
+def plane_delta_levels(spark, d):
+    return planes.plane_levels(rasters.float_bands(spark, d), "float")
+
+
+@query(on("double_bands", "SELECT * FROM ls", _fields_sql("double") + ", " + _levels_sql(8)))
+def plane_delta_levels_double(spark, d):
+    return planes.plane_levels(rasters.double_bands(spark, d), "double")
+
+
+# ------------------------------------------------------------------ mode of a whole band
+
+
+def _sum_costs(error: float, size: int, raw: int, offset: str | None, px: str, into: str) -> str:
+    return f'{into} AS (WITH px AS (SELECT * FROM {px}), {cost_sql(error, size, raw, offset)} SELECT band, CAST(sum(bytes) AS BIGINT) AS bytes FROM c GROUP BY band)'
+
+
+def _modes_sql(px: str, raw: int, codes: bool, floats: bool, tiles: str, more: str = "") -> str:
+    """The modes of px, from relations t8, t16 (band, bytes), coded and, for floats, pl (band, bytes)."""
+    flag = int(codes or floats)
+    null = "CAST(NULL AS BIGINT)"
+    return f"""{more}{tiles},
+    sh AS (SELECT band, max("row") + 1 AS height, max(col) + 1 AS width, max(depth) + 1 AS depths, count(*) FILTER (valid) AS n, min(z) FILTER (valid) AS a, max(z) FILTER (valid) AS b FROM {px} GROUP BY band),
+    k1 AS (SELECT sh.*, n * {raw} AS raw, t8.bytes AS bytes_8, t16.bytes AS bytes_16, {"c.value_bytes, c.delta_bytes, c.choice, c.bytes" if codes else f"{null} AS value_bytes, {null} AS delta_bytes, CAST(NULL AS VARCHAR) AS choice, {null}"} AS coded, {"pl.bytes" if floats else null} AS planes_bytes
+        FROM sh LEFT JOIN t8 USING (band) LEFT JOIN t16 USING (band) {"LEFT JOIN coded c USING (band)" if codes else ""} {"LEFT JOIN pl USING (band)" if floats else ""}),
+    k2 AS (SELECT *, CASE WHEN coded < bytes_8 THEN choice WHEN planes_bytes < CAST(0.9 AS DOUBLE) * bytes_8 THEN 'planes' ELSE 'tiles 8' END AS m1, CASE WHEN coded < bytes_8 THEN coded WHEN planes_bytes < CAST(0.9 AS DOUBLE) * bytes_8 THEN planes_bytes ELSE bytes_8 END AS b1 FROM k1),
+    k3 AS (SELECT *, bytes_8 * 8 < height * width * depths * 1.5 AND bytes_8 < 4 * raw AND coalesce(bytes_8 < 2 * coalesce(coded, planes_bytes), TRUE) AND (height > 8 OR width > 8) AND bytes_16 <= b1 AS wide FROM k2),
+    k4 AS (SELECT *, CASE WHEN wide THEN 'tiles 16' ELSE m1 END AS m2, CASE WHEN wide THEN bytes_16 ELSE b1 END + {flag} AS b2 FROM k3)
+    SELECT band, n, bytes_8, bytes_16, value_bytes, delta_bytes, planes_bytes, raw AS raw_bytes, CASE WHEN n = 0 THEN 'empty' WHEN a = b THEN 'constant' WHEN raw <= b2 THEN 'raw' ELSE m2 END AS mode,
+        CAST(CASE WHEN n = 0 OR a = b THEN 0 WHEN raw <= b2 THEN raw ELSE b2 END AS BIGINT) AS bytes FROM k4"""
+
+
+@query("WITH RECURSIVE px AS (" + rasters.SQL["flat_bands"] + "), " + _modes_sql("px", 1, True, False, _sum_costs(0.5, 8, 1, "1", "px", "t8") + ", " + _sum_costs(0.5, 16, 1, "1", "px", "t16"), coded_sql("px") + ", "))
+def image_mode_bytes(spark, d):
+    return modes.image_modes(rasters.flat_bands(spark, d), "uchar", 0.5)
+
+
+#: Without loss a block of floats is zero, constant or raw.
+_FLOAT_TILES = ", ".join(f"""t{s} AS (SELECT band, CAST(sum(CASE WHEN lo = 0 AND hi = 0 THEN 1 WHEN lo = hi THEN least(1 + o, 1 + 4 * n) ELSE 1 + 4 * n END) AS BIGINT) AS bytes FROM (
+    SELECT band, depth, "row" // {s} AS bi, col // {s} AS bj, count(*) AS n, min(z) AS lo, max(z) AS hi, CASE WHEN min(z) = floor(min(z)) AND min(z) BETWEEN 0 AND 255 THEN 1 WHEN min(z) = floor(min(z)) AND min(z) BETWEEN -32768 AND 32767 THEN 2 ELSE 4 END AS o FROM px GROUP BY ALL) GROUP BY band)""" for s in (8, 16))
+_PL = ", ct AS (SELECT band, sum((end_ - begin_ - 1) // 7 + 1) AS counted FROM s GROUP BY band), pl AS (SELECT band, CAST(1 + 24 + ceil(least(as_is, along_rows, along_both) * height * width / CAST(counted AS DOUBLE)) AS BIGINT) AS bytes FROM pr JOIN ct USING (band) JOIN m USING (band)), "
+
+
+@query("WITH px AS (" + rasters.SQL["float_bands"] + "), " + _modes_sql("px", 4, False, True, _FLOAT_TILES, _fields_sql("float") + ", " + _predictors_sql(4) + _PL))
+def image_mode_floats(spark, d):
+    return modes.image_modes(rasters.float_bands(spark, d), "float", 0.0)
+
+
+@query("WITH px AS (" + rasters.SQL["event_bands"] + "), " + _modes_sql("px", 8, False, False, _sum_costs(0.05, 8, 8, None, "px", "t8") + ", " + _sum_costs(0.05, 16, 8, None, "px", "t16")))
+def image_mode_lossy(spark, d):
+    return modes.image_modes(rasters.event_bands(spark, d), "double", 0.05)
+
+
+@query("WITH px AS (" + rasters.SQL["event_bands"] + "), " + _modes_sql("px", 8, False, False, _sum_costs(10.0, 8, 8, None, "px", "t8") + ", " + _sum_costs(10.0, 16, 8, None, "px", "t16")))
+def image_mode_coarse(spark, d):
+    return modes.image_modes(rasters.event_bands(spark, d), "double", 10.0)

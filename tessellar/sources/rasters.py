@@ -105,3 +105,34 @@ def _byte(source: str, band: int, z: str) -> str:
 
 
 SQL["byte_bands"] = " UNION ALL ".join([_byte(SQL["psize_masked"], 0, "z"), _byte(SQL["embed"], 1, "z * 64 + 128"), _byte(SQL["events"], 2, "z"), _byte(SQL["orders"], 3, "z"), _byte(SQL["orders"], 4, '"row" / 8 + col / 2')])
+
+
+def float_bands(spark, sf_dir) -> DataFrame:
+    """32-bit float bands, all valid: embeddings, order prices and event values (some negative)."""
+    single = lambda df, band, z: df.select(F.lit(band).cast("bigint").alias("band"), "row", "col", "depth", z.cast("float").cast("double").alias("z"), F.lit(True).alias("valid"))
+    z = F.col("z")
+    return single(embed(spark, sf_dir), 0, z).unionByName(single(orders(spark, sf_dir), 1, z)).unionByName(single(events(spark, sf_dir), 2, z - 50))
+
+
+def double_bands(spark, sf_dir) -> DataFrame:
+    """64-bit bands: order prices and event values divided by 3."""
+    z = F.col("z")
+    two = [df.select(F.lit(b).cast("bigint").alias("band"), "row", "col", "depth", v.alias("z"), F.lit(True).alias("valid")) for b, (df, v) in enumerate(((orders(spark, sf_dir), z), (events(spark, sf_dir), z / 3)))]
+    return two[0].unionByName(two[1])
+
+
+_FLOAT = "SELECT CAST({b} AS BIGINT) AS band, \"row\", col, depth, CAST(CAST({z} AS FLOAT) AS DOUBLE) AS z, TRUE AS valid FROM ({s})"
+SQL["float_bands"] = " UNION ALL ".join(_FLOAT.format(b=b, s=SQL[s], z=z) for b, (s, z) in enumerate((("embed", "z"), ("orders", "z"), ("events", "z - 50"))))
+SQL["double_bands"] = " UNION ALL ".join(f'SELECT CAST({b} AS BIGINT) AS band, "row", col, depth, CAST({z} AS DOUBLE) AS z, TRUE AS valid FROM ({SQL[s]})' for b, (s, z) in enumerate((("orders", "z"), ("events", "z / 3"))))
+
+
+def flat_bands(spark, sf_dir) -> DataFrame:
+    """``byte_bands`` and two more: one of a single value, one without valid pixels."""
+    p = psize(spark, sf_dir)
+    more = [p.withColumn("band", F.lit(5).cast("bigint")).withColumn("z", F.lit(9.0)), p.withColumn("band", F.lit(6).cast("bigint")).withColumn("valid", F.lit(False))]
+    sparse = p.withColumn("band", F.lit(7).cast("bigint")).withColumn("z", (F.col("z") > 48).cast("double"))
+    return byte_bands(spark, sf_dir).unionByName(more[0]).unionByName(more[1]).unionByName(sparse)
+
+
+_P = SQL["psize"]
+SQL["flat_bands"] = SQL["byte_bands"] + "".join(f' UNION ALL SELECT CAST({b} AS BIGINT), "row", col, depth, {z}, {v} FROM ({_P})' for b, z, v in ((5, "CAST(9 AS DOUBLE)", "TRUE"), (6, "z", "FALSE"), (7, "CAST(z > 48 AS DOUBLE)", "TRUE")))
