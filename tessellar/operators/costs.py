@@ -22,12 +22,14 @@ def offset_bytes(z: Column, kind: str) -> Column:
         return F.when(inside(0, 255), 1).when(inside(-32768, 32767), 2).otherwise(4)
     if kind == "double":
         return F.when(inside(-32768, 32767), 2).when(inside(-2147483648, 2147483647), 4).when(z.cast("float").cast("double") == z, 4).otherwise(8)
+    if kind == "int":
+        return F.when(inside(0, 255), 1).when(inside(-32768, 65535), 2).otherwise(4)
     if kind == "uchar":
         return F.lit(1)
     raise ValueError(kind)
 
 
-SIZES = {"uchar": 1, "float": 4, "double": 8}
+SIZES = {"uchar": 1, "int": 4, "float": 4, "double": 8}
 
 
 def stuffed_bytes(n: Column, q: Column) -> Column:
@@ -41,13 +43,13 @@ def lut_bytes(n: Column, q: Column, distinct: Column) -> Column:
     return (2 + bytes_for_count(n) + F.floor((d * bit_width(q) + 7) / 8) + F.floor((n * bit_width(d) + 7) / 8)).cast("bigint")
 
 
-def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool = True, keys: list[str] = BLOCK) -> DataFrame:
+def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool = True, keys: list[str] = BLOCK, first: float | None = None) -> DataFrame:
     """Per block: mode (zero, constant, raw, stuffed or lut) and bytes. One shuffle, on the block (none if ``px`` is already
     partitioned by some of ``keys``); ranges, quanta and equal neighbours come from windows on it, the rest from one aggregate.
-    With an ``error`` of 0 nothing is quantised: a block of different values is raw."""
+    With an ``error`` of 0 nothing is quantised: a block of different values is raw. ``first``: what a block's first value counts as the same as."""
     w = W.partitionBy(*keys)
     v = valid(px) if {"bi", "bj"} <= set(px.columns) else with_blocks(valid(px), size)
-    v = v.withColumn("lo", F.min("z").over(w)).withColumn("same", (F.col("z") == F.lag("z").over(w.orderBy("row", "col"))).cast("bigint"))
+    v = v.withColumn("lo", F.min("z").over(w)).withColumn("same", (F.col("z") == F.lag("z", 1, first).over(w.orderBy("row", "col"))).cast("bigint"))
     n, lo, hi = F.col("n"), F.col("z_min"), F.col("z_max")
     # a block has size * size values at most: its set of quanta is as small
     rows = v.groupBy(*keys).agg(
@@ -68,6 +70,21 @@ def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool
     return rows.select(*keys, "n", mode.alias("mode"), size_.cast("bigint").alias("bytes"))
 
 
+def depth_costs(px: DataFrame, kind: str, size: int = 8) -> DataFrame:
+    """band, depth, bi, bj, n, mode, differs, bytes of every block of an integer raster without loss: as it is, or as 32-bit differences to the depth below where these take fewer bytes (not in
+    the first depth, and not in a block with a difference beyond 32 bits). One shuffle brings all depths of a block together; both costs come from it."""
+    x = with_blocks(valid(px), size).repartition("band", "bi", "bj")
+    x = x.withColumn("d", F.col("z") - F.lag("z").over(W.partitionBy("band", "bi", "bj", "row", "col").orderBy("depth")))
+    plain = tile_costs(x.drop("d"), 0.5, kind, size, keys=["band", "bi", "bj", "depth"])
+    block = W.partitionBy("band", "bi", "bj", "depth")
+    fits = F.bool_and(F.col("d").between(F.lit(-2147483648.0), F.lit(2147483647.0))).over(block)
+    other = x.filter("d is not null").withColumn("fits", fits).filter("fits").select("band", "bi", "bj", "depth", "row", "col", F.col("d").alias("z"), "valid")
+    less = tile_costs(other, 0.5, "int", size, keys=["band", "bi", "bj", "depth"], first=0.0)
+    both = plain.withColumn("differs", F.lit(False)).unionByName(less.withColumn("differs", F.lit(True)))
+    best = both.groupBy(*BLOCK).agg(F.min_by(F.struct("n", "mode", "differs", "bytes"), F.struct("bytes", "differs")).alias("b"))
+    return best.select(*BLOCK, "b.*")
+
+
 def tile_cost_total(px: DataFrame, error: float, kind: str, size: int = 8) -> DataFrame:
     return tile_costs(px, error, kind, size).groupBy("band", "mode").agg(F.count("*").alias("n_blocks"), F.sum("bytes").cast("bigint").alias("bytes"))
 

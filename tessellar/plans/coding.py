@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import modes, planes, prefix, statistics
+from ..operators import blobs, costs, masks, modes, planes, prefix, statistics, streams, transforms
 from ..sources import rasters
 from .registry import query
+from .relational import _blocks, on
 from .relational import _cost as cost_sql
-from .relational import on
 
 
 # ------------------------------------------------------------------ prefix codes
@@ -225,3 +226,135 @@ def image_mode_lossy(spark, d):
 @query("WITH px AS (" + rasters.SQL["event_bands"] + "), " + _modes_sql("px", 8, False, False, _sum_costs(10.0, 8, 8, None, "px", "t8") + ", " + _sum_costs(10.0, 16, 8, None, "px", "t16")))
 def image_mode_coarse(spark, d):
     return modes.image_modes(rasters.event_bands(spark, d), "double", 10.0)
+
+
+# ------------------------------------------------------------------ differences between depths
+
+
+_INT = "CASE WHEN lo BETWEEN 0 AND 255 THEN 1 WHEN lo BETWEEN -32768 AND 65535 THEN 2 ELSE 4 END"
+
+
+@query("WITH src AS (" + rasters.SQL["int_depths"] + f"""), sa AS (WITH px AS (SELECT * FROM src), {cost_sql(0.5, 8, 4, _INT)} SELECT *, FALSE AS differs FROM c),
+    sd AS (WITH x AS (SELECT *, z - lag(z) OVER (PARTITION BY band, "row", col ORDER BY depth) AS d FROM src WHERE valid),
+        y AS (SELECT band, "row", col, depth, d AS z, valid, bool_and(d BETWEEN -2147483648 AND 2147483647) OVER (PARTITION BY band, depth, "row" // 8, col // 8) AS fits FROM x WHERE d IS NOT NULL),
+        px AS (SELECT * FROM y WHERE fits), {cost_sql(0.5, 8, 4, _INT, "0")} SELECT *, TRUE AS differs FROM c)
+    SELECT band, depth, bi, bj, n, mode, differs, bytes FROM (SELECT * FROM sa UNION ALL SELECT * FROM sd) QUALIFY row_number() OVER (PARTITION BY band, depth, bi, bj ORDER BY bytes, differs) = 1""")
+def depth_block_modes(spark, d):
+    return costs.depth_costs(rasters.int_depths(spark, d), "int")
+
+
+# ------------------------------------------------------------------ stuffed bits
+
+
+_PLACED = "band, depth, bi, bj, CAST(row_number() OVER (PARTITION BY band, depth, bi, bj ORDER BY \"row\", col) - 1 AS BIGINT) AS i, q"
+
+
+def _quanta(spark, d):
+    """Quanta of the masked part sizes, numbered in scan order within their block."""
+    q = transforms.quantize(rasters.psize(spark, d, True), 0.5)
+    w = W.partitionBy(*statistics.BLOCK).orderBy("row", "col")
+    return q.select(*statistics.BLOCK, (F.row_number().over(w) - 1).cast("bigint").alias("i"), "q")
+
+
+def _stuffed_sql(old: bool) -> str:
+    """Bit by bit: where each bit of each value goes."""
+    place = "CASE WHEN {old} THEN 31 - o % 32 - {spare} ELSE o % 32 END".format(old=old, spare="CASE WHEN o // 32 = (need - 1) // 4 THEN 8 * ((4 - need % 4) % 4) ELSE 0 END")
+    bit = "(q >> CAST(bits - 1 - k AS INT)) & 1" if old else "(q >> CAST(k AS INT)) & 1"
+    return f"""SELECT band, depth, bi, bj, n, bits, o // 32 AS word, CAST(sum(CASE WHEN ({bit}) = 1 THEN 1::BIGINT << CAST({place} AS INT) ELSE 0 END) AS BIGINT) AS value FROM
+    (SELECT *, i * bits + k AS o, (n * bits + 7) // 8 AS need FROM (SELECT *, unnest(range(bits)) AS k FROM
+    (SELECT *, count(*) OVER (PARTITION BY band, depth, bi, bj) AS n, CASE WHEN max(q) OVER (PARTITION BY band, depth, bi, bj) > 0 THEN CAST(floor(log2(max(q) OVER (PARTITION BY band, depth, bi, bj))) AS BIGINT) + 1 ELSE 0 END AS bits FROM (SELECT {_PLACED} FROM q)))) GROUP BY ALL"""
+
+
+@query(on("psize_masked", _stuffed_sql(False), _blocks(0.5)))
+def stuffed_words(spark, d):
+    return streams.stuffed_words(_quanta(spark, d), statistics.BLOCK)
+
+
+@query(on("psize_masked", _stuffed_sql(True), _blocks(0.5)))
+def stuffed_words_old(spark, d):
+    return streams.stuffed_words(_quanta(spark, d), statistics.BLOCK, old=True)
+
+
+_SOME = f"SELECT band, depth, bi, bj, i, q FROM (SELECT {_PLACED}, max(q) OVER (PARTITION BY band, depth, bi, bj) AS m FROM q) WHERE m > 0"
+
+
+@query(on("psize_masked", _SOME, _blocks(0.5)))
+def unstuffed_quanta(spark, d):
+    return streams.unstuffed(streams.stuffed_words(_quanta(spark, d), statistics.BLOCK), statistics.BLOCK)
+
+
+@query(on("psize_masked", _SOME, _blocks(0.5)))
+def unstuffed_quanta_old(spark, d):
+    return streams.unstuffed(streams.stuffed_words(_quanta(spark, d), statistics.BLOCK, old=True), statistics.BLOCK, old=True)
+
+
+# ------------------------------------------------------------------ runs
+
+
+def _segments_sql(stream: str, keys: str, least: int, most: int, literal: int, repeat_bytes: int, head: int) -> str:
+    """Relations up to seg (keys, start, length, byte, bytes) from ``stream`` (keys, pos, byte): a repeat or a literal for each position first, then islands of these."""
+    return f"""r0 AS (SELECT *, CASE WHEN byte = lag(byte) OVER (PARTITION BY {keys} ORDER BY pos) THEN 0 ELSE 1 END AS new FROM {stream}),
+    r1 AS (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY pos) AS run FROM r0),
+    r2 AS (SELECT *, count(*) OVER (PARTITION BY {keys}, run) AS n, row_number() OVER (PARTITION BY {keys}, run ORDER BY pos) - 1 AS j FROM r1),
+    r3 AS (SELECT *, n >= {least} AND (j < n - n % {most} OR n % {most} >= {least}) AS again FROM r2),
+    r4 AS (SELECT *, CASE WHEN again THEN run ELSE -sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY pos) - 1 END AS island FROM r3),
+    r5 AS (SELECT *, (row_number() OVER (PARTITION BY {keys}, again, island ORDER BY pos) - 1) // CASE WHEN again THEN {most} ELSE {literal} END AS piece FROM r4),
+    seg AS (SELECT {keys}, min(pos) AS start, count(*) AS length, CASE WHEN again THEN min(byte) END AS byte, CASE WHEN again THEN {repeat_bytes} ELSE count(*) + {head} END AS bytes FROM r5 GROUP BY {keys}, again, island, piece)"""
+
+
+_RLE, _PACK = (5, 32767, 32767, 3, 2), (2, 129, 128, 2, 1)
+_MASK = """m AS (SELECT band, CAST(("row" * 100 + col) // 8 AS BIGINT) AS pos, CAST(sum(CASE WHEN valid THEN 128 >> CAST(("row" * 100 + col) % 8 AS INT) ELSE 0 END) AS BIGINT) AS byte FROM px GROUP BY ALL)"""
+_MASKS = rasters.SQL["event_bands"] + ' UNION ALL SELECT CAST(2 AS BIGINT), "row", col, depth, z, "row" % 7 > 2 FROM (' + rasters.SQL["events"] + ")"
+
+
+def _mask_streams(spark, d):
+    more = rasters.events(spark, d).withColumn("band", F.lit(2).cast("bigint")).withColumn("valid", F.col("row") % 7 > 2)
+    return masks.pack_mask(rasters.event_bands(spark, d).unionByName(more), 100).withColumnRenamed("byte_pos", "pos")
+
+
+@query(f"WITH px AS ({_MASKS}), {_MASK}, {_segments_sql('m', 'band', *_RLE)} SELECT * FROM seg")
+def mask_run_segments(spark, d):
+    return streams.rle_segments(_mask_streams(spark, d), ["band"])
+
+
+@query(f"WITH px AS ({_MASKS}), {_MASK}, {_segments_sql('m', 'band', *_RLE)} SELECT band, count(byte) AS n_repeats, count(*) FILTER (byte IS NULL) AS n_literals, CAST(sum(bytes) + 2 AS BIGINT) AS bytes FROM seg GROUP BY band")
+def mask_run_bytes(spark, d):
+    return streams.coded_size(streams.rle_segments(_mask_streams(spark, d), ["band"]), ["band"], end=2)
+
+
+_BYTE_STREAMS = """b AS (SELECT band, CAST(k AS BIGINT) AS plane, "row" * 100 + col AS pos, (CAST(floor(z / 1000) AS BIGINT) >> CAST(8 * k AS INT)) & 255 AS byte FROM px, range(4) t(k))"""
+_P_KEYS = ["band", "plane"]
+
+
+def _plane_streams(spark, d):
+    planes_ = transforms.byte_planes(rasters.orders(spark, d).withColumn("z", F.floor(F.col("z") / 1000).cast("double")))
+    return planes_.select("band", "plane", (F.col("row") * 100 + F.col("col")).alias("pos"), F.col("byte").cast("bigint").alias("byte"))
+
+
+@query(on("orders", "SELECT * FROM seg", _BYTE_STREAMS + ", " + _segments_sql("b", "band, plane", *_PACK)))
+def plane_packbits_segments(spark, d):
+    return streams.packbits_segments(_plane_streams(spark, d), _P_KEYS)
+
+
+@query(on("orders", "SELECT band, plane, count(byte) AS n_repeats, count(*) FILTER (byte IS NULL) AS n_literals, CAST(sum(bytes) AS BIGINT) AS bytes FROM seg GROUP BY band, plane", _BYTE_STREAMS + ", " + _segments_sql("b", "band, plane", *_PACK)))
+def plane_packbits_bytes(spark, d):
+    return streams.coded_size(streams.packbits_segments(_plane_streams(spark, d), _P_KEYS), _P_KEYS)
+
+
+# ------------------------------------------------------------------ checksum
+
+
+@query("""SELECT doc_id, CASE WHEN t = 0 THEN 65535 ELSE t END * 65536 + CASE WHEN s = 0 THEN 65535 ELSE s END AS checksum FROM (SELECT doc_id, CAST(coalesce(sum(w), 0) % 65535 AS BIGINT) AS s, CAST(coalesce(sum((n - i) * w), 0) % 65535 AS BIGINT) AS t FROM
+    (SELECT doc_id, n, i, CAST('0x' || rpad(substr(h, 4 * i + 1, 4), 4, '0') AS BIGINT) AS w FROM (SELECT doc_id, hex(encode(text)) AS h, (strlen(text) + 1) // 2 AS n, unnest(range((strlen(text) + 1) // 2)) AS i FROM documents WHERE text <> '')) GROUP BY doc_id)
+    UNION ALL SELECT doc_id, 4294967295 FROM documents WHERE text = ''""")
+def text_checksums(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("text is not null")
+    return streams.fletcher32(docs.select("doc_id", F.encode("text", "utf-8").alias("data")), ["doc_id"])
+
+
+@query(f'SELECT DISTINCT CAST("row" // 64 AS BIGINT) AS tile, TRUE AS same FROM ({rasters.SQL["orders"]})')
+def tile_checksums(spark, d):
+    made = blobs.encode(rasters.orders(spark, d), "<f8", error=0.01)
+    # bytes 10 to 13 of the header, lowest first
+    stored = F.conv(F.concat(*[F.hex(F.substring("blob", k, 1)) for k in (14, 13, 12, 11)]), 16, 10).cast("bigint")
+    return streams.fletcher32(made, ["tile"], "blob", skip=14).join(made.select("tile", stored.alias("stored")), "tile").select("tile", (F.col("checksum") == F.col("stored")).alias("same"))

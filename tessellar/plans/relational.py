@@ -279,14 +279,14 @@ def _offset(z):
     return f"CASE WHEN {i} AND {z} BETWEEN -32768 AND 32767 THEN 2 WHEN {i} AND {z} BETWEEN -2147483648 AND 2147483647 THEN 4 WHEN CAST(CAST({z} AS FLOAT) AS DOUBLE) = {z} THEN 4 ELSE 8 END"
 
 
-def _cost(error, size, raw=8, offset=None):
+def _cost(error, size, raw=8, offset=None, first="NULL"):
     """Relations up to c: (block keys, n, mode, bytes)."""
-    return _blocks(error, size) + f""", l AS (SELECT *, lag(z) OVER (PARTITION BY band, depth, bi, bj ORDER BY "row", col) AS p FROM q),
+    return _blocks(error, size) + f""", l AS (SELECT *, lag(z, 1, {first}) OVER (PARTITION BY band, depth, bi, bj ORDER BY "row", col) AS p FROM q),
     g AS (SELECT band, depth, bi, bj, count(*) AS n, min(z) AS lo, max(z) AS hi, count(DISTINCT q) AS dq, count(*) FILTER (z = p) AS same, CAST(floor((max(z) - min(z)) * CAST({1.0 / (2.0 * error)!r} AS DOUBLE) + 0.5) AS BIGINT) AS mq FROM l GROUP BY ALL),
     s AS (SELECT *, 1 + {offset or _offset('lo')} AS head, 2 + n // 256 + (n * ({_width('mq')}) + 7) // 8 AS simple, 3 + n // 256 + ((dq - 1) * ({_width('mq')}) + 7) // 8 + (n * ({_width('(dq - 1)')}) + 7) // 8 AS dict, n > 4 AND hi > lo + {3 * error} AND 2 * same > n AND dq < 256 AS try FROM g),
     t AS (SELECT *, try AND dict < simple AS use, head + CASE WHEN mq = 0 THEN 0 WHEN try AND dict < simple THEN dict ELSE simple END AS packed, 1 + n * {raw} AS raw FROM s),
-    c AS (SELECT band, depth, bi, bj, n, CASE WHEN lo = 0 AND hi = 0 THEN 'zero' WHEN packed >= raw THEN 'raw' WHEN mq = 0 THEN 'constant' WHEN use THEN 'lut' ELSE 'stuffed' END AS mode,
-        CAST(CASE WHEN lo = 0 AND hi = 0 THEN 1 WHEN packed >= raw THEN raw ELSE packed END AS BIGINT) AS bytes FROM t)"""
+    c AS (SELECT band, depth, bi, bj, n, CASE WHEN lo = 0 AND hi = 0 THEN 'zero' WHEN mq > 1073741823 OR packed >= raw THEN 'raw' WHEN mq = 0 THEN 'constant' WHEN use THEN 'lut' ELSE 'stuffed' END AS mode,
+        CAST(CASE WHEN lo = 0 AND hi = 0 THEN 1 WHEN mq > 1073741823 OR packed >= raw THEN raw ELSE packed END AS BIGINT) AS bytes FROM t)"""
 
 
 @query(on("events", "SELECT * FROM c", _cost(0.05, 8)))

@@ -136,3 +136,18 @@ def flat_bands(spark, sf_dir) -> DataFrame:
 
 _P = SQL["psize"]
 SQL["flat_bands"] = SQL["byte_bands"] + "".join(f' UNION ALL SELECT CAST({b} AS BIGINT), "row", col, depth, {z}, {v} FROM ({_P})' for b, z, v in ((5, "CAST(9 AS DOUBLE)", "TRUE"), (6, "z", "FALSE"), (7, "CAST(z > 48 AS DOUBLE)", "TRUE")))
+
+
+def int_depths(spark, sf_dir) -> DataFrame:
+    """Orders as pixels of four 32-bit integer depths: the price, the price and the row (differences are smaller), the customer, and a pattern of the whole range (some differences pass 32 bits)."""
+    o, k, v = _table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.floor("o_totalprice").cast("double")
+    row = F.floor(k / 100)
+    zs = [v, v + row, F.col("o_custkey").cast("double"), F.when(row % 3 == 0, F.lit(-2147483648.0)).otherwise((k * 7919 % 100003 * 20000).cast("double"))]
+    return o.select(
+        F.lit(0).cast("bigint").alias("band"), row.cast("bigint").alias("row"), (k % 100).cast("bigint").alias("col"),
+        F.posexplode(F.array(*zs)).alias("depth", "z"), (F.col("o_orderstatus") != "P").alias("valid"),
+    ).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+SQL["int_depths"] = """SELECT CAST(0 AS BIGINT) AS band, CAST(o_orderkey // 100 AS BIGINT) AS "row", CAST(o_orderkey % 100 AS BIGINT) AS col, CAST(k AS BIGINT) AS depth, CAST(CASE k WHEN 0 THEN floor(o_totalprice)
+    WHEN 1 THEN floor(o_totalprice) + o_orderkey // 100 WHEN 2 THEN o_custkey ELSE CASE WHEN (o_orderkey // 100) % 3 = 0 THEN -2147483648 ELSE o_orderkey * 7919 % 100003 * 20000 END END AS DOUBLE) AS z, o_orderstatus <> 'P' AS valid FROM orders, range(4) t(k)"""
