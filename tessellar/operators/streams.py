@@ -139,17 +139,18 @@ def fletcher32(blobs: DataFrame, keys: list[str], data: str = "data", skip: int
 
     A value is cut into ranges of ``chunk`` bytes (even), which are summed wherever they are dealt to; of a range only its words' sum, their sum weighted by the words from each to the range's end, and
     their number are kept. Ranges combine in any order: a range's weighted sum grows by its plain sum times the words after it."""
-    b = F.expr(f"substring({data}, {skip + 1})")
-    x = blobs.select(*keys, b.alias("b")).withColumn("words", F.floor((F.octet_length("b") + 1) / 2))
-    x = x.select(*keys, "words", "b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length("b") - 1) / chunk).cast("int")))).alias("k"))
-    x = x.select(*keys, "words", "k", F.expr(f"substring(b, k * {chunk} + 1, {chunk})").alias("part"))
-    count = F.floor((F.octet_length("part") + 1) / 2).cast("int")
-    word = lambda i: F.conv(F.rpad(F.hex(F.substring("part", 2 * i + 1, F.lit(2))), 4, "0"), 16, 10).cast("bigint")
-    x = x.withColumn("own", F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), word)).otherwise(F.array().cast("array<bigint>")))
+    x = blobs.select(*keys, F.expr(f"substring({data}, {skip + 1})").alias("_data"))
+    size = F.octet_length("_data")
+    ranges = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / chunk).cast("int")))
+    x = x.select(*keys, F.floor((size + 1) / 2).alias("_words"), "_data", F.explode(ranges).alias("_range"))
+    x = x.select(*keys, "_words", "_range", F.expr(f"substring(_data, _range * {chunk} + 1, {chunk})").alias("_part"))
+    count = F.floor((F.octet_length("_part") + 1) / 2).cast("int")
+    word = lambda i: F.conv(F.rpad(F.hex(F.substring("_part", 2 * i + 1, F.lit(2))), 4, "0"), 16, 10).cast("bigint")
+    x = x.withColumn("_own", F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), word)).otherwise(F.array().cast("array<bigint>")))
     zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("t"))
-    sums = F.aggregate("own", zero, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["t"] + a["s"] + v).alias("t")))  # t: the sum of the running sums
-    x = x.select(*keys, "words", (F.col("words") - F.col("k") * (chunk // 2) - F.size("own")).alias("after"), sums.alias("f"))
-    s, t = F.col("f.s"), F.col("f.t")
-    g = x.groupBy(*keys).agg(F.sum(s % 65535).alias("s"), F.sum((t + (s % 65535) * (F.col("after") % 65535)) % 65535).alias("t"))
+    sums = F.aggregate("_own", zero, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["t"] + a["s"] + v).alias("t")))  # t: the sum of the running sums
+    x = x.select(*keys, (F.col("_words") - F.col("_range") * (chunk // 2) - F.size("_own")).alias("_after"), sums.alias("_f"))
+    plain, weighted = F.col("_f.s") % 65535, F.col("_f.t") % 65535
+    g = x.groupBy(*keys).agg(F.sum(plain).alias("_s"), F.sum((weighted + plain * (F.col("_after") % 65535)) % 65535).alias("_t"))
     fold = lambda c: F.when(c % 65535 == 0, 65535).otherwise(c % 65535)  # noqa: E731  sums start at 65535, so 0 is written as 65535
-    return g.select(*keys, (fold(F.col("t")) * 65536 + fold(F.col("s"))).cast("bigint").alias("checksum"))
+    return g.select(*keys, (fold(F.col("_t")) * 65536 + fold(F.col("_s"))).cast("bigint").alias("checksum"))

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellar.functions import bits
-from tessellar.operators import planes, prefix
+from tessellar.operators import costs, planes, prefix, streams
 from tessellar.plans import coding
+from tessellar.sources import rasters
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,65 @@ def test_levels_stop_where_one_more_does_not_help(spark):
     assert best[0] >= 1 and best[1] == 0 and {x.level for x in got} == set(range(6))
     small = planes.plane_levels(px.filter("row < 63"), "float", none).collect()
     assert {(x.plane, x.level, x.bytes, x.best) for x in small} == {(k, 0, 0, 0) for k in range(4)}
+
+
+def _random_streams():
+    r = random.Random(8)
+    out = [bytes([5]), bytes([5, 5]), bytes([1, 2]), bytes(range(200)) * 3, bytes([9]) * 131, bytes([9]) * 258, bytes([9]) * 70_000 + bytes([1] * 4), bytes(r.choice([0, 255]) for _ in range(3000))]
+    for _ in range(30):
+        out.append(b"".join(bytes([r.randrange(3)]) * r.choice([1, 1, 1, 2, 3, 4, 5, 6, 128, 129, 130, 131]) for _ in range(r.randint(1, 80))))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [8, 1 << 16])
+def test_runs_as_the_coders_write_them(spark, monkeypatch, chunk):
+    monkeypatch.setattr(streams, "CHUNK", chunk)
+    data = _random_streams() if chunk > 8 else [x for x in _random_streams() if len(x) < 4000]
+    df = spark.createDataFrame([(k, i, b) for k, x in enumerate(data) for i, b in enumerate(x)], "k int, pos bigint, byte bigint").repartition(4)
+    for segments, encode, end in ((streams.rle_segments(df, ["k"]), bits.rle_encode, 2), (streams.packbits_segments(df, ["k"]), bits.packbits_encode, 0)):
+        got = segments.collect()
+        size = {x.k: x.bytes for x in streams.coded_size(segments, ["k"], end).collect()}
+        assert [size[k] for k in range(len(data))] == [len(encode(x)) for x in data]
+        for k, x in enumerate(data):
+            own = sorted((s for s in got if s.k == k), key=lambda s: s.start)
+            assert [s.start for s in own] == [sum(t.length for t in own[:i]) for i in range(len(own))] and sum(s.length for s in own) == len(x)
+            assert all(set(x[s.start : s.start + s.length]) == {s.byte} for s in own if s.byte is not None)
+
+
+@pytest.mark.parametrize("old", [False, True])
+def test_stuffed_words_are_the_coders(spark, old):
+    r = random.Random(5)
+    blocks = [[r.randrange(1 << w) for _ in range(n - 1)] + [(1 << w) - 1] for w in (1, 2, 3, 7, 8, 13, 16, 24, 31, 32) for n in (1, 2, 5, 63, 64, 256)]
+    df = spark.createDataFrame([(k, i, q) for k, b in enumerate(blocks) for i, q in enumerate(b)], "k int, i bigint, q bigint")
+    words = streams.stuffed_words(df, ["k"], old)
+    got = {}
+    for x in words.collect():
+        got.setdefault(x.k, {})[x.word] = x.value
+    for k, b in enumerate(blocks):
+        w = max(b).bit_length()
+        raw = (bits.pack_old if old else bits.pack)(np.array(b, np.uint32), w)
+        want = np.frombuffer(raw + bytes(-len(raw) % 4), "<u4")
+        assert [got[k][i] for i in range(len(got[k]))] == want.tolist()
+    back = {(x.k, x.i): x.q for x in streams.unstuffed(words, ["k"], old).collect()}
+    assert back == {(k, i): q for k, b in enumerate(blocks) for i, q in enumerate(b)}
+
+
+def test_checksum_of_ranges(spark):
+    r = random.Random(6)
+    blobs = [b"", b"\0", b"\xff", b"ab", b"abc", bytes(65535 * 2), b"\xff" * 70_001, *(r.randbytes(r.randint(1, 9000)) for _ in range(30))]
+    df = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(blobs)], "k int, data binary")
+    for chunk in (2, 64, 4096):
+        some = df if chunk > 2 else df.filter("octet_length(data) < 3000")
+        got = {x.k: x.checksum for x in streams.fletcher32(some, ["k"], chunk=chunk).collect()}
+        assert got == {k: bits.fletcher32(blobs[k]) for k in got} and len(got) >= 10
+    skipped = {x.k: x.checksum for x in streams.fletcher32(df, ["k"], skip=3).collect()}
+    assert skipped == {k: bits.fletcher32(x[3:]) for k, x in enumerate(blobs)}
+
+
+def test_depth_differences_never_cost_more(spark):
+    px = rasters.int_depths(spark, SF)
+    plain = {(x.depth, x.bi, x.bj): x.bytes for x in costs.tile_costs(px, 0.5, "int").collect()}
+    got = costs.depth_costs(px, "int").collect()
+    assert {x.differs for x in got} == {True, False} and not any(x.differs for x in got if x.depth == 0)
+    assert all(x.bytes < plain[x.depth, x.bi, x.bj] if x.differs else x.bytes == plain[x.depth, x.bi, x.bj] for x in got) and len(got) == len(plain)
+    assert sum(x.differs for x in got if x.depth == 1) > len(got) / 5
