@@ -14,7 +14,10 @@ stay for the article's sake though as a text they look like a menu, the well-wri
 line between paragraphs stays with its neighbours, and a run of links doesn't.
 
 A wrapper that holds most of the page's words isn't taken for a sidebar or a form because of its name alone, and what is around an article says
-nothing about it.
+nothing about it. Inside an article, names that prose may bear too (a restaurant's menu) count less than the text does.
+
+A marked *inline* element (a permalink, an icon, an advert within a line) is a block inside the block around it: it is labelled on its own, and the text
+after it goes on where the text before it stopped. If it is content, it stands in its place in the line.
 """
 
 from __future__ import annotations
@@ -53,7 +56,8 @@ def _names(words: str) -> re.Pattern:
 
 
 _COMMENTS = _names(r"comment\w*|disqus|respond|replies|reactions?")
-_BAD = _names(r"ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|sidebar\w*|widget\w*|menu\w*|nav|navbar\w*|navigation|breadcrumb\w*|footer\w*|share\w*|sharing|social\w*|pagination|pager|toolbar|outbrain|taboola")
+_BAD = _names(r"(?:ad|ads)(?![_-]?hoc)|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|sidebar\w*|navbar\w*|navigation|breadcrumb\w*|footer\w*|share\w*|sharing|social\w*|pagination|outbrain|taboola")
+_WEAK = _names(r"menu\w*|nav|login|signup|widget\w*|toolbar|pager")
 _BAD_OUTSIDE = _names(r"side|header|masthead|foot|related|recommend\w*|tags?|search\w*|skip|print|copyright|legal|disclaimer|teaser")
 _GOOD = _names(r"article\w*|content|main|post|entry|story|body|text|prose")
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -62,7 +66,7 @@ _CAPITALS, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 
 #: Marks: name, cost for each block inside (its sign: content or not), capacity of the edge to each block.
 ARTICLE, SURE, COMMENT = ("article", 8.0, 6.0), ("sure", -10.0, 8.0), ("comment", -8.0, 6.0)
-FORM, BAD, GOOD = ("form", -8.0, 6.0), ("bad", -5.0, 4.0), ("good", 2.0, 3.0)
+FORM, BAD, WEAK, GOOD = ("form", -8.0, 6.0), ("bad", -5.0, 4.0), ("weak", -2.0, 3.0), ("good", 2.0, 3.0)
 #: Capacities: between marked elements, for each block inside; between following blocks, at the least distance; between following elements of the
 #: same kind and parent; the share that is left of these between blocks in different marked elements.
 NESTED, NEAR, ALIKE, APART = 2.0, 2.5, 2.0, 0.2
@@ -77,10 +81,16 @@ FIT_PAGES = 2000
 
 
 class Block:
-    __slots__ = ("parts", "element", "tag", "mark", "n", "link", "text")
+    """A stretch of text. ``parts``: strings, and blocks of marked inline elements where these stand; ``host``: the block it is a part of; ``text``: without such parts."""
+
+    __slots__ = ("parts", "element", "tag", "mark", "n", "link", "text", "host", "keep")
+
+    def __init__(self, element, tag, mark, host=None):
+        self.parts, self.element, self.tag, self.mark, self.n, self.link, self.host, self.keep = [], element, tag, mark, 0, 0, host, False
 
-    def __init__(self, element, tag, mark):
-        self.parts, self.element, self.tag, self.mark, self.n, self.link = [], element, tag, mark, 0, 0
+    def whole(self) -> str:
+        """Its text with those blocks inside it that are kept."""
+        return " ".join("".join(p if isinstance(p, str) else p.whole() if p.keep else "" for p in self.parts).split())
 
 
 class Mark:
@@ -92,7 +102,7 @@ class Mark:
         self.kind, self.up, self.blocks, self.words, self.controls = kind, up, 0, 0, 0
 
 
-def marked(tag: str, attrs: dict, kinds: tuple):
+def marked(tag: str, attrs: dict, kinds: tuple, inline: bool = False):
     """The mark of an element (None: none) with these attributes; ``kinds``: those around it, nearest first. In what is out for
     sure nothing is marked again, nor are elements of a kind in one of the same, so that marks nest a few deep at most."""
     around = kinds[0] if kinds else None
@@ -111,8 +121,12 @@ def marked(tag: str, attrs: dict, kinds: tuple):
         return None if inside else ARTICLE
     if around is BAD:
         return None
-    if names and (_BAD.search(names) or (not inside and _BAD_OUTSIDE.search(names))):
+    if names and (_BAD.search(names) or (not inside and not inline and (_BAD_OUTSIDE.search(names) or _WEAK.search(names)))):
         return BAD
+    if inline:
+        return None
+    if names and inside and around is not WEAK and _WEAK.search(names):
+        return WEAK
     if tag == "form":
         return None if around is FORM else FORM
     return GOOD if names and not inside and around is not GOOD and around is not FORM and _GOOD.search(names) else None
@@ -122,14 +136,15 @@ class Page:
     """A page's ``blocks`` of text in order, its ``marks`` and its tree (``parent`` and ``depth`` of block-level elements).
 
     Malformed html is read leniently: open elements are closed by their parents, an end tag without a start is ignored, markup cut off at the end
-    of the page is dropped. Time and memory grow in proportion to the page, however deep it nests."""
+    of the page is dropped. Time and memory of reading grow in proportion to the page, however deep it nests."""
 
     def __init__(self, page: str):
         self.blocks: list[Block] = []
         self.marks: list[Mark] = []
         self.parent, self.depth = [-1], [0]
-        # open elements: tag, its block-level element, its mark, open block-level elements and links so far, kinds of marks around
-        stack, where = [("", 0, -1, 0, 0, ())], {}
+        # open elements: tag, its block-level element, its mark, open block-level elements and links so far, kinds of marks around, and for
+        # what is in a marked inline element the block (or None) that this stands in and the number of block-level elements before it
+        stack, where = [("", 0, -1, 0, 0, (), None)], {}
         now, at, size = None, 0, len(page)
 
         def flow(text):
@@ -137,9 +152,12 @@ class Page:
             if now is None:
                 if not text.strip():
                     return
-                element = stack[-1][1]
-                now = Block(element, tags[element], stack[-1][2])
+                element, host = stack[-1][1], stack[-1][6] and stack[-1][6][0]
+                host = host if host is not None and host.element == element else None
+                now = Block(element, tags[element], stack[-1][2], host)
                 self.blocks.append(now)
+                if host is not None:
+                    host.parts.append(now)
             now.parts.append(text)
             n = len(text.split())
             now.n += n
@@ -181,6 +199,9 @@ class Page:
                     depth = 0  # it would close a block around it
                 if depth:
                     now = None if over or not inline else now
+                    if inline and not over and stack[depth][6] is not stack[depth - 1][6]:
+                        now, known = stack[depth][6]  # the text goes on behind the marked element, unless that held blocks
+                        now = now if known == len(tags) else None
                     close(depth)
                 elif not inline:
                     now = None
@@ -207,12 +228,13 @@ class Page:
             attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
             if m[3] and "hidden" in m[3].lower().split():
                 attrs["hidden"] = ""
-            _, element, mark, opened, links, kinds = stack[-1]
-            kind = marked(tag, attrs, kinds) if attrs or tag in NEVER or tag in MAIN or tag in ("form", "header") else None
+            _, element, mark, opened, links, kinds, host = stack[-1]
+            kind = marked(tag, attrs, kinds, inline) if attrs or tag in NEVER or tag in MAIN or tag in ("form", "header") else None
             if kind is not None:
                 self.marks.append(Mark(kind, mark))
                 mark = len(self.marks) - 1
                 kinds = (kind, ARTICLE) if ARTICLE in kinds else (kind,)
+                host = (now, len(tags)) if inline else None
                 now = None  # also a marked inline element is a block of its own
             if not inline:
                 self.parent.append(element)
@@ -221,10 +243,13 @@ class Page:
                 element = len(tags) - 1
             if not (m[3] and m[3].rstrip().endswith("/") and tag in ("svg", "path", "circle", "rect", "g", "use")):
                 where.setdefault(tag, []).append(len(stack))
-                stack.append((tag, element, mark, opened + (not inline), links + (tag == "a"), kinds))
+                stack.append((tag, element, mark, opened + (not inline), links + (tag == "a"), kinds, host if inline else None))
         for b in self.blocks:
-            b.text = " ".join("".join(b.parts).split())
+            b.text = " ".join("".join(p for p in b.parts if isinstance(p, str)).split())
         self.blocks = [b for b in self.blocks if b.text]
+        for b in self.blocks:
+            while b.host is not None and not b.host.text:
+                b.host = b.host.host
         for b in self.blocks:
             if b.mark >= 0:
                 self.marks[b.mark].blocks += 1
@@ -332,7 +357,7 @@ def labels(page: Page, weights: np.ndarray) -> tuple[list[bool], np.ndarray]:
     for k, m in enumerate(marks):
         if m.blocks:
             base = m.kind[1]
-            if m.kind in (BAD, FORM):
+            if m.kind in (BAD, WEAK, FORM):
                 base *= (1 - m.words / total) ** 2
             if m.kind is FORM:
                 base *= min(1.0, 0.5 + 8 * m.controls / max(1, m.words))
@@ -340,16 +365,21 @@ def labels(page: Page, weights: np.ndarray) -> tuple[list[bool], np.ndarray]:
             cost.append(base * (1 + m.blocks))
             if m.up >= 0 and m.kind is not ARTICLE:
                 ties.append((used[k], used[m.up], NESTED * (1 + m.blocks)))
-    last = {}
+    last, before, places = {}, -1, {}
     for i, b in enumerate(blocks):
+        places[id(b)] = i
         if b.mark >= 0:
             ties.append((i, used[b.mark], marks[b.mark].kind[2]))
-        if i:
-            a = blocks[i - 1]
-            ties.append((i - 1, i, 2 * NEAR / page.distance(a, b) * (1.0 if a.mark == b.mark else APART)))
+        if b.host is not None:
+            ties.append((places[id(b.host)], i, NEAR * APART))
+            continue
+        if before >= 0:
+            a = blocks[before]
+            ties.append((before, i, 2 * NEAR / page.distance(a, b) * (1.0 if a.mark == b.mark else APART)))
+        before = i
         parent = page.parent[b.element], b.tag
-        if (before := last.get(parent)) is not None:
-            ties.append((before, i, ALIKE * (1.0 if blocks[before].mark == b.mark else APART)))
+        if (alike := last.get(parent)) is not None:
+            ties.append((alike, i, ALIKE * (1.0 if blocks[alike].mark == b.mark else APART)))
         last[parent] = i
     return min_cut(len(cost), [max(0.0, x) for x in cost], [max(0.0, -x) for x in cost], ties)[:n], alone
 
@@ -359,8 +389,9 @@ def main_text(html: str, weights: np.ndarray = PRIOR) -> str:
     page = Page(html)
     if not page.blocks:
         return ""
-    keep, _ = labels(page, weights)
-    return "\n\n".join(b.text for b, k in zip(page.blocks, keep, strict=True) if k)
+    for b, b.keep in zip(page.blocks, labels(page, weights)[0], strict=True):
+        pass
+    return "\n\n".join(b.whole() for b in page.blocks if b.keep and b.host is None)
 
 
 def sure_blocks(html: str) -> tuple[np.ndarray, np.ndarray]:
@@ -417,8 +448,8 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """All ``pages`` (page_id, url, html) with the main ``text`` of the whole html and its ``n_chars`` (code points).
 
     ``weights`` of the text classifier are fitted on these pages where none are given. A null or empty html gives the empty text; repeated rows
-    stay; an empty table gives an empty one; other columns are left out. Time and memory are in proportion to a page's length. Page by page, so nothing is
-    shuffled."""
+    stay; an empty table gives an empty one; other columns are left out. Reading takes time in proportion to a page's length; the cut (Dinic's algorithm) has no such
+    bound, though real pages, whose blocks are tied to a few others each, stay close to it. Page by page, so nothing is shuffled."""
     tune(pages.sparkSession)
     w = fit(pages) if weights is None else weights
 

@@ -572,7 +572,10 @@ def test_extraction_fit_is_the_optimum(spark):
     assert (extract.fit(t.limit(0)) == extract.PRIOR).all()
 
 
-@pytest.mark.parametrize("part", ["<div>x", "<b>x", "<div><nav>x", '<a "', "<p>a <a>b</a>", "<li>x", "<span class=ad>x", "<article>x</article><nav>y</nav>", "<form><div class=ad>", "<!--", "&amp", "<td>"])
+LINE = "It is a long sentence with enough words in it to be the text of an article for sure."
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>x", "<div><nav>x", '<a "', "<p>a <a>b</a>", "<li>x", "<span class=ad>x", "<p>a<span class=ad>x</span>b", "<b hidden>x</b>y", "<article>x</article><nav>y</nav>", "<form><div class=ad>", "<!--", "&amp", "<td>"])
 def test_extraction_of_deep_pages(part):
     took = []
     for n in (4000, 16_000):
@@ -588,6 +591,12 @@ def test_extraction_of_deep_pages(part):
         ("<article><p>Words of it.</p><figure><figcaption>Caption</figcaption></figure><p class='tags'>tags: a</p><section id='related'><p>And this.</p></section></article>", ["Words of it.", "Caption", "tags: a", "And this."]),
         ("<form><div><h1>Head</h1><p>A page in one form, as some servers make them all.</p></div><input></form>", ["Head", "A page in one form, as some servers make them all."]),
         ("<div class='layout no-sidebar'><article><p>Kept.</p></article></div>", ["Kept."]),
+        (f"<h2><a aria-hidden=true>#</a> Heading of the section</h2><p>{LINE}</p><p>{LINE}</p>", ["Heading of the section", LINE, LINE]),
+        ("<p>See the <em class=menu-item>soup</em> of the day in our kitchen, which is made of many things.</p>", ["See the soup of the day in our kitchen, which is made of many things."]),
+        (f"<article><p>{LINE}</p><h2>Head <a class=anchor aria-hidden='true' href='#x'>¶</a></h2><p>Two <span class=ad>Buy now</span> three words<sup class='footnote'><a href='#1'>1</a></sup> and <i class='icon share-icon' aria-hidden=true>x</i>more.</p></article>", [LINE, "Head", "Two three words1 and more."]),
+        (f"<article><p>{LINE}</p><section class='ad-hoc'><p>{LINE} 2</p></section><section class=menu><p>{LINE} 3</p></section><p class='login-note'>Readers who log in can see all of the figures of this text.</p><ul class=menu><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><div class=ad>{LINE}</div></article>", [LINE, f"{LINE} 2", f"{LINE} 3", "Readers who log in can see all of the figures of this text."]),
+        (f"<article><p>{LINE}</p><p>A<span class=ad>x</span>B <b><span class=ad>y<b>z</b></span></b>C</p><p><span class=ad>only</span></p><p>{LINE}</p></article>", [LINE, "AB C", LINE]),
+        (f"<article><p>{LINE}</p><div>One <span class=banner>two <div>three</div></span> four</div><p>{LINE}</p></article>", [LINE, "One", "four", LINE]),
         ("<div><p>One has some words that stand here.</p><p>Two has some words.</p></div><ol class='comment-list'><li><article><p>A reader wrote all of this here.</p></article></li></ol>", ["One has some words that stand here.", "Two has some words."]),
     ],
 )
