@@ -154,3 +154,23 @@ def fletcher32(blobs: DataFrame, keys: list[str], data: str = "data", skip: int
     g = x.groupBy(*keys).agg(F.sum(plain).alias("_s"), F.sum((weighted + plain * (F.col("_after") % 65535)) % 65535).alias("_t"))
     fold = lambda c: F.when(c % 65535 == 0, 65535).otherwise(c % 65535)  # noqa: E731  sums start at 65535, so 0 is written as 65535
     return g.select(*keys, (fold(F.col("_t")) * 65536 + fold(F.col("_s"))).cast("bigint").alias("checksum"))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a column, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def checksum_of(data: Column) -> Column:
+    """The same sum of one binary column's value, in the row: for values that a task holds anyway."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("t"))
+    fold = lambda c: F.when(c == 0, 65535).otherwise(c)
+
+    def summed(b: Column) -> Column:
+        word = lambda i: F.conv(F.rpad(F.hex(F.substring(b, 2 * i + 1, F.lit(2))), 4, "0"), 16, 10).cast("bigint")
+        add = lambda a, i: let((a["s"] + word(i)) % 65535, lambda s: F.struct(s.alias("s"), ((a["t"] + s) % 65535).alias("t")))
+        count = F.floor((F.octet_length(b) + 1) / 2).cast("int")
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, zero, add, lambda a: fold(a["t"]) * 65536 + fold(a["s"])).cast("bigint")
+
+    return let(data, summed)

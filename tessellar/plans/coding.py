@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import blobs, costs, masks, modes, planes, prefix, statistics, streams, transforms
-from ..sources import rasters
+from ..operators import blobs, costs, masks, modes, planes, prefix, statistics, streams, transforms, windows
+from ..sources import rasters, scan
 from .registry import query
 from .relational import _blocks, on
 from .relational import _cost as cost_sql
@@ -358,3 +360,50 @@ def tile_checksums(spark, d):
     # bytes 10 to 13 of the header, lowest first
     stored = F.conv(F.concat(*[F.hex(F.substring("blob", k, 1)) for k in (14, 13, 12, 11)]), 16, 10).cast("bigint")
     return streams.fletcher32(made, ["tile"], "blob", skip=14).join(made.select("tile", stored.alias("stored")), "tile").select("tile", (F.col("checksum") == F.col("stored")).alias("same"))
+
+
+# ------------------------------------------------------------------ files and windows
+
+
+def _shared(spark, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("this query needs a folder that all executors share: set spark.checkpoint.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(on("events", """SELECT 'ok' AS status, CAST(count(DISTINCT "row") AS BIGINT) AS n_rows, max(col) + 1 AS n_cols, count(*) FILTER (valid) AS n_valid, min(z) FILTER (valid) AS z_min, max(z) FILTER (valid) AS z_max FROM px GROUP BY "row" // 8"""))
+def blob_scan_splits(spark, d):
+    """Tiles of events written one behind the other by Spark, and read again in splits."""
+    path = _shared(spark, "scan")
+    scan.write(blobs.encode(rasters.events(spark, d), "<f8", rows=8), path)
+    return scan.scan(spark, path).select("status", "n_rows", "n_cols", "n_valid", "z_min", "z_max")
+
+
+_ROWS, _COLS = (37, 90), (21, 60)
+_WINDOW = f'"row" >= {_ROWS[0]} AND "row" < {_ROWS[1]} AND col >= {_COLS[0]} AND col < {_COLS[1]}'
+
+
+def _whole_orders(spark, d):
+    return blobs.encode(rasters.orders(spark, d).withColumn("z", F.floor("z").cast("double")), "<i4")
+
+
+@query(on("orders", f'SELECT band, "row", col, depth, floor(z) AS z, valid FROM px WHERE {_WINDOW}'))
+def window_pixels(spark, d):
+    made = _whole_orders(spark, d)
+    return windows.read_window(made, windows.index(made), _ROWS, _COLS).select("band", "row", "col", "depth", "z", "valid")
+
+
+@query(on("int_depths", f'SELECT band, "row", col, depth, CASE WHEN valid THEN z ELSE 0 END AS z, valid FROM px WHERE {_WINDOW}'))
+def window_pixels_depths(spark, d):
+    made = blobs.encode(rasters.int_depths(spark, d), "<i4")
+    return windows.read_window(made, windows.index(made), _ROWS, _COLS).select("band", "row", "col", "depth", "z", "valid")
+
+
+@query(on("orders", f"""SELECT count(*) AS n_blocks, count(*) FILTER (hit) AS n_read, TRUE AS fewer_bytes FROM (SELECT bool_or({_WINDOW}) AS hit FROM px GROUP BY "row" // 8, col // 8)"""))
+def window_blocks(spark, d):
+    """Blocks of 8 x 8 in the index, those a window reads, and whether their bytes are as much fewer as their number is."""
+    found = windows.index(_whole_orders(spark, d))
+    hit = windows.touches(_ROWS, _COLS)
+    sums = found.agg(F.count("*").alias("n_blocks"), F.count_if(hit).alias("n_read"), F.sum("length").alias("all"), F.sum(F.when(hit, F.col("length"))).alias("some"))
+    return sums.select("n_blocks", "n_read", (F.col("some") / F.col("all") < 1.2 * F.col("n_read") / F.col("n_blocks")).alias("fewer_bytes"))
