@@ -1,11 +1,13 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. All word 3-grams of the test items go into a Bloom filter of bounded size. One pass over the whole texts keeps, around every
-   run of 3-grams that pass it, a *passage* (the run and a margin as long as the longest item) with its 3-grams.
-2. The passages' 3-grams are joined to the items' on the gram's hash. Every 3-gram of an item is a *seed*, however many passages
-   hold it: those that an edited copy keeps are in all exact copies too, and so never the rarer ones.
-3. Passages and items that share a seed, and have so many words in common that the threshold can be reached, are aligned word by
-   word (Smith-Waterman: match 2, mismatch -1, gap -1). The score is the
+1. An item's *seeds* are its rare word 3-grams: those that at most ``RARE`` different items hold, and in any case the ``LEAST`` rarest of
+   each item. Rarity is counted over items, not over documents: what an edited copy keeps is in all exact copies too, so that copies would
+   make just the grams that find it common. Equal items count as one.
+2. Seeds go into a Bloom filter of bounded size. One pass over the whole texts keeps, around every run of 3-grams that pass it, a
+   *passage* (the run and a margin as long as the longest item) with its 3-grams. These are joined to the seeds on the gram's hash, which pairs a gram
+   with ``RARE`` items or few more, and shared seeds are counted for each passage and item before any words move.
+3. Passages and items that share ``SHARED`` seeds (one, where an item has fewer than ``FEW``), and have so many words in common that the
+   threshold can be reached, are aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1). The score is the
    best local alignment's over that of the whole item against itself; from ``THRESHOLD`` on the pair is reported,
    with the words of the document that the alignment covers.
 
@@ -19,6 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hashing import MARKS, Words
@@ -27,6 +30,11 @@ from .shared import bit_array, drop, n_parts, table, tune, written
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: A changed word takes three grams with it. An item of n words, all of whose grams are rare, still shares two with a copy that has (n - 4) / 3 words changed, each in the
+#: worst place; the threshold is reached with n / 3 changed at most.
+RARE, LEAST, SHARED, FEW = 3, 8, 2, 6
+#: Seeds that are broadcast at most (about 12 MB); beyond, both sides are dealt by gram and salt.
+FEW_SEEDS, SALTS = 500_000, 16
 
 
 def item_grams(items: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -52,6 +60,15 @@ def _short(h: np.ndarray) -> np.ndarray:
     return np.array([h[0] * np.uint64(3) + (h[1] if len(h) > 1 else np.uint64(1))], np.uint64)
 
 
+def seeds_of(known: DataFrame, rare: int = RARE, least: int = LEAST) -> DataFrame:
+    """t, g, need: the seeds of each different item (``t``: the hash of its words), and how many of them a passage must share."""
+    every = known.select("t", "words", "grams").dropDuplicates(["t"]).select("t", F.explode("grams").alias("g"))
+    holders = every.groupBy("g").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("t").orderBy("n", "g"))
+    some = every.join(holders, "g").withColumn("r", rank).filter((F.col("n") <= rare) | (F.col("r") <= least))
+    return some.select("t", "g", F.when(F.count("*").over(W.partitionBy("t")) >= FEW, SHARED).otherwise(1).alias("need"))
+
+
 def bloom_bits(grams: DataFrame, count: int) -> tuple[bytes, int]:
     """A Bloom filter (bytes, bits) of the distinct values of the bigint column ``g``: two bits a value, 2**14 to 2**27 bits in all."""
     size = 1 << min(27, max(14, (32 * max(1, count)).bit_length()))
@@ -145,24 +162,38 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     items (other ids) are each reported. Empty tables give no row."""
     spark = docs.sparkSession
     tune(spark)
-    known = written(item_grams(items), "items")
-    grams = known.select("item_id", F.explode("grams").alias("g"))
-    distinct, longest, shortest = grams.agg(F.countDistinct("g")).first()[0], *known.agg(F.max("n_words"), F.min("n_words")).first()
-    if not distinct:
-        drop(known)
+    known = written(item_grams(items).withColumn("t", F.xxhash64("words")), "items")
+    seeds = written(seeds_of(known), "seeds")
+    rows, distinct = seeds.agg(F.count("*"), F.countDistinct("g")).first()
+    if not rows:
+        drop(known, seeds)
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, begin bigint, end bigint")
-    filled, size = bloom_bits(grams, distinct)
+    longest, shortest = known.agg(F.max("n_words"), F.min("n_words")).first()
+    filled, size = bloom_bits(seeds, distinct)
     bits = spark.sparkContext.broadcast(filled)
     lengths = tuple(k for k in (1, 2) if k >= shortest) + (GRAM,)
     found = written(passages(docs, bits, size, longest, lengths), "passages")
-    # (passage, item) pairs that share a gram; a passage without one goes no further
     at = found.withColumn("p", F.xxhash64("doc_id", "begin", "words"))
-    met = at.select("p", F.explode("grams").alias("g")).join(grams, "g").select("p", "item_id").distinct()
+    pairs = shared_seeds(at, seeds, rows)
     spread = max(1, 4 * n_parts(spark))
-    pairs = met.join(at.select("p", "doc_id", "begin", "words").dropDuplicates(["p"]), "p").select("doc_id", "begin", "words", "item_id")
-    pairs = pairs.join(known.select("item_id", F.col("words").alias("item")).distinct(), "item_id").repartition(spread)
-    best = score_pairs(pairs, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("begin")).alias("back"), "end")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.back")).alias("begin"), F.col("b.end").alias("end"))
+    pairs = pairs.join(at.select("p", "doc_id", "begin", "words").dropDuplicates(["p"]), "p")
+    pairs = pairs.join(known.select("t", F.col("words").alias("item")).dropDuplicates(["t"]), "t").repartition(spread)
+    best = score_pairs(pairs.withColumnRenamed("t", "item_id"), threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("begin")).alias("back"), "end")).alias("b"))
+    best = best.select("doc_id", F.col("item_id").alias("t"), F.col("b.score").alias("score"), (-F.col("b.back")).alias("begin"), F.col("b.end").alias("end"))
+    return best.join(known.select("t", "item_id").distinct(), "t").select("doc_id", "item_id", "score", "begin", "end")
+
+
+def shared_seeds(at: DataFrame, seeds: DataFrame, rows: int) -> DataFrame:
+    """p, t: the passages (p, grams) and items that share as many of the ``rows`` seeds as these need. A gram that very many passages hold stays spread: few seeds are broadcast, many are
+    dealt by gram and salt."""
+    grams = at.select("p", F.explode("grams").alias("g"))
+    if rows <= FEW_SEEDS:
+        met = grams.join(F.broadcast(seeds), "g")
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = grams.withColumn("salt", F.pmod("p", F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"])
+    # a passage's grams are different ones; the same passage of a repeated row counts again, which changes nothing
+    return met.groupBy("p", "t").agg(F.countDistinct("g").alias("n"), F.max("need").alias("need")).filter("n >= need").select("p", "t")
 
 
 def op2_smith_waterman_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -134,6 +134,52 @@ def test_edited_copy_beside_exact_ones(spark, exact):
     assert set(got) == {1, *range(100, 100 + exact)} and 0.65 < got[1] < 0.75
 
 
+def test_seeds_are_rare_and_pairs_few(spark, monkeypatch):
+    """A phrase that all items hold is no seed of any; items made of such phrases alone keep their rarest ones; a hot phrase pairs nothing. Both joins find the same."""
+    r = random.Random(12)
+    common = "these words stand in every single item of all".split()
+    items_ = [" ".join([f"i{k}x{j}" for j in range(12)] + common + [f"e{k}x{j}" for j in range(12)]) for k in range(30)] + [" ".join(common)] * 2 + ["a b c d e f", "a b c d e g", "a b c d e h", "a b c d e i"]
+    items = spark.createDataFrame(list(enumerate(items_)), "item_id bigint, text string")
+    rows = [(k, " ".join([f"x{r.randint(0, 99)}" for _ in range(20)] + common[:7] + [f"y{r.randint(0, 99)}" for _ in range(20)])) for k in range(60)]
+    rows += [(100 + k, f"so {t} it is") for k, t in enumerate(items_)]
+    known = decontaminate.item_grams(items).withColumn("t", F.xxhash64("words"))
+    seeds = decontaminate.seeds_of(known)
+    assert seeds.select("t").distinct().count() == 35 and seeds.groupBy("t").count().agg(F.max("count")).first()[0] <= 30
+    met = []
+    keep = decontaminate.shared_seeds
+    monkeypatch.setattr(decontaminate, "shared_seeds", lambda *a: met.append(keep(*a)) or met[-1])
+    want = None
+    for few in (decontaminate.FEW_SEEDS, 1):
+        monkeypatch.setattr(decontaminate, "FEW_SEEDS", few)
+        got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), items).collect()}
+        assert met[-1].count() < 36 * 8 + 60
+        assert {(100 + k, k) for k in range(len(items_))} <= got and want in (None, got)
+        want = got
+    assert {d for d, i in got if d < 100} <= set(range(60)) and {i for d, i in got if d < 100} <= {30, 31}
+
+
+@pytest.mark.parametrize(("changed", "least"), [(0.1, 1.0), (0.2, 1.0), (0.25, 0.9)])
+def test_recall_by_edit_rate(spark, changed, least):
+    """Copies of 60-word items with a share of the words replaced at random places, inside other text: nearly all whose alignment reaches the threshold are found."""
+    r = random.Random(int(changed * 100))
+    items_ = [[f"w{r.randint(0, 3000)}" for _ in range(60)] for _ in range(20)]
+    rows, reach = [], set()
+    for k in range(200):
+        item = items_[k % 20]
+        copy = list(item)
+        for at in r.sample(range(60), round(60 * changed)):
+            copy[at] = f"w{r.randint(0, 3000)}"
+        text = [f"w{r.randint(0, 3000)}" for _ in range(40)] + copy + [f"w{r.randint(0, 3000)}" for _ in range(40)]
+        number = lambda x: np.array([int(w[1:]) for w in x], np.int64)
+        if decontaminate.align(number(item), number(text))[0] >= decontaminate.THRESHOLD * 120:
+            reach.add((k, k % 20))
+        rows.append((k, " ".join(text)))
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items_)], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got <= reach and len(got) >= least * len(reach) > 0
+    print(changed, len(got), len(reach))
+
+
 def test_unreachable_pairs_only():
     r = np.random.default_rng(8)
     seen = set()
