@@ -95,18 +95,20 @@ def cross_derivative(px: DataFrame) -> DataFrame:
 
 
 def restore(d: DataFrame, cross: bool = False) -> DataFrame:
-    """Values from differences: prefix sums along columns (for cross differences), then along rows. Sums along columns are taken within stripes, and the
-    sums of the stripes before are added."""
+    """Values from differences: prefix sums along rows, and (for cross differences) along columns. The latter are taken within stripes, where both kinds of sum share one shuffle of the
+    pixels; a stripe gets its columns' sums of the stripes before as one row."""
     rows = W.partitionBy("band", "depth", "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    if cross:
-        keys = ["band", "depth", "stripe", "col"]
-        s = d.withColumn("stripe", F.floor(F.col("row") / STRIPE).cast("bigint"))
-        totals = s.groupBy(*keys).agg(F.sum("d").alias("t"))
-        before = W.partitionBy("band", "depth", "col").orderBy("stripe").rowsBetween(W.unboundedPreceding, -1)
-        totals = totals.withColumn("t", F.coalesce(F.sum("t").over(before), F.lit(0.0)))
-        within = F.sum("d").over(in_stripe("col", "row").rowsBetween(W.unboundedPreceding, 0))
-        d = s.withColumn("d", within).join(totals, keys).withColumn("d", F.col("d") + F.col("t"))
-    return d.select("band", "row", "col", "depth", F.sum("d").over(rows).alias("z"))
+    if not cross:
+        return d.select("band", "row", "col", "depth", F.sum("d").over(rows).alias("z"))
+    keys = ["band", "depth", "stripe"]
+    s = d.withColumn("stripe", F.floor(F.col("row") / STRIPE).cast("bigint")).repartition(*keys)
+    s = s.withColumn("z", F.sum("d").over(in_stripe("row", "col").rowsBetween(W.unboundedPreceding, 0)))
+    s = s.select(*keys, "row", "col", F.sum("z").over(in_stripe("col", "row").rowsBetween(W.unboundedPreceding, 0)).alias("z"))
+    ends = s.groupBy(*keys, "col").agg(F.max_by("z", "row").alias("t"))
+    before = W.partitionBy("band", "depth", "col").orderBy("stripe").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("t", F.sum("t").over(before)).filter("t is not null")
+    carried = ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col", "t"))).alias("carried"))
+    return s.join(carried, keys, "left").select("band", "row", "col", "depth", (F.col("z") + F.coalesce(F.col("carried")[F.col("col")], F.lit(0.0))).alias("z"))
 
 
 def byte_planes(px: DataFrame, n: int = 4) -> DataFrame:

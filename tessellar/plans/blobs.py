@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import bits, blob as codec, floats
-from ..operators import blobs, masks
+from ..operators import blobs, masks, statistics, transforms
 from ..sources import rasters
 from ..sources.rasters import SQL
+from .coding import lengths_sql
 from .registry import query
 from .relational import _cost, on
 
@@ -51,6 +52,12 @@ def decode_pixels(spark, d):
     return _trip(rasters.event_bands(spark, d), "<f8").filter("valid")
 
 
+@query(on("embed4", 'SELECT ("row" * 16 + col) * 4 + depth AS bip, depth * (SELECT (max("row") + 1) * 16 FROM px) + "row" * 16 + col AS bsq, z FROM px'))
+def decode_interleaved(spark, d):
+    """Decoded values with their positions, pixel-interleaved and depth by depth."""
+    return transforms.interleave_swap(_trip(rasters.embed(spark, d, 4), "<f4"), 16, 4)
+
+
 @query(on("psize", 'SELECT band, "row", col, depth, CAST(z AS DOUBLE) AS z FROM px'))
 def decode_double(spark, d):
     return _trip(rasters.psize(spark, d), "<u2").select("band", "row", "col", "depth", F.col("z").cast("double").alias("z"))
@@ -208,10 +215,17 @@ def predictor_choice(spark, d):
     return blobs.payloads(blobs.encode(rasters.embed(spark, d), "<f4")).select("tile", "band", "mode", "predictor")
 
 
-@query("SELECT * FROM (VALUES ('i1', -128.0::DOUBLE, 127.0::DOUBLE), ('u1', 0, 255), ('i2', -32768, 32767), ('u2', 0, 65535), ('i4', -2147483648, 2147483647), ('u4', 0, 4294967295)) t(dtype, low, high)")
+_INTEGERS = [(t.lstrip("<"), int(np.iinfo(t).min), int(np.iinfo(t).max)) for t in codec.TYPES[:6]]
+
+
+@query(on("byte_bands", f"""SELECT band, dtype, low, high, bool_and(z = floor(z) AND z BETWEEN low AND high) AS fits FROM (SELECT band, z FROM px WHERE valid UNION ALL SELECT band + 10, z FROM px2 WHERE valid),
+    (VALUES {', '.join(f"('{t}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for t, a, b in _INTEGERS)}) t(dtype, low, high) GROUP BY ALL""", f"px2 AS ({SQL['int_depths']})"))
 def type_ranges(spark, d):
-    """The range of each integer type, as a relation to join with."""
-    return spark.createDataFrame([(t.lstrip("<"), float(np.iinfo(t).min), float(np.iinfo(t).max)) for t in codec.TYPES[:6]], "dtype string, low double, high double")
+    """Which integer types hold all values of each band: one aggregate over the pixels, then the types' ranges beside each band."""
+    px = rasters.byte_bands(spark, d).unionByName(rasters.int_depths(spark, d).withColumn("band", F.col("band") + 10))
+    r = px.filter("valid").groupBy("band").agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.bool_and(F.col("z") == F.floor("z")).alias("whole"))
+    types = F.inline(F.array(*[F.struct(F.lit(t).alias("dtype"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for t, a, b in _INTEGERS]))
+    return r.select("band", "lo", "hi", "whole", types).select("band", "dtype", "low", "high", (F.col("whole") & (F.col("lo") >= F.col("low")) & (F.col("hi") <= F.col("high"))).alias("fits"))
 
 
 def _codec_query(column, f):
@@ -264,22 +278,42 @@ def float_planes(spark, d):
     return e.agg(F.count("*").alias("n"), F.count_if(~same("embedding")).alias("n_wrong"))
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, bits FROM (VALUES (1, CAST(1 AS BIGINT)), (2, CAST(2 AS BIGINT)), (3, CAST(3 AS BIGINT))) t(k, bits) WHERE FALSE UNION ALL SELECT CAST(0 AS BIGINT), CAST(224 AS BIGINT)")
+@query("WITH RECURSIVE px AS (" + SQL["byte_bands"] + "), h AS (SELECT band, CAST(z AS BIGINT) AS bin, count(*) AS n FROM px WHERE valid GROUP BY ALL), " + lengths_sql("h", "band") + " SELECT band, CAST(sum(n * length) AS BIGINT) AS bits FROM lengths GROUP BY band")
 def huffman_lengths(spark, d):
-    """Total bits of an optimal code for counts 5, 9, 12, 13, 16, 45 (the textbook example: 224)."""
-    counts = np.array([5, 9, 12, 13, 16, 45])
-    return spark.createDataFrame([(0, int((bits.code_lengths(counts) * counts).sum()))], "k bigint, bits bigint")
+    """Total bits of the codec's prefix code for each 8-bit band's values: one row of counts a band for the codec, whatever the number of pixels."""
+    h = statistics.histogram(rasters.byte_bands(spark, d)).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"))
 
+    @F.pandas_udf("bigint")
+    def total(column):
+        out = []
+        for rows in column:
+            n = np.zeros(256, np.int64)
+            for r in rows:
+                n[r["bin"]] = r["n"]
+            out.append(int((bits.code_lengths(n) * n).sum()) if (n > 0).sum() > 1 else 0)
+        return pd.Series(out)
 
-@query()
+    return h.select("band", total("h").alias("bits"))
+
+
+@query(on("psize", 'SELECT "row" AS tile, CAST(0 AS BIGINT) AS band, CAST(0 AS BIGINT) AS "row", col, depth, z, TRUE AS valid FROM px'))
 def legacy_decode(spark, d):
-    """A hand-made first-format blob: count part constant 1, one raw tile of values."""
+    """Every row of the part sizes as a first-format blob (all valid, one raw tile), put together here, and its pixels."""
     import struct
 
-    z = np.arange(12, dtype="<f4").reshape(3, 4) / 4
-    body = b"\0" + z.tobytes()
-    old = codec.OLD_KEY + struct.pack("<4id", 11, 8, 3, 4, 0.1) + struct.pack("<3if", 0, 0, 0, 1.0) + struct.pack("<3if", 1, 1, len(body), float(z.max())) + body
-    return blobs.decode_old(spark.createDataFrame([(0, 0, bytearray(old))], "tile bigint, row0 bigint, blob binary"))
+    head = codec.OLD_KEY + struct.pack("<2i", 11, 8)
+    rows = rasters.psize(spark, d).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "z"))), lambda x: x["z"]).alias("z"))
+
+    @F.pandas_udf("binary")
+    def old(column):
+        out = []
+        for z in column:
+            body = b"\0" + np.asarray(z, "<f4").tobytes()
+            out.append(head + struct.pack("<2id", 1, len(z), 0.1) + struct.pack("<3if", 0, 0, 0, 1.0) + struct.pack("<3if", 1, 1, len(body), float(max(z))) + body)
+        return pd.Series(out)
+
+    made = rows.select(F.col("row").alias("tile"), F.lit(0).cast("bigint").alias("row0"), old("z").alias("blob"))
+    return blobs.decode_old(made).select("tile", "band", "row", "col", "depth", "z", "valid")
 
 
 @query(on("dirty", "SELECT count(*) FILTER (isnan(z)) AS n_nan FROM px"))

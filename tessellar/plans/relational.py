@@ -96,7 +96,7 @@ def nodata_mixed_pixels(spark, d):
 
 
 @query(on("psize", "SELECT band, bool_and(z = floor(z + 0.5)) AND max(abs(z)) <= 8388608 AS as_float, bool_and(z = floor(z + 0.5)) AND max(abs(z)) <= 9007199254740992 AS as_double FROM px GROUP BY band")
-       + " UNION ALL SELECT CAST(1 AS BIGINT), FALSE, FALSE")
+       + " UNION ALL SELECT CAST(1 AS BIGINT), bool_and(z = floor(z + 0.5)) AND max(abs(z)) <= 8388608, bool_and(z = floor(z + 0.5)) AND max(abs(z)) <= 9007199254740992 FROM (" + SQL["events"] + ") WHERE valid")
 def all_int_detect(spark, d):
     a, b = rasters.psize(spark, d), rasters.events(spark, d).withColumn("band", F.lit(1).cast("bigint"))
     return masks.all_integer(a.union(b))
@@ -243,9 +243,10 @@ def bitplane_noise_cut(spark, d):
 # ------------------------------------------------------------------ error-bound transforms
 
 
-@query("SELECT CAST(e AS DOUBLE) AS e, CAST(greatest(0.5, floor(e)) AS DOUBLE) AS max_error FROM (VALUES (0.0), (0.3), (0.5), (1.7), (2.0), (10.9)) t(e)")
+@query(on("events", "SELECT DISTINCT floor(z / 2.5) / 4 AS e, CAST(greatest(0.5, floor(floor(z / 2.5) / 4)) AS DOUBLE) AS max_error FROM px"))
 def norm_max_z_error(spark, d):
-    es = spark.createDataFrame([(e,) for e in (0.0, 0.3, 0.5, 1.7, 2.0, 10.9)], "e double")
+    """The bounds that integer encoding uses for requested ones (quarters, from the event values)."""
+    es = rasters.events(spark, d).select((F.floor(F.col("z") / 2.5) / 4).alias("e")).distinct()
     return es.select("e", F.greatest(F.lit(0.5), F.floor("e").cast("double")).alias("max_error"))
 
 
