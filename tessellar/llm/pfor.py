@@ -300,6 +300,9 @@ END_ID = 1
 
 
 def op1_pfor_token_ids(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of ``documents``, in ascending order of doc_id (null ids first), read back from the segments that hold all ids.
+
+    A null or empty text has the end id alone; repeated rows are documents of their own, side by side; no document gives no row; other columns are ignored."""
     import public_tokenizers
 
     segments = write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
