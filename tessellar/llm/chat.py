@@ -493,7 +493,7 @@ def op9_chat_template(spark, sf_dir: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation of ``conversations`` and of conversation -7, whose texts hold control strings; read back from
     the formatted text.
 
-    A null text is empty, a null role or turn stands for itself (null turns first); repeated rows are turns of their own; rows with a null conv_id are one conversation; an
+    A null text is empty, a null role the empty role, null turns come first; repeated rows are turns of their own; rows with a null conv_id are one conversation; an
     empty table leaves conversation -7 alone; other columns are ignored."""
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
