@@ -380,7 +380,7 @@ def blob_scan_splits(spark, d):
     return scan.scan(spark, path).select("status", "n_rows", "n_cols", "n_valid", "z_min", "z_max")
 
 
-_ROWS, _COLS = (37, 90), (21, 60)
+_ROWS, _COLS = (5, 75), (21, 60)
 _WINDOW = f'"row" >= {_ROWS[0]} AND "row" < {_ROWS[1]} AND col >= {_COLS[0]} AND col < {_COLS[1]}'
 
 
@@ -406,4 +406,4 @@ def window_blocks(spark, d):
     found = windows.index(_whole_orders(spark, d))
     hit = windows.touches(_ROWS, _COLS)
     sums = found.agg(F.count("*").alias("n_blocks"), F.count_if(hit).alias("n_read"), F.sum("length").alias("all"), F.sum(F.when(hit, F.col("length"))).alias("some"))
-    return sums.select("n_blocks", "n_read", (F.col("some") / F.col("all") < 1.2 * F.col("n_read") / F.col("n_blocks")).alias("fewer_bytes"))
+    return sums.select("n_blocks", "n_read", (F.coalesce("some", F.lit(0)) * F.col("n_blocks") <= 1.2 * F.col("n_read") * F.col("all")).alias("fewer_bytes"))
