@@ -19,6 +19,8 @@ from .statistics import STRIPE, in_stripe, striped
 KINDS = {"float": (23, 8, 4), "double": (52, 11, 8)}
 #: Fixed values of the format's sampling: values of a sample, every how many of them are counted, the most differences of a plane, the least rows of a stripe.
 SAMPLE, STEP, MOST, LEAST_ROWS = 8192, 7, 5, 4
+#: Sampled rows (some numbers each) that are broadcast at most; their number grows as the square root of a band's size.
+FEW_ROWS = 500_000
 
 
 def _power(e: Column) -> Column:
@@ -149,10 +151,11 @@ def snippets_of(shape: DataFrame) -> DataFrame:
 
 def sampled(px: DataFrame, parts: DataFrame, kind: str) -> DataFrame:
     """band, part, p (position in the part), u0, u1, u2 of the values in ``parts``. Only their rows, and the row above each, go through the shuffle: parts are expanded to rows
-    and joined by band and row; a part is a stretch of about ``SAMPLE`` values (of ``LEAST_ROWS`` rows where these are wider)."""
+    and joined by band and row (broadcast where they are few, which is counted first); a part is a stretch of about ``SAMPLE`` values (of ``LEAST_ROWS`` rows where these are wider)."""
     first, last = F.floor(F.col("begin") / F.col("width")), F.floor((F.col("end") - 1) / F.col("width"))
     rows = parts.select("*", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), last)).alias("row"))
-    x = with_fields(px.select("band", "row", "col", "z").join(rows, ["band", "row"]), kind).repartition("band", "part")
+    few = rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    x = with_fields(px.select("band", "row", "col", "z").join(F.broadcast(rows) if few else rows, ["band", "row"]), kind).repartition("band", "part")
     x = with_differences(x, kind, W.partitionBy("band", "part", "row").orderBy("col"), W.partitionBy("band", "part", "col").orderBy("row"))
     p = F.col("row") * F.col("width") + F.col("col") - F.col("begin")
     return x.withColumn("p", p).filter((F.col("p") >= 0) & (F.col("p") < F.col("end") - F.col("begin"))).select("band", "part", "p", "u0", "u1", "u2")

@@ -74,7 +74,7 @@ def test_every_mode_occurs(spark):
     assert found == {"empty", "constant", "raw", "tiles 8", "tiles 16", "value", "delta", "planes"}
 
 
-def test_levels_stop_where_one_more_does_not_help(spark):
+def test_levels_stop_where_one_more_does_not_help(spark, monkeypatch):
     """A plane that is linear in the position takes a difference; noise takes none."""
     px = spark.range(128 * 128).select(
         F.lit(0).alias("band"), F.floor(F.col("id") / 128).alias("row"), (F.col("id") % 128).alias("col"),
@@ -84,6 +84,8 @@ def test_levels_stop_where_one_more_does_not_help(spark):
     got = planes.plane_levels(px, "float", none).collect()
     best = {x.plane: x.best for x in got}
     assert best[0] >= 1 and best[1] == 0 and {x.level for x in got} == set(range(6))
+    monkeypatch.setattr(planes, "FEW_ROWS", 3)  # the sampled rows joined by a shuffle
+    assert sorted(planes.plane_levels(px, "float", none).collect()) == sorted(got)
     small = planes.plane_levels(px.filter("row < 63"), "float", none).collect()
     assert {(x.plane, x.level, x.bytes, x.best) for x in small} == {(k, 0, 0, 0) for k in range(4)}
 
