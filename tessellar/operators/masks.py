@@ -49,9 +49,9 @@ def has_nan(px: DataFrame) -> DataFrame:
 
 
 def nan_to_mask(px: DataFrame, kind: str = "double") -> DataFrame:
-    """Old versions: a valid pixel that is NaN in all depths becomes invalid; other NaNs become the type's lowest value."""
+    """Old versions: a valid pixel that is NaN (or null) in all depths becomes invalid; other NaNs become the type's lowest value."""
     w = W.partitionBy(*PIXEL)
-    gone = F.min(F.isnan("z").cast("int")).over(w) == 1
+    gone = F.count_if(~F.isnan("z") & F.col("z").isNotNull()).over(w) == 0
     return px.select(*PIXEL, "depth", F.when(F.isnan("z"), F.lit(LOWEST[kind])).otherwise(F.col("z")).alias("z"), (F.col("valid") & ~gone).alias("valid"))
 
 
@@ -68,7 +68,7 @@ def classify_pixels(px: DataFrame, nodata: float) -> DataFrame:
 def nodata_to_mask(px: DataFrame, nodata: float) -> DataFrame:
     """Values after normalisation: pixels without any value are invalid and 0; in mixed pixels NaN becomes the no-data value."""
     w = W.partitionBy(*PIXEL)
-    empty = F.isnan("z") | (F.col("z") == nodata)
+    empty = F.isnan("z") | F.coalesce(F.col("z") == nodata, F.lit(True))
     gone = F.min(empty.cast("int")).over(w) == 1
     rows = px.withColumn("gone", gone | ~F.col("valid"))
     z = F.when(F.col("gone"), 0.0).when(F.isnan("z"), F.lit(nodata)).otherwise(F.col("z"))
