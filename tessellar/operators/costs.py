@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .statistics import BLOCK, histogram, valid, with_blocks
+from .statistics import BLOCK, histogram, spread, valid, with_blocks
 from .transforms import MAX_QUANTUM, bit_width, block_ranges, quantize, quantum
 
 
@@ -48,7 +48,7 @@ def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool
     partitioned by some of ``keys``); ranges, quanta and equal neighbours come from windows on it, the rest from one aggregate.
     With an ``error`` of 0 nothing is quantised: a block of different values is raw. ``first``: what a block's first value counts as the same as."""
     w = W.partitionBy(*keys)
-    v = valid(px) if {"bi", "bj"} <= set(px.columns) else with_blocks(valid(px), size)
+    v = valid(px) if {"bi", "bj"} <= set(px.columns) else spread(with_blocks(valid(px), size), *keys)
     v = v.withColumn("lo", F.min("z").over(w)).withColumn("same", (F.col("z") == F.lag("z", 1, first).over(w.orderBy("row", "col"))).cast("bigint"))
     n, lo, hi = F.col("n"), F.col("z_min"), F.col("z_max")
     # a block has size * size values at most: its set of quanta is as small
@@ -73,7 +73,7 @@ def tile_costs(px: DataFrame, error: float, kind: str, size: int = 8, lut: bool
 def depth_costs(px: DataFrame, kind: str, size: int = 8) -> DataFrame:
     """band, depth, bi, bj, n, mode, differs, bytes of every block of an integer raster without loss: as it is, or as 32-bit differences to the depth below where these take fewer bytes (not in
     the first depth, and not in a block with a difference beyond 32 bits). One shuffle brings all depths of a block together; both costs come from it."""
-    x = with_blocks(valid(px), size).repartition("band", "bi", "bj")
+    x = spread(with_blocks(valid(px), size), "band", "bi", "bj")
     x = x.withColumn("d", F.col("z") - F.lag("z").over(W.partitionBy("band", "bi", "bj", "row", "col").orderBy("depth")))
     plain = tile_costs(x.drop("d"), 0.5, kind, size, keys=["band", "bi", "bj", "depth"])
     block = W.partitionBy("band", "bi", "bj", "depth")
@@ -92,7 +92,7 @@ def tile_cost_total(px: DataFrame, error: float, kind: str, size: int = 8) -> Da
 def block_size_choice(px: DataFrame, error: float, kind: str) -> DataFrame:
     """Bytes of both block sizes; 16 wins ties. Pixels are shuffled once, by the large block, which holds whole small ones."""
     large = [F.floor(F.col(c) / 16).cast("bigint").alias(k) for c, k in (("row", "bi16"), ("col", "bj16"))]
-    x = with_blocks(valid(px), 8).select("*", *large).repartition("band", "depth", "bi16", "bj16")
+    x = spread(with_blocks(valid(px), 8).select("*", *large), "band", "depth", "bi16", "bj16")
     small = tile_costs(x, error, kind, 8, keys=["band", "depth", "bi16", "bj16", "bi", "bj"]).groupBy("band").agg(F.sum("bytes").cast("bigint").alias("bytes_8"))
     wide = tile_costs(x, error, kind, 16, keys=["band", "depth", "bi16", "bj16"]).groupBy("band").agg(F.sum("bytes").cast("bigint").alias("bytes_16"))
     return small.join(wide, "band").withColumn("block", F.when(F.col("bytes_16") <= F.col("bytes_8"), 16).otherwise(8).cast("bigint"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BLOCK = ["band", "depth", "bi", "bj"]
 #: Rows of a stripe: what needs the row above works stripe by stripe, each with the last row of the one before.
 STRIPE = 64
+#: About as many rows go into a task that sorts pixels; a row takes some 500 bytes in the sorts of a stage together.
+TASK_ROWS = 250_000
 
 
 def valid(px: DataFrame) -> DataFrame:
@@ -34,6 +36,17 @@ def with_blocks(px: DataFrame, size: int = 8) -> DataFrame:
     return px.withColumn("bi", F.floor(F.col("row") / size).cast("bigint")).withColumn("bj", F.floor(F.col("col") / size).cast("bigint"))
 
 
+def spread(px: DataFrame, *keys: str, joined: bool = False) -> DataFrame:
+    """``px`` partitioned by ``keys`` (those of blocks or stripes, so that there are many), in tasks of about ``TASK_ROWS`` rows at any size; rows are counted first. Left to
+    itself Spark sizes tasks by compressed bytes, which say little about the memory that sorting such rows takes; it still does where its least number of tasks, one
+    a core, is enough. ``joined``: there are no fewer tasks than the session's shuffles have, as a join on the keys would shuffle the pixels again otherwise."""
+    spark = px.sparkSession
+    n = -(-px.count() // TASK_ROWS)
+    if n <= spark.sparkContext.defaultParallelism:
+        return px.repartition(*keys)
+    return px.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if joined else n, *keys)
+
+
 def striped(px: DataFrame, rows: int = STRIPE) -> DataFrame:
     """``px`` with ``stripe`` and ``halo``: the last row of a stripe is also in the next one, as halo. One shuffle, on the stripe, serves all windows
     within it, along rows and columns, however wide or high the raster is."""
@@ -41,7 +54,7 @@ def striped(px: DataFrame, rows: int = STRIPE) -> DataFrame:
     places = F.when(F.col("row") % rows == rows - 1, F.array(F.struct(stripe.alias("stripe"), F.lit(False).alias("halo")), F.struct((stripe + 1).alias("stripe"), F.lit(True).alias("halo")))).otherwise(
         F.array(F.struct(stripe.alias("stripe"), F.lit(False).alias("halo")))
     )
-    return px.select("*", F.inline(places)).repartition("band", "depth", "stripe")
+    return spread(px.select("*", F.inline(places)), "band", "depth", "stripe", joined=True)
 
 
 def in_stripe(*order: str):
