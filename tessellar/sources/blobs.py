@@ -19,6 +19,8 @@ from ..functions import blob as codec
 from ..functions.bits import Corrupt
 from ..operators import blobs as ops
 
+#: Files are dealt to tasks by size: what a task reads at most (but one file at least), and what opening a file counts as.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 128 << 10
 SCHEMA = "path string, n_bands int, z_min double, z_max double, blob binary"
 
 
@@ -48,8 +50,8 @@ class BlobSource(DataSource):
         return _Writer(self.options["path"])
 
 
-class _File(InputPartition):
-    pass
+class _Files(InputPartition):
+    """The paths of one task."""
 
 
 class _Reader(DataSourceReader):
@@ -59,12 +61,22 @@ class _Reader(DataSourceReader):
         self.rules += [("z_min", "<=", float(options["high"]))] if "high" in options else []
 
     def partitions(self):
-        return [_File(f) for f in sorted(glob.glob(os.path.join(self.path, "*.blob")))] or [_File(None)]
+        tasks, held = [[]], 0
+        for f in sorted(glob.glob(os.path.join(self.path, "*.blob"))):
+            cost = os.path.getsize(f) + OPEN_BYTES
+            if tasks[-1] and held + cost > TASK_BYTES:
+                tasks.append([])
+                held = 0
+            tasks[-1].append(f)
+            held += cost
+        return [_Files(t) for t in tasks]
 
     def read(self, partition):
-        if partition.value is None:
-            return
-        with open(partition.value, "rb") as f:
+        for path in partition.value:
+            yield from self._rows(path)
+
+    def _rows(self, path):
+        with open(path, "rb") as f:
             head = f.read(256)
             try:
                 first = codec.read_header(codec.Cursor(head))
@@ -77,7 +89,7 @@ class _Reader(DataSourceReader):
         h = codec.info(data)
         if not h["uses_nodata"] and self._skips(h):
             return
-        yield (partition.value, h["n_bands"], h["z_min"], h["z_max"], data)
+        yield (path, h["n_bands"], h["z_min"], h["z_max"], data)
 
     def _skips(self, h) -> bool:
         test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
