@@ -101,10 +101,14 @@ def predicted_delta(px: DataFrame) -> DataFrame:
     rows, cols, scan = in_stripe("row", "col"), in_stripe("col", "row"), in_stripe("", "row", "col")
     near = lambda w: F.when((F.lag("valid").over(w)) & (F.lag("place").over(w) == F.col("place") - 1), F.lag("z").over(w))
     x = striped(px)
-    x = x.withColumn("place", F.col("col")).withColumn("l", near(rows)).withColumn("place", F.col("row")).withColumn("a", near(cols)).drop("place")
+    # along rows and in scan order the pixels are sorted alike, so these two stand together
+    x = x.withColumn("place", F.col("col")).withColumn("l", near(rows))
     x = x.withColumn("before", F.last(F.when(F.col("valid"), F.col("z")), True).over(scan.rowsBetween(W.unboundedPreceding, -1)))
-    # the last valid value of the stripes before: a row for each stripe
-    last = F.max_by(F.when(F.col("valid"), F.col("z")), F.when(F.col("valid"), F.struct("row", "col")))
+    x = x.withColumn("place", F.col("row")).withColumn("a", near(cols)).drop("place")
+    # the last valid value of the stripes before: a row for each stripe. Its place in the stripe is one number (columns are below 2^57): with a struct, Spark would sort all pixels of a
+    # split for it, however large, instead of holding a row for each stripe
+    at = F.pmod(F.col("row"), F.lit(STRIPE)) * (1 << 57) + F.col("col")
+    last = F.max_by(F.when(F.col("valid"), F.col("z")), F.when(F.col("valid"), at))
     ends = px.groupBy("band", "depth", F.floor(F.col("row") / STRIPE).cast("bigint").alias("stripe")).agg(last.alias("end"))
     earlier = W.partitionBy("band", "depth").orderBy("stripe").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select("band", "depth", "stripe", F.last("end", True).over(earlier).alias("end"))
