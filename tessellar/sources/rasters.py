@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import statistics
+
 KEYS = ("band", "row", "col", "depth")
 
 
@@ -25,9 +27,17 @@ def _grid(df: DataFrame, key: str, width: int, z, valid=None, band=0) -> DataFra
     )
 
 
-def embed(spark, sf_dir, depth: int = 1) -> DataFrame:
-    """The embeddings as rows of a float raster; with ``depth`` n, n neighbouring components are the depths of a pixel."""
-    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("i", "z"))
+def _in_tasks(e: DataFrame) -> DataFrame:
+    """Vectors in tasks of about ``TASK_ROWS`` components: a split of the file, a row group at least, may hold so many that its task would keep gigabytes of pixels on their way into a shuffle.
+    Left as they are where a task a core is enough."""
+    n = -(-(e.agg(F.sum(F.size("embedding"))).first()[0] or 0) // statistics.TASK_ROWS)
+    return e.repartition(n, "vec_id") if n > e.sparkSession.sparkContext.defaultParallelism else e
+
+
+def embed(spark, sf_dir, depth: int = 1, spread: bool = False) -> DataFrame:
+    """The embeddings as rows of a float raster; with ``depth`` n, n neighbouring components are the depths of a pixel. ``spread``: for shuffles of the pixels."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    e = (_in_tasks(e) if spread else e).select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("i", "z"))
     i = F.col("i")
     return e.select(
         F.lit(0).cast("bigint").alias("band"), F.col("row"), F.floor(i / depth).cast("bigint").alias("col"), (i % depth).cast("bigint").alias("depth"),
@@ -96,7 +106,7 @@ def byte_bands(spark, sf_dir) -> DataFrame:
     """8-bit bands of unlike kinds: part sizes with holes, embeddings, event values, order prices' low byte, and a smooth ramp over the orders."""
     b = lambda df, band, z: df.select(F.lit(band).cast("bigint").alias("band"), "row", "col", "depth", F.pmod(F.floor(z).cast("bigint"), F.lit(256)).cast("double").alias("z"), "valid")
     z = F.col("z")
-    out = [b(psize(spark, sf_dir, True), 0, z), b(embed(spark, sf_dir), 1, z * 64 + 128), b(events(spark, sf_dir), 2, z), b(orders(spark, sf_dir), 3, z), b(orders(spark, sf_dir), 4, F.col("row") / 8 + F.col("col") / 2)]
+    out = [b(psize(spark, sf_dir, True), 0, z), b(embed(spark, sf_dir, spread=True), 1, z * 64 + 128), b(events(spark, sf_dir), 2, z), b(orders(spark, sf_dir), 3, z), b(orders(spark, sf_dir), 4, F.col("row") / 8 + F.col("col") / 2)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
@@ -111,7 +121,7 @@ def float_bands(spark, sf_dir) -> DataFrame:
     """32-bit float bands, all valid: embeddings, order prices and event values (some negative)."""
     single = lambda df, band, z: df.select(F.lit(band).cast("bigint").alias("band"), "row", "col", "depth", z.cast("float").cast("double").alias("z"), F.lit(True).alias("valid"))
     z = F.col("z")
-    return single(embed(spark, sf_dir), 0, z).unionByName(single(orders(spark, sf_dir), 1, z)).unionByName(single(events(spark, sf_dir), 2, z - 50))
+    return single(embed(spark, sf_dir, spread=True), 0, z).unionByName(single(orders(spark, sf_dir), 1, z)).unionByName(single(events(spark, sf_dir), 2, z - 50))
 
 
 def double_bands(spark, sf_dir) -> DataFrame:
