@@ -16,8 +16,12 @@ that occur at least twice in a window of the scan are counted; those at or above
 
 A link needs more than one common key: how many follows from the two sizes (:func:`shared_least`). Lists of up to ``SHORT``
 classes are written out as pairs (of sizes that allow a link) and the pairs' lists counted; longer lists, those of large groups of
-copies, are never expanded: they are chained (neighbours by size), and count for a pair as if both were in them.
-The connected components of pairs that share enough and of chains are *families*. Families are cut into blocks of about
+copies, are never written out, and count for a pair as if both were in them.
+
+Pairs that share enough, and all pairs within a longer list, are compared by *sketches* of one to two bits a shingle (:func:`sketch`): these never
+differ in more places than the sets do, so a pair whose sketches differ in more places than a link allows has no link. Without this, chance meetings, whose number
+grows with the square of the corpus, would join unlike texts to ever larger families.
+The connected components of the pairs that are left are *families*. Families are cut into blocks of about
 ``BLOCK`` classes, and each pair of blocks of a family goes to one task, which gets their whole sets, counts all
 intersections by a matrix product and returns a spanning forest of the links it found: every link inside a family is
 tested, and no links lie between families.
@@ -43,6 +47,8 @@ WINDOW = 1_500_000
 BLOCK = 256
 #: Classes in a list that is still written out as pairs.
 SHORT = 16
+#: Classes of a longer list whose sketches one task compares with each other, or with as many others.
+LIST = 2048
 _U = np.uint64
 
 
@@ -77,6 +83,41 @@ def boundary(frequencies: list[tuple[int, int]], total: int, percent: int = PERC
     return n
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of 2**k values (64 or more, and as many as s has shingles at least): whether an odd number of shingles end in it.
+
+    A shingle that two sets don't share changes one bit, so the sketches of two sets differ in at most as many bits as the sets have such shingles.
+    The halves of a sketch, added without carry, are that of half as many bits."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sketches of a binary column as 64-bit words, where each begins among them, and how many it has."""
+    o = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[o[0] : o[-1]].view(np.uint64)
+    return flat, (o[:-1] - o[0]) // 8, np.diff(o) // 8
+
+
+def apart(one: tuple, i: np.ndarray, other: tuple, j: np.ndarray) -> np.ndarray:
+    """In how many bits sketch i of ``one`` and sketch j of ``other`` (:func:`words`) differ, the wider of them folded."""
+    out, a, b = np.zeros(len(i), np.int64), one[2][i], other[2][j]
+    for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
+        of = np.flatnonzero((a == x) & (b == y))
+        u, v = one[0][one[1][i[of]][:, None] + np.arange(x)], other[0][other[1][j[of]][:, None] + np.arange(y)]
+        while u.shape[1] != v.shape[1]:
+            h = max(u.shape[1], v.shape[1]) // 2
+            u, v = (w[:, :h] ^ w[:, h:] if w.shape[1] > h else w for w in (u, v))
+        out[of] = np.bitwise_count(u ^ v).sum(axis=1)
+    return out
+
+
+def may_link(bits: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of sizes na and nb whose sketches differ in so many bits may be linked."""
+    n = na.astype(np.int64) + nb
+    return bits <= n - 2 * -(-percent * n // (100 + percent))
+
+
 class Order:
     """The global order: light shingles by hash, then heavy ones by (frequency, hash)."""
 
@@ -157,10 +198,10 @@ def spanning(sets: list[np.ndarray], percent: int = PERCENT, left: int | None =
 
 
 def _scan(docs: DataFrame, window: int):
-    """Pass 1: kind 0: doc_id, set size and class of every row; kind 1: shingles seen more than once in a window, with their counts."""
+    """Pass 1: kind 0: doc_id, set size and class of every row, and (once a window at least) the class's sketch; kind 1: shingles seen more than once in a window, with their counts."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, names = [], 0, ["kind", "id", "n", "cid", "sketch"]
 
         def counted():
             t = np.concatenate(held)
@@ -169,13 +210,14 @@ def _scan(docs: DataFrame, window: int):
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             c = np.diff(np.append(first, len(t)))
             t, c = t[first[c > 1]], c[c > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.int64())], ["kind", "id", "n", "cid"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.binary())], names)
 
         seen: set = set()
         for b in batches:
             sets = shingle_sets(b.column(1))
             ids = [class_id(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], ["kind", "id", "n", "cid"])
+            sketches = [sketch(s) if c not in seen and len(s) else None for s, c in zip(sets, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], names)
             for s, c in zip(sets, ids, strict=True):
                 if c not in seen and len(s):
                     seen.add(c)
@@ -187,7 +229,7 @@ def _scan(docs: DataFrame, window: int):
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, "kind tinyint, id bigint, n bigint, cid bigint")
+    return docs.mapInArrow(run, "kind tinyint, id bigint, n bigint, cid bigint, sketch binary")
 
 
 def _meet(docs: DataFrame, order, small: int, percent: int):
@@ -221,21 +263,21 @@ def shared_least(na, nb, percent: int = PERCENT):
     return np.minimum(t + 1 - need(na, percent), t + 1 - need(nb, percent))
 
 
-def _lists(met: DataFrame, percent: int, short: int = SHORT):
+def _lists(met: DataFrame, percent: int, short: int = SHORT, part: int = LIST):
     """What meets in the lists; ``met`` comes sorted by key, n, cid. kind 0: pairs (a, b, sizes) in lists of up to ``short`` classes, with m lists;
-    kind 1: neighbours by size (a, b) in longer ones; kind 2: that class a is in m longer lists."""
+    kind 1: that class b, of size na, is in the longer list a, in its part m of ``part`` classes."""
     names = ["kind", "a", "b", "na", "nb", "m"]
 
     def out(kind, a, b, na, nb, m):
         k = len(a)
         return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(m.astype(np.int64))], names)
 
-    def whole(k, c, n, long_run):
-        """Complete lists; ``long_run``: the first one goes on one whose first part is already done."""
+    def whole(k, c, n, done):
+        """Complete lists; ``done``: the first one goes on one of which so many classes are out already, its first class here too."""
         new = np.concatenate([[True], k[1:] != k[:-1]])
         run = np.cumsum(new) - 1
         is_long = np.bincount(run) > short
-        is_long[0] |= long_run
+        is_long[0] |= done > 0
         is_long = is_long[run]
         a, b, na, nb = [], [], [], []
         for d in range(1, min(short, len(k))):
@@ -251,17 +293,13 @@ def _lists(met: DataFrame, percent: int, short: int = SHORT):
             a, b, na, nb = a[by], b[by], na[by], nb[by]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             yield out(0, a[first], b[first], na[first], nb[first], np.diff(np.append(first, len(a))))
-        ok = (k[1:] == k[:-1]) & is_long[1:] & (n[:-1].astype(np.int64) * 100 >= n[1:].astype(np.int64) * percent)
-        if ok.any():
-            pair = np.unique(np.stack([np.minimum(c[:-1][ok], c[1:][ok]), np.maximum(c[:-1][ok], c[1:][ok])]), axis=1)
-            none = np.zeros(pair.shape[1], np.int32)
-            yield out(1, pair[0], pair[1], none, none, none)
-        if is_long.any():
-            of, m = np.unique(c[is_long], return_counts=True)
-            yield out(2, of, of, np.zeros(len(of)), np.zeros(len(of)), m)
+        place = np.arange(len(k)) - np.flatnonzero(new)[run] + np.where(run == 0, max(0, done - 1), 0)
+        of = np.flatnonzero(is_long)[min(done, 1) :]
+        if len(of):
+            yield out(1, k[of], c[of], n[of], n[of], place[of] // part)
 
     def run(batches):
-        k, c, n, long_run = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False
+        k, c, n, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -270,28 +308,94 @@ def _lists(met: DataFrame, percent: int, short: int = SHORT):
             k, c, n = k[~same], c[~same], n[~same]
             cut = int(np.searchsorted(k, k[-1]))
             if cut:
-                yield from whole(k[:cut], c[:cut], n[:cut], long_run)
-                k, c, n, long_run = k[cut:], c[cut:], n[cut:], False
+                yield from whole(k[:cut], c[:cut], n[:cut], done)
+                k, c, n, done = k[cut:], c[cut:], n[cut:], 0
             if len(k) > 100_000:  # one list that doesn't end: it is a long one, and its last class is enough to go on
-                yield from whole(k, c, n, True)
-                k, c, n, long_run = k[-1:], c[-1:], n[-1:], True
+                yield from whole(k, c, n, done)
+                k, c, n, done = k[-1:], c[-1:], n[-1:], max(0, done - 1) + len(k)
         if len(k):
-            yield from whole(k, c, n, long_run)
+            yield from whole(k, c, n, done)
 
     return met.mapInArrow(run, "kind tinyint, a bigint, b bigint, na int, nb int, m bigint")
 
 
-def _candidates(lists: DataFrame, percent: int, small: int) -> DataFrame:
-    """Edges (a, b) of the candidate graph: chains of long lists, and pairs that share enough of their keys.
+def _pairs(lists: DataFrame, sketches: DataFrame, percent: int, small: int) -> DataFrame:
+    """Pairs (a, b) of the short lists that share enough of their keys, and whose sketches let them link.
 
     A pair's long lists aren't counted, so as many as both are in are allowed for. Pairs that a small set is in meet on subsets, and one subset is enough."""
     pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("m").alias("m"))
-    held = lists.filter("kind = 2").groupBy("a").agg(F.sum("m").alias("h"))
+    held = lists.filter("kind = 1").groupBy("b").count()
     t = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
     least = lambda n: t + 1 - F.ceil(F.col(n) * percent / 100.0 - 1e-9)
-    pairs = pairs.join(held.withColumnRenamed("h", "ha"), "a", "left").join(held.select(F.col("a").alias("b"), F.col("h").alias("hb")), "b", "left")
+    pairs = pairs.join(held.select(F.col("b").alias("a"), F.col("count").alias("ha")), "a", "left").join(held.withColumnRenamed("count", "hb"), "b", "left")
     enough = F.col("m") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.least(least("na"), least("nb"))
-    return pairs.filter(enough | (F.least("na", "nb") <= small)).select("a", "b").union(lists.filter("kind = 1").select("a", "b"))
+    pairs = pairs.filter(enough | (F.least("na", "nb") <= small)).select("a", "b", "na", "nb")
+    pairs = pairs.join(sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                na, nb = (t.column(i).to_numpy() for i in (2, 3))
+                every = np.arange(t.num_rows)
+                good = may_link(apart(words(t.column(4)), every, words(t.column(5)), every), na, nb, percent)
+                yield t.select(["a", "b"]).filter(pa.array(good))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _long(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join what the pairs within each of the longer lists join whose sketches let them link. Each pair of a list's parts goes to one task."""
+    entries = lists.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"), F.col("na").alias("n"), F.col("m").cast("int").alias("part"))
+    parts = entries.filter("part > 0").groupBy("key").agg(F.max("part").alias("last"))
+    every = F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))
+    tasks = entries.join(parts, "key", "left").select("key", "cid", "n", "part", F.explode(every).alias("other")).select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "n", "cid", "part")
+    tasks = tasks.join(sketches, "cid").select("key", "x", "y", "n", "cid", "part", "sketch")
+    tasks = tasks.repartition(n_parts(lists.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "cid")
+
+    def joined(t):
+        x, y, n, cid, part = (t.column(i).to_numpy() for i in range(1, 6))
+        group, kept, (one, other) = _groups(t), words(t.column(6)), ([], [])
+        for d in range(1, t.num_rows):
+            i = np.flatnonzero((group[d:] == group[:-d]) & (n[:-d].astype(np.int64) * 100 >= n[d:].astype(np.int64) * percent))
+            if not len(i):
+                break
+            i = i[(x[i] == y[i]) | (part[i] != part[i + d])]
+            i = i[may_link(apart(kept, i, kept, i + d), n[i], n[i + d], percent)]
+            one.append(i), other.append(i + d)
+        one, other, label = np.concatenate([*one, np.zeros(0, np.int64)]), np.concatenate([*other, np.zeros(0, np.int64)]), np.arange(t.num_rows)
+        while True:  # each class to the first one that it is joined with
+            low = label.copy()
+            np.minimum.at(low, other, label[one])
+            np.minimum.at(low, one, label[other])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        of = np.flatnonzero(label != np.arange(t.num_rows))
+        a, b = cid[label[of]], cid[of]
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks().to_batches()[0]
+            cut = int(np.searchsorted(g := _groups(t), g[-1]))
+            if cut:
+                yield joined(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None:
+            yield joined(rest)
+
+    return tasks.mapInArrow(run, "a bigint, b bigint")
+
+
+def _groups(t) -> np.ndarray:
+    """The number of each row's group of rows with equal first three columns."""
+    key = [t.column(i).to_numpy() for i in range(3)]
+    return np.cumsum(np.concatenate([[False], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
 
 
 def _sets(docs: DataFrame, bits):
@@ -357,7 +461,7 @@ def least_count(histogram: list[tuple[int, int]], most: int) -> int:
     return 2
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int = MAX_HEAVY, window: int = WINDOW, block: int = BLOCK, small: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int = MAX_HEAVY, window: int = WINDOW, block: int = BLOCK, small: int | None = None, part: int = LIST) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text); see the module.
 
     Rows without words (null, empty or blank texts) have size 0 and are alone. Rows with fewer than five words have their
@@ -382,12 +486,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, max_heavy: int =
     met = met.repartition(n_parts(spark), "key").sortWithinPartitions("key", "n", "cid")
     # many small rows instead of few large texts
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    lists = written(_lists(met, percent), "lists")
+    lists = written(_lists(met, percent, part=part), "lists")
+    free(spark)
+    sketches = written(scanned.filter("sketch is not null").groupBy("cid").agg(F.first("sketch").alias("sketch")), "sketches")
+    edges = written(_pairs(lists, sketches, percent, small).union(_long(lists, sketches, percent)), "candidates")
     tune(spark)
     free(spark)
-    edges = written(_candidates(lists, percent, small), "candidates", few=True)
     family = components(edges, "families")
-    drop(counts, lists, edges)
+    drop(counts, lists, sketches, edges)
     free(spark)
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     large = family.groupBy("label").count().select("label", F.ceil(F.col("count") / block).cast("int").alias("nb"))
