@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.llm import decontaminate, jaccard, pieces, toxicity
-from tessellar.llm.shared import free, table, written
+from tessellar.llm.shared import drop, free, table, written
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -46,7 +46,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     known = groups.distinct().join(rows.select(key, "doc_id").distinct(), key)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first")
     stay = known.groupBy("component_id").agg(first).select(f"first.{key}")
-    return rows.join(stay, key, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    # the key among the columns: texts stay where the join has put them, and are shuffled once
+    return rows.join(stay, key, "left_semi").dropDuplicates([key, "doc_id", "text"]).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written to the shared folder and read again by the next one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
         free(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
